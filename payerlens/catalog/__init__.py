@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ("volume",)
+SECTIONS = ("volume", "sla")
 
 
 def load():

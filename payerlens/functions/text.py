@@ -9,8 +9,9 @@ from payerlens.functions.clean import _col, half_even
 
 
 def fixed(c: Column | str, digits: int) -> Column:
-    """Number as text with a fixed number of decimals, rounded half to even."""
-    return F.format_string(f"%.{digits}f", half_even(_col(c).cast("double"), digits))
+    """Number as text with fixed decimals, rounded half to even; NULL stays NULL."""
+    value = half_even(_col(c).cast("double"), digits)
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
 
 
 def fill(template: str, *values: Column) -> Column:
