@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ("volume", "sla")
+SECTIONS = ("volume", "sla", "pharmacy")
 
 
 def load():
