@@ -38,7 +38,10 @@ def compose(sql: str) -> str:
     if not order:
         return sql.strip()
     ctes = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in order)
-    return f"WITH {ctes}\n{sql.strip()}"
+    body = sql.strip()
+    if body.upper().startswith("WITH "):
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{body}"
 
 
 def query(key: str, sql: str | None = None):

@@ -7,20 +7,36 @@ from pyspark.sql import functions as F
 
 from payerlens.functions.clean import _col, trim_text
 
-# Accepted claim date layouts, tried in this order.
-CLAIM_DATE_FORMATS = ("yyyyMMdd", "yyyy-M-d", "M/d/yyyy", "d-MMM-yyyy")
-RAW_DATE_FORMAT = "d-MMM-yyyy"
+# Accepted claim date layouts, each with the shape of its text.
+# A parser only sees text of its own shape; failed parses are costly in the JVM.
+CLAIM_DATE_LAYOUTS = (
+    (r"^\d{8}$", "yyyyMMdd"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
+)
 PERIOD_PATTERN = r"((?:19|20)\d{2})[-/_]?(\d{2})"
 
 
-def parse_date(c: Column | str, formats=CLAIM_DATE_FORMATS) -> Column:
-    """First layout that reads the text wins; unreadable text is NULL."""
-    text = trim_text(c)
-    return F.coalesce(*[F.try_to_date(text, f) for f in formats])
+def parse_date(c: Column | str, layouts=CLAIM_DATE_LAYOUTS) -> Column:
+    """Date of a text in one of the layouts; anything else is NULL.
+
+    Month names may be in any case.
+    """
+    text, out = trim_text(c), None
+    for shape, layout in layouts:
+        read = text
+        if "MMM" in layout:
+            read, layout = F.initcap(F.replace(text, F.lit("-"), F.lit(" "))), layout.replace("-", " ")
+        parsed = F.try_to_date(read, layout)
+        fits = text.rlike(shape)
+        out = F.when(fits, parsed) if out is None else out.when(fits, parsed)
+    return out
 
 
 def parse_raw_date(c: Column | str) -> Column:
-    return parse_date(c, (RAW_DATE_FORMAT,))
+    """Date of raw claim files: day, month name, year."""
+    return parse_date(c, CLAIM_DATE_LAYOUTS[3:])
 
 
 def month_key(c: Column | str) -> Column:
