@@ -188,22 +188,21 @@ def population_psi(df: DataFrame, group: str, category: str) -> DataFrame:
         .groupBy(group, "category")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    # Named copy of the counts summed over groups: at most 50 common ones survive.
     overall = counts.groupBy("category").agg(F.sum("cnt").alias("cnt"))
     n = overall.agg(F.sum("cnt")).scalar()
-    kept = overall.withColumn("share", F.col("cnt") / n).filter(
-        F.col("share") >= MIN_CATEGORY_SHARE
-    )
-    kept_count = kept.agg(F.count(F.lit(1))).scalar()
-    rare_count = overall.withColumn("share", F.col("cnt") / n).filter(
-        F.col("share") < MIN_CATEGORY_SHARE
-    )
-    rare_share = rare_count.agg(F.coalesce(F.sum("cnt") / n, F.lit(0.0))).scalar()
-    absent = F.lit(0.0)
-    expected = kept.select("category", F.col("share").alias("expected"))
-    all_absent = kept.agg(F.sum(psi_term(absent, F.col("share")))).scalar()
-    has_rare = rare_share > 0
-    base_total = all_absent + F.when(has_rare, psi_term(absent, rare_share)).otherwise(0.0)
+    overall = overall.withColumn("share", F.col("cnt") / n)
+    common, absent = F.col("share") >= MIN_CATEGORY_SHARE, F.lit(0.0)
+    facts = overall.agg(
+        F.struct(
+            F.count(F.when(common, 1)).alias("kept"),
+            F.coalesce(F.sum(F.when(~common, F.col("share"))), F.lit(0.0)).alias("rare"),
+            F.sum(F.when(common, psi_term(absent, F.col("share")))).alias("unseen"),
+        )
+    ).scalar()
+    rare = facts["rare"]
+    base_total = facts["unseen"] + F.when(rare > 0, psi_term(absent, rare)).otherwise(0.0)
+    # At most 50 categories can hold 2 % each.
+    expected = overall.filter(common).select("category", F.col("share").alias("expected"))
     seen = (
         counts.join(F.broadcast(expected), "category", "left")
         .withColumn(
@@ -211,7 +210,7 @@ def population_psi(df: DataFrame, group: str, category: str) -> DataFrame:
         )
         .groupBy(group, "category")
         .agg(F.sum("cnt").alias("cnt"), F.max("expected").alias("expected"))
-        .withColumn("expected", F.coalesce("expected", rare_share))
+        .withColumn("expected", F.coalesce(F.col("expected"), rare))
     )
     totals = seen.groupBy(group).agg(F.sum("cnt").alias("n"))
     joined = seen.join(totals, group)
@@ -224,7 +223,7 @@ def population_psi(df: DataFrame, group: str, category: str) -> DataFrame:
         .agg(F.sum(gain).alias("gain"))
         .select(
             group,
-            F.when(kept_count >= MIN_CATEGORIES, F.col("gain") + base_total).alias("psi"),
+            F.when(facts["kept"] >= MIN_CATEGORIES, F.col("gain") + base_total).alias("psi"),
         )
     )
 
