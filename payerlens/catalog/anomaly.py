@@ -121,31 +121,31 @@ MONTH_COLUMNS = (
 @query(
     "ag07_ag12_provider_months",
     "SELECT claim_type, provider, month, claim_count, beneficiary_count, specialty, state, diagnosis_procedure_mismatch, invalid_icd_hcpcs, impossible_date_relation, "
-    + ", ".join(f"round_even({c}, 5) AS {c}" for c in MONTH_COLUMNS) + " FROM months",
+    + ", ".join(f"round_even({c}, 7) AS {c}" for c in MONTH_COLUMNS) + " FROM months",
 )
 def _(spark, sf):
     rows = CA.provider_months(lines(spark, sf)).select(
         "claim_type", "provider", "month", "claim_count", "beneficiary_count", "specialty", "state",
         "diagnosis_procedure_mismatch", "invalid_icd_hcpcs", "impossible_date_relation", *MONTH_COLUMNS,
     )
-    return rounded(rows, *MONTH_COLUMNS, digits=5)
+    return rounded(rows, *MONTH_COLUMNS, digits=7)
 
 
 @query("ag07_provider_month_medians", """
-    SELECT claim_type, provider, month, round_even(median(payment), 4) AS median_claim_payment, round_even(median(charge), 4) AS median_claim_charge FROM first_lines GROUP BY 1, 2, 3""")
+    SELECT claim_type, provider, month, round_even(median(payment), 6) AS median_claim_payment, round_even(median(charge), 6) AS median_claim_charge FROM first_lines GROUP BY 1, 2, 3""")
 def _(spark, sf):
     rows = CA.claim_medians(CA.claim_level(lines(spark, sf)))
-    return rounded(rows, "median_claim_payment", "median_claim_charge", digits=4)
+    return rounded(rows, "median_claim_payment", "median_claim_charge")
 
 
 @query("sx01_sx04_wn14_peer_robust_z", """
-    SELECT claim_type, provider, month, round_even(avg_claim_payment_z, 4) AS avg_claim_payment_z, round_even(avg_los_z, 4) AS avg_los_z,
-           round_even(avg_hha_visits_z, 4) AS avg_hha_visits_z, round_even(avg_service_units_z, 4) AS avg_service_units_z,
-           round_even(claims_per_beneficiary_z, 4) AS claims_per_beneficiary_z, round_even(specialty_behavior_z, 4) AS specialty_behavior_z FROM scored_months""")
+    SELECT claim_type, provider, month, round_even(avg_claim_payment_z, 9) AS avg_claim_payment_z, round_even(avg_los_z, 9) AS avg_los_z,
+           round_even(avg_hha_visits_z, 9) AS avg_hha_visits_z, round_even(avg_service_units_z, 9) AS avg_service_units_z,
+           round_even(claims_per_beneficiary_z, 9) AS claims_per_beneficiary_z, round_even(specialty_behavior_z, 9) AS specialty_behavior_z FROM scored_months""")
 def _(spark, sf):
     names = ["avg_claim_payment_z", "avg_los_z", "avg_hha_visits_z", "avg_service_units_z", "claims_per_beneficiary_z", "specialty_behavior_z"]
     rows = CA.peer_scores(CA.provider_months(lines(spark, sf))).select("claim_type", "provider", "month", *names)
-    return rounded(rows, *names, digits=4)
+    return rounded(rows, *names, digits=9)
 
 
 @query("sx07_fl08_wn15_rolling_psi", "SELECT * REPLACE (round_even(psi_score, 6) AS psi_score) FROM drift")
@@ -184,33 +184,33 @@ def claim_tables(spark, sf):
     return CA.claims_anomalies(lines(spark, sf), **LIMITS)
 
 
-@query("pl13_claims_anomalies", "SELECT * REPLACE (round_even(robust_z_score, 4) AS robust_z_score, round_even(psi_score, 4) AS psi_score) FROM claims_anomalies")
+@query("pl13_claims_anomalies", "SELECT * REPLACE (round_even(robust_z_score, 6) AS robust_z_score, round_even(psi_score, 6) AS psi_score) FROM claims_anomalies")
 def _(spark, sf):
     rows = claim_tables(spark, sf)["claims_anomalies"].drop("anomaly_id", "anomaly_reason")
-    return rounded(rows, "robust_z_score", "psi_score", digits=4)
+    return rounded(rows, "robust_z_score", "psi_score")
 
 
 @query(
     "rs01_jn16_claims_metric_rows",
     "\nUNION ALL ".join(
-        f"SELECT claim_type, provider AS provider_id, month AS batch_month, '{n}' AS anomaly_name, round_even({f}, 4) AS actual_value, round_even({f}_z, 4) AS score, CASE WHEN coalesce(abs({f}_z) >= 3.5, FALSE) THEN 1 ELSE 0 END AS is_anomalous FROM month_signals"
+        f"SELECT claim_type, provider AS provider_id, month AS batch_month, '{n}' AS anomaly_name, round_even({f}, 9) AS actual_value, round_even({f}_z, 9) AS score, CASE WHEN coalesce(abs({f}_z) >= 3.5, FALSE) THEN 1 ELSE 0 END AS is_anomalous FROM month_signals"
         for f, n in CA.ANOMALY_NAMES.items()
     )
     + """
-    UNION ALL SELECT claim_type, provider, month, 'Provider specialty behavior anomaly', round_even(claims_per_beneficiary, 4), round_even(specialty_behavior_z, 4), CASE WHEN coalesce(abs(specialty_behavior_z) >= 3.5, FALSE) THEN 1 ELSE 0 END FROM month_signals
+    UNION ALL SELECT claim_type, provider, month, 'Provider specialty behavior anomaly', round_even(claims_per_beneficiary, 9), round_even(specialty_behavior_z, 9), CASE WHEN coalesce(abs(specialty_behavior_z) >= 3.5, FALSE) THEN 1 ELSE 0 END FROM month_signals
     UNION ALL SELECT claim_type, provider, month, 'Diagnosis–procedure mismatch', diagnosis_procedure_mismatch::DOUBLE, diagnosis_procedure_mismatch::DOUBLE, CASE WHEN diagnosis_procedure_mismatch > 0 THEN 1 ELSE 0 END FROM month_signals
     UNION ALL SELECT claim_type, provider, month, 'Invalid ICD/HCPCS code', invalid_icd_hcpcs::DOUBLE, invalid_icd_hcpcs::DOUBLE, CASE WHEN invalid_icd_hcpcs > 0 THEN 1 ELSE 0 END FROM month_signals
     UNION ALL SELECT claim_type, provider, month, 'Impossible admission/discharge/date relationship', impossible_date_relation::DOUBLE, impossible_date_relation::DOUBLE, CASE WHEN impossible_date_relation > 0 THEN 1 ELSE 0 END FROM month_signals
-    UNION ALL SELECT claim_type, provider, month, 'Provider–diagnosis behavior anomaly', round_even(claims_per_beneficiary, 4), round_even(claims_per_beneficiary_z, 4), CASE WHEN both_hit THEN 1 ELSE 0 END FROM month_signals
+    UNION ALL SELECT claim_type, provider, month, 'Provider–diagnosis behavior anomaly', round_even(claims_per_beneficiary, 9), round_even(claims_per_beneficiary_z, 9), CASE WHEN both_hit THEN 1 ELSE 0 END FROM month_signals
     UNION ALL SELECT claim_type, provider, month, 'Multi-metric provider anomaly', anomaly_count::DOUBLE, anomaly_count::DOUBLE, CASE WHEN anomaly_count >= 2 THEN 1 ELSE 0 END FROM month_signals
-    UNION ALL SELECT claim_type, NULL, month, field, NULL, round_even(psi_score, 4), psi_anomaly FROM drift
+    UNION ALL SELECT claim_type, NULL, month, field, NULL, round_even(psi_score, 9), psi_anomaly FROM drift
     """,
 )
 def _(spark, sf):
     rows = claim_tables(spark, sf)["claims_individual_metrics"].select(
         "claim_type", "provider_id", "batch_month", "anomaly_name", "actual_value", "score", "is_anomalous"
     )
-    return rounded(rows, "actual_value", "score", digits=4)
+    return rounded(rows, "actual_value", "score", digits=9)
 
 
 @query("sx06_categorical_psi", """
@@ -311,17 +311,17 @@ def drug_tables(spark, sf):
     return DA.drug_anomalies(S.prescriber_drug(spark, sf), S.drug_list(spark, sf), S.grand_totals(spark, sf))
 
 
-@query("pl14_drug_anomalies", "SELECT * EXCLUDE (brand) REPLACE (round_even(robust_z_score, 4) AS robust_z_score, round_even(psi_score, 4) AS psi_score) FROM drug_anomalies")
+@query("pl14_drug_anomalies", "SELECT * EXCLUDE (brand) REPLACE (round_even(robust_z_score, 6) AS robust_z_score, round_even(psi_score, 6) AS psi_score) FROM drug_anomalies")
 def _(spark, sf):
     rows = drug_tables(spark, sf)["drug_anomalies"].drop("anomaly_id", "anomaly_reason")
-    return rounded(rows, "robust_z_score", "psi_score", digits=4)
+    return rounded(rows, "robust_z_score", "psi_score")
 
 
-@query("sx02_drug_peer_robust_z", "SELECT Prscrbr_NPI, Brnd_Name, Gnrc_Name, " + ", ".join(f"round_even({f}_z, 4) AS {f}_z" for f in FEATURES) + " FROM drug_scored")
+@query("sx02_drug_peer_robust_z", "SELECT Prscrbr_NPI, Brnd_Name, Gnrc_Name, " + ", ".join(f"round_even({f}_z, 6) AS {f}_z" for f in FEATURES) + " FROM drug_scored")
 def _(spark, sf):
     rows = robust_z(DA.measured(S.prescriber_drug(spark, sf)), ["Gnrc_Name"], FEATURES, 5, count_missing=True)
     names = [f"{f}_z" for f in FEATURES]
-    return rounded(rows.select("Prscrbr_NPI", "Brnd_Name", "Gnrc_Name", *names), *names, digits=4)
+    return rounded(rows.select("Prscrbr_NPI", "Brnd_Name", "Gnrc_Name", *names), *names)
 
 
 @query("sx08_population_psi", "SELECT DISTINCT Gnrc_Name, round_even(specialty_psi, 6) AS specialty_psi, round_even(state_psi, 6) AS state_psi FROM drug_scored")
@@ -332,15 +332,15 @@ def _(spark, sf):
     return rounded(a.join(b, "Gnrc_Name"), "specialty_psi", "state_psi")
 
 
-@query("sx05_yearly_robust_z", "SELECT year, metric, round_even(z, 4) AS z FROM yearly_z")
+@query("sx05_yearly_robust_z", "SELECT year, metric, round_even(z, 6) AS z FROM yearly_z")
 def _(spark, sf):
-    return rounded(DA.yearly_scores(S.grand_totals(spark, sf)).select("year", "metric", "z"), "z", digits=4)
+    return rounded(DA.yearly_scores(S.grand_totals(spark, sf)).select("year", "metric", "z"), "z")
 
 
 @query(
     "rs01_drug_metric_rows",
     " UNION ALL ".join(
-        f"SELECT Prscrbr_NPI AS provider_id, Gnrc_Name AS drug, '{f}' AS metric_name, round_even({f}::DOUBLE, 4) AS actual_value, round_even({f}_z, 4) AS score, CASE WHEN coalesce(abs({f}_z) >= 3.5, FALSE) THEN 1 ELSE 0 END AS is_anomalous, CASE WHEN {f}_valid >= 5 AND {f}_mad > 0 THEN {f}_valid ELSE 0 END AS peers FROM drug_scored"
+        f"SELECT Prscrbr_NPI AS provider_id, Gnrc_Name AS drug, '{f}' AS metric_name, round_even({f}::DOUBLE, 6) AS actual_value, round_even({f}_z, 6) AS score, CASE WHEN coalesce(abs({f}_z) >= 3.5, FALSE) THEN 1 ELSE 0 END AS is_anomalous, CASE WHEN {f}_valid >= 5 AND {f}_mad > 0 THEN {f}_valid ELSE 0 END AS peers FROM drug_scored"
         for f in FEATURES
     ),
 )
@@ -350,7 +350,7 @@ def _(spark, sf):
     rows = rows.filter("metric_type = 'ROBUST_Z'").select(
         "provider_id", "drug", "metric_name", "actual_value", "score", "is_anomalous", peers.alias("peers")
     )
-    return rounded(rows, "actual_value", "score", digits=4)
+    return rounded(rows, "actual_value", "score")
 
 
 @query("jn04_drug_list_by_generic", """
@@ -362,8 +362,8 @@ def _(spark, sf):
 
 
 @query("tk05_most_severe_drug_anomalies", """
-    SELECT drug, severity, anomaly_count, round_even(robust_z_score, 4) AS robust_z_score FROM drug_anomalies
+    SELECT drug, severity, anomaly_count, round_even(robust_z_score, 6) AS robust_z_score FROM drug_anomalies
     ORDER BY CASE severity WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, anomaly_count DESC, drug_anomalies.robust_z_score DESC NULLS LAST LIMIT 30""")
 def _(spark, sf):
     top = DA.most_severe(drug_tables(spark, sf)["drug_anomalies"])
-    return rounded(top.select("drug", "severity", "anomaly_count", "robust_z_score"), "robust_z_score", digits=4)
+    return rounded(top.select("drug", "severity", "anomaly_count", "robust_z_score"), "robust_z_score")

@@ -24,7 +24,16 @@ def view(name: str, sql: str) -> None:
 
 
 def compose(sql: str) -> str:
-    """Prefix the views a statement refers to, in dependency order."""
+    """Prefix the views a statement refers to, in dependency order.
+
+    Rounded values get 0 added so that no negative zero is left.
+    """
+    return re.sub(
+        r"round_even\(([^()]*), (\d)\)", r"(0.0::DOUBLE + round_even(\1, \2))", _with_views(sql)
+    )
+
+
+def _with_views(sql: str) -> str:
     order: list[str] = []
 
     def visit(text: str) -> None:

@@ -13,7 +13,8 @@ from payerlens.plans import sla
 
 
 def rounded(df, *columns, digits=6):
-    return df.withColumns({c: half_even(c, digits) for c in columns})
+    """Round for the check; adding 0 turns a negative zero into zero."""
+    return df.withColumns({c: half_even(c, digits) + F.lit(0.0) for c in columns})
 
 
 LAST_RUN = """

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from payerlens.operators.stages import settle
+
 # Fixed values.
 PSI_FLOOR = 0.0001
 MIN_CATEGORY_SHARE = 0.02
@@ -47,34 +49,34 @@ def shares(counts: DataFrame, keys: Sequence[str], count: str, name: str = "shar
     return counts.join(totals, list(keys)).withColumn(name, F.col(count) / F.col("__total"))
 
 
-def common_categories(baseline: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
-    """Categories holding at least 2 % of the baseline, for keys with two or more of them.
+def _totals(both: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Baseline and current totals of each key next to its categories.
 
-    A key has at most 50 such categories, so the window below stays tiny.
+    A key's rows are one per category of a code set, so a window by key holds a
+    bounded number of rows however many records were counted.
     """
-    kept = shares(baseline, keys, count).filter(F.col("share") >= MIN_CATEGORY_SHARE)
-    return (
-        kept.withColumn("kept", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-        .filter(F.col("kept") >= MIN_CATEGORIES)
-        .select(*keys, "category", "kept")
-    )
+    by_key = Window.partitionBy(*keys)
+    return both.withColumns(
+        {"base_n": F.sum("base").over(by_key), "curr_n": F.sum("curr").over(by_key)}
+    ).filter("base_n > 0 and curr_n > 0")
 
 
-def bucket_rare(counts: DataFrame, common: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
-    """Counts with uncommon categories merged into one; keys without common ones drop out."""
-    keys = list(keys)
-    flagged = counts.join(
-        common.select(*keys, "category", F.lit(True).alias("__common")), [*keys, "category"], "left"
-    )
-    usable = common.select(*keys, "kept").distinct()
+def _side_by_side(baseline: DataFrame, current: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key and category with both counts, 0 where a side lacks it."""
+    left = baseline.select(*keys, "category", F.col("cnt").alias("base"), F.lit(0).alias("curr"))
+    right = current.select(*keys, "category", F.lit(0).alias("base"), F.col("cnt").alias("curr"))
     return (
-        flagged.join(usable, keys)
-        .withColumn("category", F.when(F.col("__common"), F.col("category")).otherwise(RARE))
-        .groupBy(*keys, "kept", "category")
-        .agg(F.sum(count).alias(count))
+        left.unionByName(right)
+        .groupBy(*keys, "category")
+        .agg(F.sum("base").alias("base"), F.sum("curr").alias("curr"))
     )
 
 
+def _score(both: DataFrame, keys: Sequence[str], floor: float, *more: Column) -> DataFrame:
+    term = psi_term(F.col("curr") / F.col("curr_n"), F.col("base") / F.col("base_n"), floor)
+    return both.groupBy(*keys).agg(F.sum(term).alias("psi"), *more)
+
+
 def categorical_psi(
     baseline: DataFrame, current: DataFrame, keys: Sequence[str], floor: float = PSI_FLOOR
 ) -> DataFrame:
@@ -84,23 +86,35 @@ def categorical_psi(
     count with the floor share.
     """
     keys = list(keys)
-    both = (
-        baseline.select(*keys, "category", F.col("cnt").alias("base"), F.lit(0).alias("curr"))
-        .unionByName(
-            current.select(*keys, "category", F.lit(0).alias("base"), F.col("cnt").alias("curr"))
-        )
-        .groupBy(*keys, "category")
-        .agg(F.sum("base").alias("base"), F.sum("curr").alias("curr"))
+    both = _totals(_side_by_side(baseline, current, keys), keys)
+    sizes = [F.max("base_n").alias("baseline_rows"), F.max("curr_n").alias("current_rows")]
+    return _score(both, keys, floor, *sizes)
+
+
+def common_category_psi(
+    baseline: DataFrame, current: DataFrame, keys: Sequence[str]
+) -> DataFrame:
+    """As categorical_psi with uncommon baseline categories merged into one.
+
+    Categories below 2 % of the baseline are uncommon; keys with fewer than two
+    common categories give no row. ``kept`` counts the common ones.
+    """
+    keys = list(keys)
+    both = _totals(_side_by_side(baseline, current, keys), keys)
+    common = F.col("base") / F.col("base_n") >= MIN_CATEGORY_SHARE
+    flagged = both.withColumn("common", common).withColumn(
+        "kept", F.sum(F.col("common").cast("int")).over(Window.partitionBy(*keys))
     )
-    totals = both.groupBy(*keys).agg(F.sum("base").alias("base_n"), F.sum("curr").alias("curr_n"))
-    usable = totals.filter("base_n > 0 and curr_n > 0")
-    joined = both.join(usable, keys) if keys else both.crossJoin(F.broadcast(usable))
-    term = psi_term(F.col("curr") / F.col("curr_n"), F.col("base") / F.col("base_n"), floor)
-    return joined.groupBy(*keys).agg(
-        F.sum(term).alias("psi"),
-        F.max("base_n").alias("baseline_rows"),
-        F.max("curr_n").alias("current_rows"),
+    merged = (
+        flagged.filter(F.col("kept") >= MIN_CATEGORIES)
+        .withColumn("category", F.when(F.col("common"), F.col("category")).otherwise(RARE))
+        .groupBy(*keys, "kept", "base_n", "curr_n", "category")
+        .agg(F.sum("base").alias("base"), F.sum("curr").alias("curr"))
     )
+    return _score(merged, keys, PSI_FLOOR, F.max("kept").alias("kept"))
+
+
+ALL_ROWS = "all rows"
 
 
 def rolling_psi(
@@ -114,17 +128,18 @@ def rolling_psi(
 ) -> DataFrame:
     """PSI of each (group, field, month) against the previous observed months.
 
-    The claims are read once to count categories by month. A month's baseline is
-    built by handing each counted category on to the six months after it, so
-    neither the claims nor the months are joined with each other.
+    The records are read once to count categories, and all rows, by month; the
+    counts are settled. A month's baseline is built by handing each counted
+    category on to the six months after it, so neither records nor months are
+    joined with each other.
     """
-    counts = category_counts(df, [group, month], fields)
+    counts = settle(category_counts(df, [group, month], fields | {ALL_ROWS: F.lit(ALL_ROWS)}))
     # One row per group and calendar month.
     order = Window.partitionBy(group).orderBy(month)
     before = order.rowsBetween(-baseline_months, -1)
     months = (
-        df.groupBy(group, month)
-        .agg(F.count(F.lit(1)).alias("current_rows"))
+        counts.filter(F.col("field") == ALL_ROWS)
+        .select(group, month, F.col("cnt").alias("current_rows"))
         .withColumns(
             {
                 "idx": F.row_number().over(order),
@@ -140,7 +155,9 @@ def rolling_psi(
         & (F.col("baseline_rows") >= min_baseline_rows)
         & (F.col("current_rows") >= min_current_rows)
     )
-    indexed = counts.join(months.select(group, month, "idx"), [group, month])
+    indexed = counts.filter(F.col("field") != ALL_ROWS).join(
+        months.select(group, month, "idx"), [group, month]
+    )
     keys = [group, "field", "idx"]
     baseline = (
         indexed.select(
@@ -150,28 +167,19 @@ def rolling_psi(
             "cnt",
             F.explode(F.sequence(F.col("idx") + 1, F.col("idx") + baseline_months)).alias("idx"),
         )
-        .join(ready.select(group, "idx"), [group, "idx"])
         .groupBy(*keys, "category")
         .agg(F.sum("cnt").alias("cnt"))
     )
-    current = indexed.select(*keys, "category", "cnt")
-    common = common_categories(baseline, keys, "cnt")
-    base = bucket_rare(baseline, common, keys, "cnt")
-    curr = bucket_rare(current, common, keys, "cnt")
-    psi = categorical_psi(base.drop("kept"), curr.drop("kept"), keys).select(*keys, "psi")
-    return (
-        psi.join(common.groupBy(*keys).agg(F.max("kept").alias("kept")), keys)
-        .join(ready, [group, "idx"])
-        .select(
-            group,
-            "field",
-            F.col(month).alias("month"),
-            F.col("psi").alias("psi_score"),
-            "baseline_periods",
-            "baseline_rows",
-            "current_rows",
-            (F.col("kept") + 1).alias("baseline_categories"),
-        )
+    psi = common_category_psi(baseline, indexed.select(*keys, "category", "cnt"), keys)
+    return psi.join(ready, [group, "idx"]).select(
+        group,
+        "field",
+        F.col(month).alias("month"),
+        F.col("psi").alias("psi_score"),
+        "baseline_periods",
+        "baseline_rows",
+        "current_rows",
+        (F.col("kept") + 1).alias("baseline_categories"),
     )
 
 
@@ -182,7 +190,7 @@ def population_psi(df: DataFrame, group: str, category: str) -> DataFrame:
     absent ones is the whole baseline's contribution minus the seen part.
     """
     text = F.trim(F.col(category).cast("string"))
-    counts = (
+    counts = settle(
         df.select(group, text.alias("category"))
         .filter("category is not null")
         .groupBy(group, "category")

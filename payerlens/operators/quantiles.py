@@ -3,9 +3,9 @@
 ``F.percentile`` keeps every distinct value of a group in one task. That is
 fine for ordinary groups and stays the fast path here. A group with more rows
 than ``hot_rows`` is instead narrowed by counting values in bins, which spreads
-over all tasks; only the last bin, a tiny slice of the range, is sorted. The
-split is part of the lazy plan: with no hot group AQE drops that branch once
-the (tiny) list of hot keys turns out empty.
+over all tasks; only the last bin, a tiny slice of the range, is sorted. In
+exact_median the split is part of the lazy plan: with no hot group AQE drops
+that branch once the (tiny) list of hot keys turns out empty.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from payerlens.operators.keyed import null_safe_join
+from payerlens.operators.stages import settle
 
 HOT_ROWS = 2_000_000
 BINS = 1024
@@ -68,6 +69,40 @@ def _select_medians(values: DataFrame, keys: list[str], bins: int, levels: int)
     return ranked.groupBy(*keys).agg(((low + high) / 2).alias("median"))
 
 
+def _plain_medians(df: DataFrame, keys: list[str], columns: Sequence[str], suffix: str):
+    return df.groupBy(*keys).agg(
+        *[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"{c}{suffix}") for c in columns]
+    )
+
+
+def _split_medians(df, keys, columns, suffix, hot, bins, levels):
+    """Ordinary groups at once, the groups listed in ``hot`` by counting in bins."""
+    cold = _plain_medians(null_safe_join(df, hot, keys, "left_anti"), keys, columns, suffix)
+    entries = [
+        F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns
+    ]
+    values = (
+        null_safe_join(df, hot, keys)
+        .select(*keys, F.explode(F.array(*entries)).alias("m"))
+        .select(*keys, "m.measure", "m.value")
+        .filter("value is not null")
+    )
+    picked = _select_medians(values, [*keys, "measure"], bins, levels)
+    wide = picked.groupBy(*keys).agg(
+        *[
+            F.max(F.when(F.col("measure") == c, F.col("median"))).alias(f"{c}{suffix}")
+            for c in columns
+        ]
+    )
+    return cold.unionByName(wide)
+
+
+def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+    """Keys of groups above the limit; there are at most rows / hot_rows of them."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return F.broadcast(sizes.filter(F.col("__n") > hot_rows).select(*keys))
+
+
 def exact_median(
     df: DataFrame,
     keys: Sequence[str],
@@ -79,40 +114,11 @@ def exact_median(
 ) -> DataFrame:
     """Exact median of each column per group, ignoring NULL; NULL keys are a group."""
     keys = list(keys)
-    plain = [
-        F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"{c}{suffix}") for c in columns
-    ]
     slim = df.select(*keys, *columns)
     if not keys:
         slim, keys = slim.withColumn("__all", F.lit(0)), ["__all"]
-    sizes = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    # There can be no more hot keys than rows / hot_rows, so this stays small.
-    hot = F.broadcast(sizes.filter(F.col("__n") > hot_rows).select(*keys))
-    cold = null_safe_join(slim, hot, keys, "left_anti").groupBy(*keys).agg(*plain)
-    values = (
-        null_safe_join(slim, hot, keys)
-        .select(
-            *keys,
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value"))
-                        for c in columns
-                    ]
-                )
-            ).alias("m"),
-        )
-        .select(*keys, "m.measure", "m.value")
-        .filter("value is not null")
-    )
-    picked = _select_medians(values, [*keys, "measure"], bins, levels)
-    wide = picked.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("measure") == c, F.col("median"))).alias(f"{c}{suffix}")
-            for c in columns
-        ]
-    )
-    return cold.unionByName(wide).drop("__all")
+    hot = _hot_keys(slim, keys, hot_rows)
+    return _split_medians(slim, keys, columns, suffix, hot, bins, levels).drop("__all")
 
 
 def robust_z(
@@ -129,19 +135,27 @@ def robust_z(
 
     NULL where the MAD is zero or unknown or the group has fewer than
     ``min_size`` members (valid values, or all rows with ``count_missing``).
+    The input is settled first, then its group sizes decide between the direct
+    medians and the ones for hot groups.
     """
-    keys = list(keys)
-    med = exact_median(df, keys, features, "__med", hot_rows)
-    size = df.groupBy(*keys).agg(
+    keys, rows = list(keys), settle(df)
+    size = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__rows"), *[F.count(f).alias(f"{f}__n") for f in features]
     )
-    stats = null_safe_join(med, size, keys)
-    rows = null_safe_join(df, stats, keys)
-    rows = rows.withColumns(
-        {f"{f}__dev": F.abs(F.col(f).cast("double") - F.col(f"{f}__med")) for f in features}
-    )
-    mad = exact_median(rows, keys, [f"{f}__dev" for f in features], "_mad", hot_rows)
-    rows = null_safe_join(rows, mad, keys)
+    any_hot = not size.filter(F.col("__rows") > hot_rows).isEmpty()
+
+    def medians(frame, columns, name):
+        slim = frame.select(*keys, *columns)
+        if not any_hot:
+            return _plain_medians(slim, keys, columns, name)
+        hot = F.broadcast(size.filter(F.col("__rows") > hot_rows).select(*keys))
+        return _split_medians(slim, keys, columns, name, hot, BINS, LEVELS)
+
+    stats = null_safe_join(medians(rows, features, "__med"), size, keys)
+    rows = null_safe_join(rows, stats, keys)
+    dev = {f"{f}__dev": F.abs(F.col(f).cast("double") - F.col(f"{f}__med")) for f in features}
+    rows = rows.withColumns(dev)
+    rows = null_safe_join(rows, medians(rows, list(dev), "_mad"), keys)
     z = {}
     for f in features:
         enough = F.col("__rows" if count_missing else f"{f}__n") >= min_size
@@ -151,7 +165,7 @@ def robust_z(
             ROBUST_Z_FACTOR * (F.col(f).cast("double") - F.col(f"{f}__med")) / spread,
         )
     rows = rows.withColumns(z)
-    drop = ["__rows"] + [f"{f}{t}" for f in features for t in ("__dev",)]
+    drop = ["__rows", *dev]
     if keep_stats:
         rows = rows.withColumnsRenamed(
             {f"{f}__med": f"{f}_peer_median" for f in features}
@@ -169,11 +183,11 @@ def percent_ranks(
     """Average-tie percent rank (times 100) over the whole frame, per measure.
 
     ``measures`` maps a column to the name of its rank column and ``keys``
-    identifies a row. No window spans the frame: values are counted, placed in
-    two levels of bins, the bins (at most bins**2 per measure) carry running
+    identifies a row. The frame is settled first, as several steps read it. No
+    window spans the frame: values are counted, placed in two levels of bins, the bins (at most bins**2 per measure) carry running
     totals, and only values sharing a fine bin are ordered together.
     """
-    keys = list(keys)
+    keys, df = list(keys), settle(df)
     long = df.select(
         *keys,
         F.explode(

@@ -12,6 +12,7 @@ from payerlens.operators.contracts import existing, require_columns, resolve_col
 from payerlens.operators.drift import population_psi
 from payerlens.operators.keyed import first_per_key
 from payerlens.operators.quantiles import robust_z
+from payerlens.operators.stages import settle
 
 # Fixed values.
 Z_LIMIT = 3.5
@@ -321,12 +322,13 @@ def drug_anomalies(
     prescriptions: DataFrame, drug_list: DataFrame, totals: DataFrame
 ) -> dict[str, DataFrame]:
     """Both drug anomaly tables and the classified provider-drug rows."""
-    rows = with_signals(scored(measured(prescriptions)))
+    base = settle(measured(prescriptions))
+    rows = with_signals(scored(base))
     yearly = yearly_scores(totals)
     return {
         "drug_anomalies": drug_anomaly_rows(rows).unionByName(yearly_anomaly_rows(yearly)),
         "drug_individual_metrics": drug_metric_rows(rows).unionByName(yearly_metric_rows(yearly)),
-        "classified": classified(measured(prescriptions), drug_list),
+        "classified": classified(base, drug_list),
     }
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -28,7 +26,3 @@ def build(master: str | None = None, **more) -> SparkSession:
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="payerlens-")
