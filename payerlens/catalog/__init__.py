@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ("volume", "sla", "pharmacy", "quality_claims", "quality_other", "anomaly", "risk")
+SECTIONS = ("volume", "sla", "pharmacy", "quality_claims", "quality_other", "anomaly", "risk", "reports")
 
 
 def load():

@@ -35,8 +35,8 @@ view(
     SELECT *, CASE WHEN final_sla_risk_score <= 0.24 THEN 'LOW' WHEN final_sla_risk_score <= 0.49 THEN 'MEDIUM' WHEN final_sla_risk_score <= 0.74 THEN 'HIGH' ELSE 'CRITICAL' END AS final_risk_level FROM (
       SELECT *, round_even(dq_risk * 0.25::DOUBLE + volume_risk * 0.2::DOUBLE + robust_z_risk * 0.2::DOUBLE + psi_risk * 0.15::DOUBLE + 0.2::DOUBLE * 0.2::DOUBLE, 6) AS final_sla_risk_score FROM (
         SELECT v.NPI, v.current_period, v.current_month_volume, coalesce(v.volume_risk, 0) AS volume_risk, d.dq_quality_score, coalesce(d.dq_risk, 0) AS dq_risk,
-               z.robust_z_max, coalesce(least(z.robust_z_max / 7, 1), 0) AS robust_z_risk, CASE WHEN z.robust_z_max IS NULL THEN 'NO_DATA' WHEN z.robust_z_max >= 3.5 THEN 'ANOMALOUS' ELSE 'NORMAL' END AS robust_z_status,
-               p.psi_score, coalesce(least(p.psi_score / 0.5, 1), 0) AS psi_risk, CASE WHEN p.psi_score IS NULL THEN 'NO_DATA' WHEN p.psi_score < 0.1 THEN 'NORMAL' WHEN p.psi_score < 0.25 THEN 'MODERATE_DRIFT' ELSE 'SIGNIFICANT_DRIFT' END AS psi_status
+               z.robust_z_max, CASE WHEN z.robust_z_max IS NULL THEN 0.0::DOUBLE ELSE least(z.robust_z_max / 7, 1.0::DOUBLE) END AS robust_z_risk, CASE WHEN z.robust_z_max IS NULL THEN 'NO_DATA' WHEN z.robust_z_max >= 3.5 THEN 'ANOMALOUS' ELSE 'NORMAL' END AS robust_z_status,
+               p.psi_score, CASE WHEN p.psi_score IS NULL THEN 0.0::DOUBLE ELSE least(p.psi_score / 0.5, 1.0::DOUBLE) END AS psi_risk, CASE WHEN p.psi_score IS NULL THEN 'NO_DATA' WHEN p.psi_score < 0.1 THEN 'NORMAL' WHEN p.psi_score < 0.25 THEN 'MODERATE_DRIFT' ELSE 'SIGNIFICANT_DRIFT' END AS psi_status
         FROM provider_volume_risk v LEFT JOIN provider_dq d USING (NPI)
         LEFT JOIN (SELECT provider_id AS NPI, batch_month AS current_period, max(abs(robust_z_score)) AS robust_z_max FROM claims_anomalies WHERE provider_id IS NOT NULL AND robust_z_score IS NOT NULL GROUP BY 1, 2) z USING (NPI, current_period)
         LEFT JOIN (SELECT batch_month AS current_period, max(psi_score) AS psi_score FROM claims_anomalies WHERE psi_score IS NOT NULL GROUP BY 1) p USING (current_period)))
@@ -62,8 +62,8 @@ def claim_risk(spark, sf):
 @query(
     "pl15_claim_provider_risk",
     f"""
-    SELECT NPI, current_period, current_month_volume, volume_risk, round_even(dq_quality_score, 6) AS dq_quality_score, round_even(dq_risk, 6) AS dq_risk,
-           round_even(robust_z_max, 6) AS robust_z_max, robust_z_status, round_even(psi_score, 6) AS psi_score, psi_status, round_even(final_sla_risk_score, 5) AS final_sla_risk_score, final_risk_level,
+    SELECT NPI, current_period, current_month_volume, volume_risk, round_even(dq_quality_score, 7) AS dq_quality_score, round_even(dq_risk, 8) AS dq_risk,
+           round_even(robust_z_max, 6) AS robust_z_max, robust_z_status, round_even(psi_score, 6) AS psi_score, psi_status, round_even(final_sla_risk_score, 4) AS final_sla_risk_score, final_risk_level,
            printf('Primary risk driver: %s; secondary risk driver: %s.', {_RANK}[1].n, {_RANK}[2].n) AS root_cause,
            CASE WHEN {_DRIVERS} = '' THEN 'No major risk driver detected. Continue routine monitoring.'
                 WHEN final_sla_risk_score >= 0.75 THEN printf('Immediate investigation required for %s. Prioritize corrective action.', {_DRIVERS})
@@ -78,15 +78,17 @@ def _(spark, sf):
         "robust_z_max", "robust_z_status", "psi_score", "psi_status", "final_sla_risk_score",
         "final_risk_level", "root_cause", "recommendation",
     )
-    rows = rounded(rows, "dq_quality_score", "dq_risk", "robust_z_max", "psi_score")
-    return rounded(rows, "final_sla_risk_score", digits=5)
+    rows = rounded(rows, "robust_z_max", "psi_score")
+    rows = rounded(rounded(rows, "dq_quality_score", digits=7), "dq_risk", digits=8)
+    return rounded(rows, "final_sla_risk_score", digits=4)
 
 
-@query("ag17_fn34_provider_quality_risk", "SELECT NPI, round_even(dq_quality_score, 6) AS dq_quality_score, round_even(dq_risk, 6) AS dq_risk FROM provider_dq")
+@query("ag17_fn34_provider_quality_risk", "SELECT NPI, round_even(dq_quality_score, 7) AS dq_quality_score, round_even(dq_risk, 8) AS dq_risk FROM provider_dq")
 def _(spark, sf):
     df = Q.prepare(S.claims_text(spark, sf))
     rows = R.quality_risk(Q.provider_completeness(df, "PRF_PHYSN_NPI", QC.FILE))
-    return rounded(rows.select("NPI", "dq_quality_score", "dq_risk"), "dq_quality_score", "dq_risk")
+    rows = rounded(rows.select("NPI", "dq_quality_score", "dq_risk"), "dq_quality_score", digits=7)
+    return rounded(rows, "dq_risk", digits=8)
 
 
 @query("ag19_anomaly_peaks", """
@@ -169,7 +171,7 @@ def pharmacy_risk(spark, sf):
 
 
 @query("pl16_pharmacy_provider_risk", """
-    SELECT npi, round_even(dq_risk, 3) AS DQ_Risk, round_even(volume_risk, 5) AS Volume_Risk, round_even(z_risk, 5) AS RobustZ_Risk, round_even(psi, 5) AS PSI, round_even(psi_risk, 5) AS PSI_Risk,
+    SELECT npi, round_even(dq_risk, 3) AS DQ_Risk, round_even(round_even(volume_risk, 6), 5) AS Volume_Risk, round_even(round_even(z_risk, 6), 5) AS RobustZ_Risk, round_even(round_even(psi, 6), 5) AS PSI, round_even(round_even(psi_risk, 6), 5) AS PSI_Risk,
            round_even(final_score, 3) AS Final_Risk_Score, Risk_Level FROM provider_risk""")
 def _(spark, sf):
     rows = pharmacy_risk(spark, sf).select(

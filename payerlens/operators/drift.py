@@ -236,34 +236,48 @@ def population_psi(df: DataFrame, group: str, category: str) -> DataFrame:
     )
 
 
-def bin_weights(value: Column, weight: Column, edges: Sequence[float]) -> list[Column]:
-    """Aggregates: total weight per bin; bins are closed below, the last one on both sides."""
+def bin_weights(value: Column, weight: Column, edges: Sequence[float]) -> Column:
+    """Aggregate: array of the total weight per bin.
+
+    Bins are closed below, the last one on both sides.
+    """
     out = []
     for i, (low, high) in enumerate(zip(edges, edges[1:])):
         upper = value <= high if i == len(edges) - 2 else value < high
         inside = (value >= low) & upper
         weight_in = F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0))
-        out.append(F.sum(F.when(inside, weight_in).otherwise(0.0)).alias(f"bin_{i}"))
-    return out
+        out.append(F.sum(F.when(inside, weight_in).otherwise(0.0)))
+    return F.array(*out)
+
 
+def _array_sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
-def weighted_psi(base: Sequence[Column], current: Sequence[Column]) -> Column:
-    """PSI of two weighted histograms given as lists of bin totals.
+
+def weighted_psi(df: DataFrame, base: str, current: str, name: str = "psi") -> DataFrame:
+    """Add the PSI of two weighted histograms kept as arrays of bin totals.
 
     Shares are lifted to the floor and brought back to a total of one; never
     negative, and 0 for an empty current histogram.
     """
+    def share(c: str) -> Column:
+        total = F.col(f"__{c}_total")
+        lifted = F.lit(WEIGHTED_PSI_FLOOR)
+        return F.transform(
+            F.col(c), lambda x: F.greatest(F.when(total > 0, x / total).otherwise(0.0), lifted)
+        )
 
-    def normalised(bins):
-        total = sum(bins[1:], bins[0])
-        lifted = [
-            F.greatest(F.when(total > 0, b / total).otherwise(0.0), F.lit(WEIGHTED_PSI_FLOOR))
-            for b in bins
-        ]
-        lifted_total = sum(lifted[1:], lifted[0])
-        return total, [share / lifted_total for share in lifted]
-
-    _, b = normalised(list(base))
-    current_total, c = normalised(list(current))
-    score = sum(((x - y) * F.log(x / y) for x, y in zip(c, b)), F.lit(0.0))
-    return F.when(current_total > 0, F.greatest(score, F.lit(0.0))).otherwise(0.0)
+    steps = df
+    for c in (base, current):
+        steps = steps.withColumn(f"__{c}_total", _array_sum(F.col(c)))
+        steps = steps.withColumn(f"__{c}_share", share(c))
+        steps = steps.withColumn(f"__{c}_all", _array_sum(F.col(f"__{c}_share")))
+    terms = F.zip_with(
+        f"__{current}_share",
+        f"__{base}_share",
+        lambda x, y: (x / F.col(f"__{current}_all") - y / F.col(f"__{base}_all"))
+        * F.log((x / F.col(f"__{current}_all")) / (y / F.col(f"__{base}_all"))),
+    )
+    score = F.greatest(_array_sum(terms), F.lit(0.0))
+    steps = steps.withColumn(name, F.when(F.col(f"__{current}_total") > 0, score).otherwise(0.0))
+    return steps.drop(*[f"__{c}_{t}" for c in (base, current) for t in ("total", "share", "all")])

@@ -475,6 +475,10 @@ def population_anomalies(drift: DataFrame) -> DataFrame:
     )
 
 
+def _starting(items: str, beginning: str) -> Column:
+    return F.filter(items, lambda t: t.startswith(beginning))
+
+
 def _metric(name, metric, kind, actual, score, limit, hit, peers, baseline, reason):
     return F.struct(
         F.lit(name).alias("anomaly_name"),
@@ -497,7 +501,7 @@ def provider_metrics(found: DataFrame, utilization: bool = False) -> DataFrame:
     for f, name in _reported(utilization).items():
         z = F.col(f"{f}_z")
         hit = _abnormal(f"{f}_z")
-        text = F.filter("robust_items", lambda t, n=name: t.startswith(n))
+        text = _starting("robust_items", name)
         reason = (
             F.when(hit, F.get(text, F.lit(0)))
             .when(z.isNotNull(), "Normal relative to peer providers")
@@ -507,7 +511,7 @@ def provider_metrics(found: DataFrame, utilization: bool = False) -> DataFrame:
         rows.append(_metric(name, f, "ROBUST_Z", F.col(f), z, Z_LIMIT, hit, peers, why, reason))
     z, hit = F.col("specialty_behavior_z"), _abnormal("specialty_behavior_z")
     per_person = F.col("claims_per_beneficiary")
-    text = F.filter("robust_items", lambda t: t.startswith("Provider specialty"))
+    text = _starting("robust_items", "Provider specialty")
     rows.append(
         _metric(
             "Provider specialty behavior anomaly",

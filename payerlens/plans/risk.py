@@ -152,25 +152,29 @@ def latest_run(summary: DataFrame, *ties: str) -> DataFrame:
 
 
 def global_robust_z(df: DataFrame, columns) -> DataFrame:
-    """Robust Z over the whole frame; by standard deviation where the MAD is 0, else 0."""
-    rows = settle(df).withColumn("__g", F.lit(0))
-    stats = exact_median(rows, ["__g"], list(columns), "__med")
+    """Robust Z over the whole frame; by standard deviation where the MAD is 0, else 0.
+
+    The frame is settled; its statistics are single rows, which are broadcast.
+    """
+    columns = list(columns)
+    rows = settle(df.withColumn("__g", F.lit(0)))
     spread = rows.groupBy("__g").agg(
         *[F.stddev_pop(F.col(c).cast("double")).alias(f"{c}__std") for c in columns]
     )
-    facts = stats.join(spread, "__g")
-    medians = facts.select(F.struct("*")).scalar()
-    centred = rows.withColumns(
-        {f"{c}__dev": F.abs(F.col(c).cast("double") - medians[f"{c}__med"]) for c in columns}
+    stats = settle(exact_median(rows, ["__g"], columns, "__med").join(spread, "__g"))
+    centred = rows.join(F.broadcast(stats), "__g").withColumns(
+        {f"{c}__dev": F.abs(F.col(c).cast("double") - F.col(f"{c}__med")) for c in columns}
     )
-    mads = exact_median(centred, ["__g"], [f"{c}__dev" for c in columns], "_mad")
-    mad = mads.select(F.struct("*")).scalar()
+    mads = settle(exact_median(centred, ["__g"], [f"{c}__dev" for c in columns], "_mad"))
     scores = {}
     for c in columns:
-        x, m, s = F.col(c).cast("double"), mad[f"{c}__dev_mad"], medians[f"{c}__std"]
-        off = x - medians[f"{c}__med"]
-        scores[f"{c}_robust_z"] = F.when(m > 0, 0.6745 * off / m).when(s > 0, off / s).otherwise(0.0)
-    return rows.withColumns(scores).drop("__g")
+        mad, std = F.col(f"{c}__dev_mad"), F.col(f"{c}__std")
+        off = F.col(c).cast("double") - F.col(f"{c}__med")
+        scores[f"{c}_robust_z"] = (
+            F.when(mad > 0, 0.6745 * off / mad).when(std > 0, off / std).otherwise(0.0)
+        )
+    scored = centred.join(F.broadcast(mads), "__g").withColumns(scores)
+    return scored.select(*df.columns, *scores)
 
 
 def positive_z_risk(z: Column) -> Column:
@@ -189,21 +193,24 @@ def drug_mix_psi(detail: DataFrame, drug_risk: DataFrame) -> DataFrame:
         number("total_claims").alias("total_claims"),
         number("volume_risk_score").alias("score"),
     )
-    baseline = drugs.agg(
-        F.struct(*bin_weights(F.col("score"), F.col("total_claims"), PSI_EDGES)).alias("b")
-    ).scalar()
+    baseline = drugs.groupBy(F.lit(0).alias("__g")).agg(
+        bin_weights(F.col("score"), F.col("total_claims"), PSI_EDGES).alias("base")
+    )
     lookup = first_per_key(drugs, ["drug_key"], ["score"]).select("drug_key", "score")
     rows = detail.select(
         F.col("Prscrbr_NPI").cast("string").alias("npi"),
         brand_generic_key(*pair).alias("drug_key"),
         number("Tot_Clms").alias("claims"),
     ).join(lookup, "drug_key", "left")
-    binned = rows.groupBy("npi").agg(*bin_weights(F.col("score"), F.col("claims"), PSI_EDGES))
-    count = len(PSI_EDGES) - 1
-    base = [baseline[f"bin_{i}"] for i in range(count)]
-    current = [F.col(f"bin_{i}") for i in range(count)]
-    return binned.select("npi", weighted_psi(base, current).alias("PSI")).withColumn(
-        "PSI_Risk", psi_risk(F.col("PSI"))
+    binned = rows.groupBy("npi").agg(
+        bin_weights(F.col("score"), F.col("claims"), PSI_EDGES).alias("current")
+    )
+    # The baseline is a single row.
+    both = binned.withColumn("__g", F.lit(0)).join(F.broadcast(baseline), "__g")
+    return (
+        weighted_psi(both, "base", "current", "PSI")
+        .select("npi", "PSI")
+        .withColumn("PSI_Risk", psi_risk(F.col("PSI")))
     )
 
 
