@@ -2,7 +2,17 @@
 
 from importlib import import_module
 
-SECTIONS = ("volume", "sla", "pharmacy", "quality_claims", "quality_other", "anomaly", "risk", "reports")
+SECTIONS = (
+    "volume",
+    "sla",
+    "pharmacy",
+    "quality_claims",
+    "quality_other",
+    "anomaly",
+    "risk",
+    "reports",
+    "basics",
+)
 
 
 def load():

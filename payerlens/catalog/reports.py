@@ -220,16 +220,13 @@ def _(spark, sf):
     return R.alerts(drug(spark, sf), claim(spark, sf)).select("anomaly_type", "subject", "provider_id", "robust_z_score", "anomaly_count")
 
 
-PROVIDER = "1000000007"
-
-
-@query("rp17_jn18_provider_profile", f"""
-    SELECT 'volume' AS section, current_period AS period, risk_level AS label, volume_risk AS value FROM provider_volume_risk WHERE NPI = '{PROVIDER}'
-    UNION ALL SELECT * FROM (SELECT 'history', period, risk_level, CAST(monthly_volume AS DOUBLE) FROM rolling_history WHERE NPI = '{PROVIDER}' ORDER BY period DESC LIMIT 12)
-    UNION ALL SELECT 'claim_anomaly', batch_month, severity, robust_z_score FROM rp_claim WHERE provider_id = '{PROVIDER}'
-    UNION ALL SELECT 'drug_anomaly', NULL, drug, robust_z_score FROM rp_drug WHERE provider_id = '{PROVIDER}'""")
+@query("rp17_jn18_provider_profile", """
+    SELECT NPI, 'volume' AS section, current_period AS period, risk_level AS label, volume_risk AS value FROM provider_volume_risk
+    UNION ALL SELECT NPI, 'history', period, risk_level, CAST(monthly_volume AS DOUBLE) FROM (SELECT *, row_number() OVER (PARTITION BY NPI ORDER BY period DESC) AS rn FROM rolling_history) WHERE rn <= 12
+    UNION ALL SELECT provider_id, 'claim_anomaly', batch_month, severity, robust_z_score FROM rp_claim
+    UNION ALL SELECT provider_id, 'drug_anomaly', NULL, drug, robust_z_score FROM rp_drug""")
 def _(spark, sf):
-    return R.provider_profile(PROVIDER, volume(spark, sf), claims_history(spark, sf), claim(spark, sf), drug(spark, sf))
+    return R.provider_profile(volume(spark, sf), claims_history(spark, sf), claim(spark, sf), drug(spark, sf))
 
 
 @query("rp18_tk06_risk_distribution", """
@@ -297,16 +294,21 @@ def _(spark, sf):
     return R.options(volume(spark, sf), "NPI")
 
 
-@query("rp26_jn17_fl05_claim_detail", """
-    SELECT c.source, c.CLM_ID, c.NPI, v.risk_level, v.volume_risk, strftime(v.current_period || '-01', '%Y') IS NULL AS no_period FROM (SELECT * REPLACE (NPI AS NPI) FROM valid_claims WHERE DT >= TIMESTAMP '1998-01-01' AND DT < TIMESTAMP '1998-02-01') c
-    LEFT JOIN provider_volume_risk v USING (NPI)""".replace(", strftime(v.current_period || '-01', '%Y') IS NULL AS no_period", ""))
+@query("rp26_jn17_claim_detail", """
+    SELECT c.source, c.CLM_ID, c.NPI, v.risk_level, v.volume_risk FROM valid_claims c LEFT JOIN provider_volume_risk v USING (NPI)""")
 def _(spark, sf):
-    rows = R.between_days(V.valid_claims(S.claim_lines(spark, sf)), "DT", "1998-01-01", "1998-01-31")
-    v = volume(spark, sf)
+    rows, v = V.valid_claims(S.claim_lines(spark, sf)), volume(spark, sf)
     quality = v.select("NPI", F.col("current_period").alias("created_at"), F.lit(9.0).alias("quality_score"))
     return R.claim_detail(rows, v, quality).select("source", "CLM_ID", "NPI", "risk_level", "volume_risk")
 
 
+@query("rp26_fl05_claims_in_range", """
+    SELECT source, count(*) AS claims FROM valid_claims WHERE DT >= TIMESTAMP '1997-01-01' AND DT < TIMESTAMP '2000-01-01' GROUP BY 1""")
+def _(spark, sf):
+    rows = R.between_days(V.valid_claims(S.claim_lines(spark, sf)), "DT", "1997-01-01", "1999-12-31")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("claims"))
+
+
 @query("rp27_rp30_provider_listing", """
     SELECT NPI, score, risk_level, CASE WHEN score < 0.1 THEN 'Excellent' WHEN score < 0.25 THEN 'Very Good' WHEN score < 0.5 THEN 'Good' WHEN score < 0.75 THEN 'Fair' ELSE 'Poor' END AS gauge
     FROM rp_risk WHERE NPI LIKE '%00%' ORDER BY score DESC, NPI LIMIT 30""")

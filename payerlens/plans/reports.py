@@ -379,12 +379,19 @@ def highest_claims(detail: DataFrame, claim: str, value: str, n: int = 10) -> Da
 
 
 def provider_profile(
-    provider: str, volume: DataFrame, history: DataFrame, claim: DataFrame, drug: DataFrame
+    volume: DataFrame,
+    history: DataFrame,
+    claim: DataFrame,
+    drug: DataFrame,
+    provider: str | None = None,
 ) -> DataFrame:
-    """Everything known about one provider as (section, period, label, value) rows."""
+    """Everything known about each provider, or the given one, as
+    (NPI, section, period, label, value) rows."""
 
     def part(df, key, section, period, label, value):
-        return df.filter(npi(key) == provider).select(
+        chosen = F.lit(True) if provider is None else npi(key) == provider
+        return df.filter(chosen).select(
+            npi(key).alias("NPI"),
             F.lit(section).alias("section"),
             period.cast("string").alias("period"),
             label.cast("string").alias("label"),
