@@ -3,9 +3,8 @@
 ``F.percentile`` keeps every distinct value of a group in one task. That is
 fine for ordinary groups and stays the fast path here. A group with more rows
 than ``hot_rows`` is instead narrowed by counting values in bins, which spreads
-over all tasks; only the last bin, a tiny slice of the range, is sorted. In
-exact_median the split is part of the lazy plan: with no hot group AQE drops
-that branch once the (tiny) list of hot keys turns out empty.
+over all tasks; only the last bin, a tiny slice of the range, is sorted. A
+count of the group sizes, run when the plan is built, decides between the two.
 """
 
 from __future__ import annotations
@@ -32,14 +31,16 @@ def _bin(value, low, high, bins):
 
 def _select_medians(values: DataFrame, keys: list[str], bins: int, levels: int) -> DataFrame:
     """Medians of (keys, value) rows without gathering any group in one task."""
-    counted = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
+    counted = settle(values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt")))
     groups = counted.groupBy(*keys).agg(F.sum("cnt").alias("n"))
     groups = groups.select(
         *keys,
         F.floor((F.col("n") + 1) / 2).alias("lower"),
         F.floor(F.col("n") / 2 + 1).alias("upper"),
     )
-    rows = null_safe_join(counted, F.broadcast(groups), keys).withColumn("before", F.lit(0))
+    rows = null_safe_join(counted, F.broadcast(groups), keys).withColumn(
+        "before", F.lit(0).cast("bigint")
+    )
     for _ in range(levels):
         span = rows.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
         binned = null_safe_join(rows, F.broadcast(span), keys).withColumn(
@@ -56,7 +57,7 @@ def _select_medians(values: DataFrame, keys: list[str], bins: int, levels: int)
             ((start < F.col("lower")) & (F.col("lower") <= F.col("upto")))
             | ((start < F.col("upper")) & (F.col("upper") <= F.col("upto")))
         ).select(*keys, "bin", F.min(start).over(Window.partitionBy(*keys)).alias("start"))
-        rows = (
+        rows = settle(
             null_safe_join(binned, F.broadcast(wanted), [*keys, "bin"])
             .withColumn("before", F.col("start"))
             .drop("bin", "lo", "hi", "start")
@@ -97,10 +98,13 @@ def _split_medians(df, keys, columns, suffix, hot, bins, levels):
     return cold.unionByName(wide)
 
 
-def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    """Keys of groups above the limit; there are at most rows / hot_rows of them."""
+def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
+    """Keys of groups above the limit, or None; at most rows / hot_rows of them."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return F.broadcast(sizes.filter(F.col("__n") > hot_rows).select(*keys))
+    hot = sizes.filter(F.col("__n") > hot_rows).select(*keys)
+    if hot.isEmpty():
+        return None
+    return F.broadcast(settle(hot))
 
 
 def exact_median(
@@ -112,13 +116,16 @@ def exact_median(
     bins: int = BINS,
     levels: int = LEVELS,
 ) -> DataFrame:
-    """Exact median of each column per group, ignoring NULL; NULL keys are a group."""
+    """Exact median of each column per group, ignoring NULL; NULL keys are a group.
+
+    Counts the group sizes when called to choose the way.
+    """
     keys = list(keys)
     slim = df.select(*keys, *columns)
-    if not keys:
-        slim, keys = slim.withColumn("__all", F.lit(0)), ["__all"]
     hot = _hot_keys(slim, keys, hot_rows)
-    return _split_medians(slim, keys, columns, suffix, hot, bins, levels).drop("__all")
+    if hot is None:
+        return _plain_medians(slim, keys, columns, suffix)
+    return _split_medians(slim, keys, columns, suffix, hot, bins, levels)
 
 
 def robust_z(
@@ -142,13 +149,12 @@ def robust_z(
     size = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__rows"), *[F.count(f).alias(f"{f}__n") for f in features]
     )
-    any_hot = not size.filter(F.col("__rows") > hot_rows).isEmpty()
+    hot = _hot_keys(rows, keys, hot_rows)
 
     def medians(frame, columns, name):
         slim = frame.select(*keys, *columns)
-        if not any_hot:
+        if hot is None:
             return _plain_medians(slim, keys, columns, name)
-        hot = F.broadcast(size.filter(F.col("__rows") > hot_rows).select(*keys))
         return _split_medians(slim, keys, columns, name, hot, BINS, LEVELS)
 
     stats = null_safe_join(medians(rows, features, "__med"), size, keys)
