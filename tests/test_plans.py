@@ -197,7 +197,7 @@ def test_anomaly_tables_share_keys(spark):
 
 
 def test_drug_anomaly_reason(spark):
-    rows = prescriptions(spark).withColumn("Tot_Drug_Cst", F.when(F.col("Brnd_Name") == "b7", 5000.0).otherwise(50.0 + F.length("Brnd_Name") * F.hash("Brnd_Name") % 7))
+    rows = prescriptions(spark).withColumn("Tot_Drug_Cst", F.when(F.col("Brnd_Name") == "b7", 5000.0).otherwise(50.0 + F.crc32("Brnd_Name") % 7))
     found = DA.drug_anomaly_rows(DA.with_signals(DA.scored(DA.measured(rows)))).filter("robust_z_score > 100").collect()
     assert len(found) == 1 and found[0]["robust_z_anomaly"] == 1
     assert found[0]["anomaly_reason"].startswith("Total drug cost is unusually HIGH: provider=5000.00, peer median=")
