@@ -8,12 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, token_file
+from . import packing, sharding, simhash, token_file, winnow
 from .common import table
 
 SHARDS = 8
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_near, where doc_id is divisible by 100: other rows within 3 bits of this fingerprint."""
+    rows = simhash.with_next(table(spark, sf_dir, "documents"))
+    found = rows.join(simhash.near_counts(rows), "fingerprint", "left")
+    asked = F.col("doc_id") % 100 == 0
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        *[F.lpad(F.lower(F.hex(c)), 16, "0").alias(c) for c in ("fingerprint", "edited_fingerprint")],
+        "near_edited",
+        "near_next",
+        F.when(asked, F.col("n_near")).alias("n_near"),
+    )
+
+
 def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_file_path(spark)
     token_file.write(
@@ -33,6 +49,20 @@ def token_file_path(spark: SparkSession) -> str:
     return new_stage(spark)
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -53,7 +83,46 @@ def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_blocks, op7_hash_tree_shards, op8_mixture_packing)
+    f.__name__: f
+    for f in (
+        op2_simhash,
+        op3_token_blocks,
+        op5_winnowing,
+        op7_hash_tree_shards,
+        op8_mixture_packing,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+#: Windows of the items, then every window of every document, by text.
+OP5_SQL = r"""
+WITH lowered AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, least(10, len(words)) AS size,
+    array_to_string(words[i : i + least(10, len(words)) - 1], ' ') AS w
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - 10, 0) + 2)) AS i FROM items WHERE len(words) > 0)
+), sizes AS (
+  SELECT DISTINCT size FROM item_windows
+), doc_windows AS (
+  SELECT doc_id, i, size, array_to_string(words[i : i + size - 1], ' ') AS w
+  FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i
+        FROM lowered, sizes WHERE len(words) >= size)
+), found AS (
+  SELECT doc_id, i, d.size, item_id FROM doc_windows d JOIN item_windows USING (w)
+), hit AS (
+  SELECT doc_id, count(DISTINCT word) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + size)) AS word FROM found) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lowered LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op5_winnowing": OP5_SQL}
