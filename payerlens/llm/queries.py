@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, simhash, token_file, winnow
+from . import jaccard, packing, sharding, simhash, token_file, winnow
 from .common import table
 
 SHARDS = 8
@@ -82,6 +82,10 @@ def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_rtree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_winnowing,
         op7_hash_tree_shards,
         op8_mixture_packing,
+        op10_rtree_jaccard,
     )
 }
 
