@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, packing, sharding, simhash, token_file, winnow
+from . import jaccard, packing, quality, sharding, simhash, token_file, winnow
 from .common import table
 
 SHARDS = 8
@@ -49,6 +49,14 @@ def token_file_path(spark: SparkSession) -> str:
     return new_stage(spark)
 
 
+def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -91,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_simhash,
         op3_token_blocks,
+        op4_pu_quality,
         op5_winnowing,
         op7_hash_tree_shards,
         op8_mixture_packing,
