@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, packing, quality, sharding, simhash, token_file, winnow
+from . import html, jaccard, packing, quality, sharding, simhash, token_file, winnow
 from .common import table
 
 SHARDS = 8
@@ -90,6 +90,12 @@ def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars")
+    )
+
+
 def op10_rtree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_winnowing,
         op7_hash_tree_shards,
         op8_mixture_packing,
+        op9_block_tree,
         op10_rtree_jaccard,
     )
 }
