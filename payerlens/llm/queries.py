@@ -8,12 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, jaccard, packing, quality, sharding, simhash, token_file, winnow
+from . import html, jaccard, packing, pii, quality, sharding, simhash, token_file, winnow
 from .common import table
 
 SHARDS = 8
 
 
+def op1_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_ columns and base_sha256 tell of the base spans, spans of all."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_near, where doc_id is divisible by 100: other rows within 3 bits of this fingerprint."""
     rows = simhash.with_next(table(spark, sf_dir, "documents"))
@@ -103,6 +111,7 @@ def op10_rtree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_bilstm_crf,
         op2_simhash,
         op3_token_blocks,
         op4_pu_quality,
