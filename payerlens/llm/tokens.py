@@ -13,52 +13,103 @@ _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?!\S)")
 
 
+#: A character that parts pieces in one call of the library.
+_MARK = "\x01"
+_TOGETHER = 500
+
+
+class _Slots(dict):
+    """Number of each piece; new ones are numbered on sight and wait to be learned."""
+
+    def __init__(self):
+        self.waiting: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.waiting.append(piece)
+        return number
+
+
 class Encoder:
     """Encodes texts with the tokenizers library, each distinct piece once.
 
     A text is cut before every blank that a non-blank follows. The tokenizers in
     use never let a token cross such a place, so the ids of the pieces, one after
     the other, are the ids of the text (a property test holds it against the
-    library on the whole text). Pieces repeat, so their ids are remembered; at
-    most ``limit`` pieces are, after which the memory starts anew.
+    library on the whole text). Pieces repeat, so their ids are remembered; once
+    there are more than ``limit``, the memory starts anew with the next call.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.limit = limit
+        self.between = self._ids([" " + _MARK])[0]
         self._forget()
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _forget(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.slot = _Slots()
         self.first = np.zeros(1024, np.int64)
         self.size = np.zeros(1024, np.int64)
         self.pool = np.zeros(4096, np.uint32)
         self.used = 0
 
-    def _learn(self, pieces: list[str]) -> None:
-        # a piece at the start of a text is marked by a blank in front, others had one and lost it
-        texts = [p[1:] if p[:1] == " " else " " + p for p in pieces]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
-        n, m = len(self.slot), len(found)
-        if n + m > len(self.first):
-            self.first = np.resize(self.first, 2 * (n + m))
-            self.size = np.resize(self.size, 2 * (n + m))
+    def _keep(self, sizes: np.ndarray, ids: np.ndarray, known: int) -> int:
+        """Adds the ids of the pieces from number ``known`` on."""
+        n = known + len(sizes)
+        if n > len(self.first):
+            self.first, self.size = np.resize(self.first, 2 * n), np.resize(self.size, 2 * n)
         if self.used + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * (self.used + len(ids)))
-        self.size[n : n + m] = sizes
-        self.first[n : n + m] = self.used + np.cumsum(sizes) - sizes
+        self.size[known:n] = sizes
+        self.first[known:n] = self.used + np.cumsum(sizes) - sizes
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.slot.update(zip(pieces, range(n, n + m)))
+        return n
+
+    def _learn(self) -> None:
+        """Encodes the pieces that wait, in calls of many pieces with a mark between them.
+
+        The mark stands behind a blank and before one, so pieces meet it as they meet
+        the rest of a text. Pieces that begin a text, hold the mark or end with
+        white space are encoded one by one.
+        """
+        pieces, self.slot.waiting = self.slot.waiting, []
+        known = len(self.slot) - len(pieces)
+        mark, gap = self.between[-1], len(self.between)
+        for at in range(0, len(pieces), _TOGETHER):
+            own = pieces[at : at + _TOGETHER]
+            alone = [i for i, p in enumerate(own) if p[:1] == " " or _MARK in p or p[-1:].isspace()]
+            texts = {i: own[i][1:] if own[i][:1] == " " else " " + own[i] for i in alone}
+            rest = [p for i, p in enumerate(own) if i not in texts]
+            ids = np.array(self._ids([" " + f" {_MARK} ".join(rest)])[0], np.uint32) if rest else np.zeros(0, np.uint32)
+            marks = np.flatnonzero(ids == mark)
+            if len(marks) != max(0, len(rest) - 1):
+                texts |= {i: " " + p for i, p in enumerate(own) if i not in texts}
+                rest, marks = [], marks[:0]
+            singles = dict(zip(texts, self._ids(list(texts.values()))))
+            edges = np.concatenate([[-1], marks, [len(ids) + gap - 1]])
+            bounds = iter(zip((edges[:-1] + 1).tolist(), (edges[1:] - gap + 1).tolist()))
+            found = [np.array(singles[i], np.uint32) if i in singles else ids[slice(*next(bounds))] for i in range(len(own))] if singles else None
+            if found is None:
+                sizes = np.diff(edges) - gap
+                inside = np.ones(len(ids), bool)
+                for j in range(gap):
+                    inside[marks - j] = False
+                known = self._keep(sizes, ids[inside], known)
+            else:
+                known = self._keep(np.array([len(x) for x in found]), np.concatenate(found), known)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other as uint32, number of ids of each text)."""
+        if len(self.slot) > self.limit:
+            self._forget()
         pieces: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -68,13 +119,9 @@ class Encoder:
             own[0] = " " + own[0]
             counts[i] = len(own)
             pieces += own
-        new = list(set(pieces).difference(self.slot))
-        if len(self.slot) + len(new) > self.limit:
-            self._forget()
-            new = list(set(pieces))
-        if new:
-            self._learn(new)
         at = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
+        if self.slot.waiting:
+            self._learn()
         sizes = self.size[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
