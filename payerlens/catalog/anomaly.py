@@ -148,6 +148,17 @@ def _(spark, sf):
     return rounded(rows, *names, digits=9)
 
 
+@query("wn14_medians_with_empty_groups", """
+    SELECT l_returnflag, round_even(median(CASE WHEN l_returnflag <> 'A' THEN l_extendedprice END), 6) AS price_median, count(*) AS n FROM lineitem GROUP BY 1""")
+def _(spark, sf):
+    price = F.when(F.col("l_returnflag") != "A", F.col("l_extendedprice")).alias("price")
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_returnflag", price)
+    # groups above the limit are narrowed in bins, the one without values too
+    medians = exact_median(rows, ["l_returnflag"], ["price"], hot_rows=500)
+    sizes = rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(sizes.join(medians, "l_returnflag"), "price_median")
+
+
 @query("sx07_fl08_wn15_rolling_psi", "SELECT * REPLACE (round_even(psi_score, 6) AS psi_score) FROM drift")
 def _(spark, sf):
     return rounded(CA.population_drift(lines(spark, sf), **LIMITS), "psi_score")

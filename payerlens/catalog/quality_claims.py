@@ -350,7 +350,7 @@ EVIDENCE_KEYS = ["BENE_ID", "CLM_ID", "LINE_NUM"]
 )
 def _(spark, sf):
     evidence = Q.claim_evidence(prepared(spark, sf), FILE)
-    sampled = sample_evidence(evidence, ["file", "dimension", "rule"], EVIDENCE_KEYS)
+    sampled = sample_evidence(evidence, ["file", "dimension", "rule"], EVIDENCE_KEYS, limit=5000)
     return sampled.groupBy("dimension", "rule", "action").agg(
         F.count(F.lit(1)).alias("sampled"),
         F.min("CLM_ID").alias("first_claim"),

@@ -175,7 +175,7 @@ def _(spark, sf):
 
 @query("rp11_score_points", """
     SELECT anomaly_type, provider_id, robust_z_score, psi_score FROM rp_all WHERE robust_z_score IS NOT NULL AND psi_score IS NOT NULL
-    ORDER BY robust_z_score DESC, anomaly_type, provider_id, subject, month NULLS FIRST LIMIT 500""")
+    ORDER BY robust_z_score DESC, anomaly_type, provider_id, subject, month NULLS FIRST""")
 def _(spark, sf):
     return R.score_points(everything(spark, sf)).select("anomaly_type", "provider_id", "robust_z_score", "psi_score")
 
@@ -289,7 +289,7 @@ def _(spark, sf):
     return rounded(R.risk_trend(claims_history(spark, sf)), "average_risk")
 
 
-@query("rp25_provider_options", "SELECT DISTINCT NPI FROM provider_volume_risk ORDER BY NPI LIMIT 500")
+@query("rp25_provider_options", "SELECT DISTINCT NPI FROM provider_volume_risk ORDER BY NPI")
 def _(spark, sf):
     return R.options(volume(spark, sf), "NPI")
 
@@ -327,7 +327,7 @@ def _(spark, sf):
         "volume": (volume(spark, sf), "risk_level", "NPI", "volume_risk"),
         "drug": (drug(spark, sf), "severity", "provider_id", "robust_z_score"),
     }
-    return R.drill_down(tables, "high")
+    return R.drill_down(tables, "high", 200)
 
 
 @query("rp29_portfolio_summary", """

@@ -3,7 +3,8 @@
 ``F.percentile`` keeps every distinct value of a group in one task. That is
 fine for ordinary groups and stays the fast path here. A group with more rows
 than ``hot_rows`` is instead narrowed by counting values in bins, which spreads
-over all tasks; only the last bin, a tiny slice of the range, is sorted. A
+over all tasks, level by level until at most SLICE distinct values of a group are
+left to sort. Both ways give the same medians, also for groups without values. A
 count of the group sizes, run when the plan is built, decides between the two.
 """
 
@@ -19,7 +20,7 @@ from payerlens.operators.stages import settle
 
 HOT_ROWS = 2_000_000
 BINS = 1024
-LEVELS = 2
+SLICE = 50_000
 RANK_BINS = 256
 ROBUST_Z_FACTOR = 0.6745
 
@@ -29,7 +30,15 @@ def _bin(value, low, high, bins):
     return F.coalesce(F.least(position, F.lit(bins - 1)), F.lit(0)).cast("long")
 
 
-def _select_medians(values: DataFrame, keys: list[str], bins: int, levels: int) -> DataFrame:
+def _largest(rows: DataFrame, keys: list[str]) -> int:
+    """Most rows of one group; a group whose values have met needs no further level."""
+    sizes = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    )
+    return sizes.filter("lo < hi").agg(F.max("n")).first()[0] or 0
+
+
+def _select_medians(values: DataFrame, keys: list[str], bins: int, most: int) -> DataFrame:
     """Medians of (keys, value) rows without gathering any group in one task."""
     counted = settle(values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt")))
     groups = counted.groupBy(*keys).agg(F.sum("cnt").alias("n"))
@@ -38,31 +47,44 @@ def _select_medians(values: DataFrame, keys: list[str], bins: int, levels: int)
         F.floor((F.col("n") + 1) / 2).alias("lower"),
         F.floor(F.col("n") / 2 + 1).alias("upper"),
     )
-    rows = null_safe_join(counted, F.broadcast(groups), keys).withColumn(
+    rows = null_safe_join(counted, groups, keys).withColumn(
         "before", F.lit(0).cast("bigint")
     )
-    for _ in range(levels):
+    while _largest(rows, keys) > most:
         span = rows.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-        binned = null_safe_join(rows, F.broadcast(span), keys).withColumn(
+        binned = null_safe_join(rows, span, keys).withColumn(
             "bin", _bin(F.col("value"), F.col("lo"), F.col("hi"), bins)
         )
         per_bin = binned.groupBy(*keys, "bin", "lower", "upper", "before").agg(
-            F.sum("cnt").alias("bin_cnt")
+            F.sum("cnt").alias("bin_cnt"), F.min("value").alias("least"), F.max("value").alias("most")
         )
         # At most `bins` rows per group reach this window.
         run = Window.partitionBy(*keys).orderBy("bin")
         per_bin = per_bin.withColumn("upto", F.col("before") + F.sum("bin_cnt").over(run))
         start = F.col("upto") - F.col("bin_cnt")
+        both = Window.partitionBy(*keys)
         wanted = per_bin.filter(
             ((start < F.col("lower")) & (F.col("lower") <= F.col("upto")))
             | ((start < F.col("upper")) & (F.col("upper") <= F.col("upto")))
-        ).select(*keys, "bin", F.min(start).over(Window.partitionBy(*keys)).alias("start"))
+        ).select(
+            *keys,
+            "bin",
+            start.alias("start"),
+            F.count(F.lit(1)).over(both).alias("parts"),
+            # In two bins, the ranks are the last of the first and the first of the second.
+            F.when(F.col("bin") == F.min("bin").over(both), F.col("most"))
+            .otherwise(F.col("least"))
+            .alias("edge"),
+        )
+        parted = F.col("parts") > 1
         rows = settle(
-            null_safe_join(binned, F.broadcast(wanted), [*keys, "bin"])
-            .withColumn("before", F.col("start"))
-            .drop("bin", "lo", "hi", "start")
+            null_safe_join(binned, wanted, [*keys, "bin"])
+            .filter(~parted | (F.col("value") == F.col("edge")))
+            .withColumn("before", F.when(parted, F.col("lower") - 1).otherwise(F.col("start")))
+            .withColumn("cnt", F.when(parted, F.lit(1).cast("bigint")).otherwise(F.col("cnt")))
+            .drop("bin", "lo", "hi", "start", "parts", "edge")
         )
-    # What is left is at most two of bins**levels slices of each group's range.
+    # At most ``most`` distinct values of each group are left.
     run = Window.partitionBy(*keys).orderBy("value")
     ranked = rows.withColumn("upto", F.col("before") + F.sum("cnt").over(run))
     low = F.min(F.when(F.col("upto") >= F.col("lower"), F.col("value")))
@@ -76,8 +98,8 @@ def _plain_medians(df: DataFrame, keys: list[str], columns: Sequence[str], suffi
     )
 
 
-def _split_medians(df, keys, columns, suffix, hot, bins, levels):
-    """Ordinary groups at once, the groups listed in ``hot`` by counting in bins."""
+def _split_medians(df, keys, columns, suffix, hot, bins, most):
+    """Ordinary groups at once, the groups listed in ``hot`` by counting in bins; all groups are kept."""
     cold = _plain_medians(null_safe_join(df, hot, keys, "left_anti"), keys, columns, suffix)
     entries = [
         F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns
@@ -88,14 +110,14 @@ def _split_medians(df, keys, columns, suffix, hot, bins, levels):
         .select(*keys, "m.measure", "m.value")
         .filter("value is not null")
     )
-    picked = _select_medians(values, [*keys, "measure"], bins, levels)
+    picked = _select_medians(values, [*keys, "measure"], bins, most)
     wide = picked.groupBy(*keys).agg(
         *[
             F.max(F.when(F.col("measure") == c, F.col("median"))).alias(f"{c}{suffix}")
             for c in columns
         ]
     )
-    return cold.unionByName(wide)
+    return cold.unionByName(null_safe_join(hot, wide, keys, "left"))
 
 
 def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
@@ -104,7 +126,7 @@ def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None
     hot = sizes.filter(F.col("__n") > hot_rows).select(*keys)
     if hot.isEmpty():
         return None
-    return F.broadcast(settle(hot))
+    return settle(hot)
 
 
 def exact_median(
@@ -114,7 +136,7 @@ def exact_median(
     suffix: str = "_median",
     hot_rows: int = HOT_ROWS,
     bins: int = BINS,
-    levels: int = LEVELS,
+    most: int = SLICE,
 ) -> DataFrame:
     """Exact median of each column per group, ignoring NULL; NULL keys are a group.
 
@@ -125,7 +147,7 @@ def exact_median(
     hot = _hot_keys(slim, keys, hot_rows)
     if hot is None:
         return _plain_medians(slim, keys, columns, suffix)
-    return _split_medians(slim, keys, columns, suffix, hot, bins, levels)
+    return _split_medians(slim, keys, columns, suffix, hot, bins, most)
 
 
 def robust_z(
@@ -155,13 +177,13 @@ def robust_z(
         slim = frame.select(*keys, *columns)
         if hot is None:
             return _plain_medians(slim, keys, columns, name)
-        return _split_medians(slim, keys, columns, name, hot, BINS, LEVELS)
+        return _split_medians(slim, keys, columns, name, hot, BINS, SLICE)
 
-    stats = null_safe_join(medians(rows, features, "__med"), size, keys)
-    rows = null_safe_join(rows, stats, keys)
+    stats = null_safe_join(size, medians(rows, features, "__med"), keys, "left")
+    rows = null_safe_join(rows, stats, keys, "left")
     dev = {f"{f}__dev": F.abs(F.col(f).cast("double") - F.col(f"{f}__med")) for f in features}
     rows = rows.withColumns(dev)
-    rows = null_safe_join(rows, medians(rows, list(dev), "_mad"), keys)
+    rows = null_safe_join(rows, medians(rows, list(dev), "_mad"), keys, "left")
     z = {}
     for f in features:
         enough = F.col("__rows" if count_missing else f"{f}__n") >= min_size

@@ -137,21 +137,36 @@ def _peer_count(f: str):
     return F.when(known, F.col(f"{f}_peer_count")).otherwise(0)
 
 
-def _reason(f: str, label: str):
-    z, actual, n = F.col(f"{f}_z"), F.col(f), _peer_count(f)
-    direction = F.when(z > 0, "HIGH").otherwise("LOW")
+def _signal(f: str, label: str):
+    """What a feature's reason text needs, as one struct."""
+    return F.struct(
+        F.lit(label).alias("label"),
+        F.col(f).cast("double").alias("actual"),
+        F.col(f"{f}_peer_median").cast("double").alias("median"),
+        _peer_count(f).cast("bigint").alias("n"),
+        F.col(f"{f}_z").alias("z"),
+    )
+
+
+def _reason(s):
+    direction = F.when(s["z"] > 0, "HIGH").otherwise("LOW")
     full = fill(
-        label + " is unusually {}: provider={}, peer median={}, peer count={}, Robust Z={}",
+        "{} is unusually {}: provider={}, peer median={}, peer count={}, Robust Z={}",
+        s["label"],
         direction,
-        fixed(actual, 2),
-        fixed(f"{f}_peer_median", 2),
-        n,
-        fixed(z, 2),
+        fixed(s["actual"], 2),
+        fixed(s["median"], 2),
+        s["n"],
+        fixed(s["z"], 2),
     )
     short = fill(
-        label + " is unusually {}: provider={}, Robust Z={}", direction, fixed(actual, 2), fixed(z, 2)
+        "{} is unusually {}: provider={}, Robust Z={}",
+        s["label"],
+        direction,
+        fixed(s["actual"], 2),
+        fixed(s["z"], 2),
     )
-    return F.when(F.coalesce(F.abs(z) >= Z_LIMIT, F.lit(False)), F.when(n > 0, full).otherwise(short))
+    return F.when(s["n"] > 0, full).otherwise(short)
 
 
 def _row_id():
@@ -159,29 +174,35 @@ def _row_id():
 
 
 def with_signals(rows: DataFrame) -> DataFrame:
-    reasons = [_reason(f, label) for f, label in FEATURES.items()]
+    """Scored rows with their signals: one array of structs, so each text is built in one place.
+
+    The scored rows are settled, which keeps their expressions out of the texts and filters above.
+    """
+    rows = settle(rows)
     drifts = {n: F.coalesce(F.col(n) >= PSI_LIMIT, F.lit(False)) for n in MIXES}
     texts = [
-        F.when(drifts[n], fill(text, fixed(n, 4))) for n, (_, _, text) in MIXES.items()
+        F.when(F.col(f"{n}_anomaly") == 1, fill(text, fixed(n, 4))) for n, (_, _, text) in MIXES.items()
     ]
-    kept = F.filter(F.array(*reasons), lambda t: t.isNotNull())
     rows = rows.withColumns(
         {
-            "abnormal": F.size(kept),
-            "reason": F.concat_ws("; ", F.array_join(kept, "; "), *texts),
-            "max_z": F.greatest(*[F.abs(F.col(f"{f}_z")) for f in FEATURES]),
+            "signals": F.array(*[_signal(f, label) for f, label in FEATURES.items()]),
             "max_psi": F.greatest(*MIXES),
             **{f"{n}_anomaly": hit.cast("int") for n, hit in drifts.items()},
         }
     )
+    hits = F.filter("signals", lambda s: F.coalesce(F.abs(s["z"]) >= Z_LIMIT, F.lit(False)))
+    rows = rows.withColumns(
+        {"hits": hits, "max_z": F.array_max(F.transform("signals", lambda s: F.abs(s["z"])))}
+    )
     drifting = F.col("specialty_psi_anomaly") + F.col("state_psi_anomaly")
+    reasons = F.concat(F.transform("hits", _reason), F.array_compact(F.array(*texts)))
     return rows.withColumns(
         {
-            "anomaly_count": F.col("abnormal") + drifting,
-            # Without abnormal features the joined text starts with its separator.
-            "reason": F.when(F.col("abnormal") == 0, F.concat_ws("; ", *texts)).otherwise(F.col("reason")),
+            "abnormal": F.size("hits"),
+            "anomaly_count": F.size("hits") + drifting,
+            "reason": F.array_join(reasons, "; "),
         }
-    )
+    ).drop("signals", "hits")
 
 
 def drug_anomaly_rows(rows: DataFrame) -> DataFrame:
@@ -322,7 +343,7 @@ def drug_anomalies(
     prescriptions: DataFrame, drug_list: DataFrame, totals: DataFrame
 ) -> dict[str, DataFrame]:
     """Both drug anomaly tables and the classified provider-drug rows."""
-    base = settle(measured(prescriptions))
+    base = measured(prescriptions)
     rows = with_signals(scored(base))
     yearly = yearly_scores(totals)
     return {

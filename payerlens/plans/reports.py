@@ -54,12 +54,11 @@ def page(
     descending: bool = True,
     number: int = 1,
     size: int = 25,
-    largest: int = 500,
 ) -> DataFrame:
     """One page of a listing; an unknown sort column falls back to the first allowed one."""
     by = F.col(sort if sort in allowed else allowed[0])
     order = by.desc_nulls_last() if descending else by.asc_nulls_first()
-    size = max(1, min(size, largest))
+    size = max(1, size)
     return df.orderBy(order, *ties).offset((max(1, number) - 1) * size).limit(size)
 
 
@@ -68,8 +67,10 @@ def listing_totals(df: DataFrame, **measures: Column) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"), *[m.alias(n) for n, m in measures.items()])
 
 
-def options(df: DataFrame, column: str, limit: int = 500) -> DataFrame:
-    return df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).limit(limit)
+def options(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """All values to choose from, in order; a limit only where the caller gives one."""
+    found = df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)
+    return found if limit is None else found.limit(limit)
 
 
 # -- top and latest ---------------------------------------------------------------
@@ -143,9 +144,10 @@ def busiest_providers(anomalies: DataFrame, n: int = 10) -> DataFrame:
     return top(counts, "anomalies", n, "provider_id")
 
 
-def score_points(anomalies: DataFrame, n: int = 500) -> DataFrame:
+def score_points(anomalies: DataFrame, n: int | None = None) -> DataFrame:
+    """All points with both scores; the strongest n where n is given."""
     both = anomalies.filter("robust_z_score is not null and psi_score is not null")
-    return top(both, "robust_z_score", n, "anomaly_type", "provider_id", "subject", "month")
+    return both if n is None else top(both, "robust_z_score", n, "anomaly_type", "provider_id", "subject", "month")
 
 
 def alerts(drug: DataFrame, claim: DataFrame, n: int = 10) -> DataFrame:
@@ -171,8 +173,8 @@ def issue_distribution(levels: DataFrame, column: str) -> DataFrame:
     )
 
 
-def drill_down(tables: dict[str, tuple[DataFrame, str, str, str]], wanted: str, n: int = 200) -> DataFrame:
-    """Rows of one level from several tables: (frame, level column, id column, score column)."""
+def drill_down(tables: dict[str, tuple[DataFrame, str, str, str]], wanted: str, n: int) -> DataFrame:
+    """The n strongest rows of one level from each table: (frame, level column, id column, score column)."""
     parts = []
     for source, (df, level_column, id_column, score) in tables.items():
         rows = with_level(df, level_column, [wanted]).select(

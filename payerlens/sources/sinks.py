@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-EVIDENCE_LIMIT = 5000
 SALTS = 64
 
 
@@ -39,13 +38,15 @@ def merge_runs(old: DataFrame, new: DataFrame, obsolete: tuple[str, ...] = ()) -
 
 
 def sample_evidence(
-    evidence: DataFrame, keys: list[str], order: list[str], limit: int = EVIDENCE_LIMIT
+    evidence: DataFrame, keys: list[str], order: list[str], limit: int | None
 ) -> DataFrame:
-    """At most ``limit`` example rows per rule, the first ones in the given order.
+    """At most ``limit`` example rows per rule, the first ones in the given order; all with None.
 
     Ranked in two steps so a rule that fails on most rows is cut down per salt
     before its examples meet in one task (at most SALTS * limit rows).
     """
+    if limit is None:
+        return evidence
     salted = evidence.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
     first = Window.partitionBy(*keys, "__salt").orderBy(*order)
     second = Window.partitionBy(*keys).orderBy(*order)
@@ -58,10 +59,12 @@ def sample_evidence(
     )
 
 
-def write_evidence(evidence: DataFrame, summary: DataFrame, path: str, order: list[str]) -> None:
-    """Example rows partitioned by file, dimension and rule, plus a JSON summary."""
+def write_evidence(
+    evidence: DataFrame, summary: DataFrame, path: str, order: list[str], limit: int | None
+) -> None:
+    """Up to ``limit`` example rows (None: all) by file, dimension and rule, plus a JSON summary."""
     keys = ["file", "dimension", "rule"]
-    sample_evidence(evidence, keys, order).write.mode("overwrite").partitionBy(*keys).option(
+    sample_evidence(evidence, keys, order, limit).write.mode("overwrite").partitionBy(*keys).option(
         "header", True
     ).csv(f"{path}/samples")
     summary.write.mode("overwrite").json(f"{path}/summary")

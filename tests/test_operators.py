@@ -53,6 +53,19 @@ def test_robust_z_edges(spark):
     assert hot == pytest.approx(z)
 
 
+def test_all_null_and_long_tailed_groups(spark):
+    """Groups without values stay; a slice that equal bins cannot part is narrowed again."""
+    data = [("none", None)] * 8 + [("some", float(i)) for i in range(8)]
+    data += [("tail", float(i)) for i in range(301)] + [("tail", 1e9), ("tail", 2e9)]
+    data += [("split", float(i)) for i in range(40)] + [("split", 1e6 + i) for i in range(40)]
+    df = spark.createDataFrame(data, "g string, x double")
+    want = {"none": None, "some": 3.5, "tail": 151.0, "split": (39 + 1e6) / 2}
+    for hot_rows in (4, 10, 1_000_000):
+        got = exact_median(df, ["g"], ["x"], hot_rows=hot_rows, bins=16, most=5).collect()
+        assert {r["g"]: r["x_median"] for r in got} == want
+        assert robust_z(df, ["g"], ["x"], hot_rows=hot_rows).count() == len(data)
+
+
 def test_percent_ranks_match_pandas(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"k": range(400), "a": rng.integers(0, 30, 400).astype(float), "b": rng.lognormal(0, 3, 400)})

@@ -249,5 +249,5 @@ def test_evidence_limit(spark, tmp_path):
     got = sinks.sample_evidence(df, ["file", "dimension", "rule"], ["k"], limit=7).collect()
     assert sorted(r["k"] for r in got if r["rule"] == "big") == list(range(7))
     assert len(got) == 14
-    sinks.write_evidence(df, df.groupBy("rule").count(), str(tmp_path / "e"), ["k"])
+    sinks.write_evidence(df, df.groupBy("rule").count(), str(tmp_path / "e"), ["k"], limit=7)
     assert spark.read.json(str(tmp_path / "e" / "summary")).count() == 2
