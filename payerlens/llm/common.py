@@ -14,13 +14,6 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2_000_000
 BROADCAST_ROWS = 200_000
 
-#: ASCII letters in lower case.
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Lower-case bytes; everything outside 0-9, a-z and non-ASCII becomes a blank.
-_WORDS = bytes(
-    c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in _LOWER
-)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,16 +24,6 @@ def whole_text(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(df[name].cast("string"), F.lit(""))
 
 
-def alnum_words(text: str) -> list[bytes]:
-    """Words of digits, letters a-z (A-Z lower-cased) and non-ASCII characters, as UTF-8."""
-    return text.encode().translate(_WORDS).split()
-
-
-def lower_words(text: str) -> list[bytes]:
-    """Words between blanks, tabs and line ends, A-Z lower-cased, as UTF-8."""
-    return text.encode().translate(_LOWER).split()
-
-
 def partition_id() -> int:
     return TaskContext.get().partitionId()
 

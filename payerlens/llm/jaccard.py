@@ -9,10 +9,10 @@ out; survivors are compared exactly.
 Points meet where they can be near: equal sets become one node; of a set of n the
 smallest n - ceil(0.8 n) + 1 n-grams in one global order are its keys, and linked sets
 share a key. Frequent keys go to the end of that order, which spares buckets of
-passages that many documents share. First each bucket's best-connected node is held
-against the others, which joins groups of near copies in linear work; then buckets
-with nodes of different components are searched by an R-tree of their points, boxes of
-one component left out.
+passages that many documents share. First each node is held against the best-connected
+node that it shares keys with, which joins groups of near copies in linear work; then
+buckets with nodes of different components are searched by an R-tree of their points,
+boxes of one component left out.
 """
 
 from __future__ import annotations
@@ -27,28 +27,47 @@ from pyspark.sql import functions as F
 
 from payerlens.operators.stages import settle
 
-from .common import lower_words, map_arrow, small_slices, whole_text
+from .common import join_small, map_arrow, small_slices, whole_text
 from .components import components
-from .hashing import WordHashes, grams, scramble
-
-GROUPS = 64
-#: Keys of more nodes than this are frequent; at most MOST_FREQUENT of them are put last.
-FREQUENT = 64
+from .hashing import grams, scramble, words_of
+
+GROUPS = 256
+#: Hash groups of the finer points that distinct survivors are held against before their sets.
+FINE = 1024
+#: A key is frequent if this share of a partition's documents, and SEEN of them, have it.
+FREQUENT = 0.002
+SEEN = 8
+#: The most frequent keys, so many at most, go last in the order.
 MOST_FREQUENT = 100_000
 LEAF = 32
 #: Larger buckets are searched as pairs of chunks.
 CHUNK = 20_000
-
-
-def shingles(text: str, known: WordHashes, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams; fewer words are one n-gram."""
-    words = lower_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashed = known.of(words)
-    if len(words) < size:
-        return scramble(grams(hashed, len(words)) ^ np.uint64(len(words)))
-    return np.unique(grams(hashed, size))
+#: Keys that one reducing block holds on average.
+BLOCK = 250_000
+
+
+def sets_of(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's word n-grams; fewer words are one n-gram."""
+    words = words_of(texts)
+    whole = grams(words.hashes, size)
+    out = []
+    for r in range(len(texts)):
+        own = words.of(r)
+        n = own.stop - own.start
+        if n >= size:
+            found = np.sort(whole[own.start : own.stop - size + 1])
+            out.append(found[np.concatenate([[True], found[1:] != found[:-1]])])
+        elif n:
+            out.append(scramble(grams(words.hashes[own], n) ^ np.uint64(n)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def name(found: np.ndarray) -> int:
+    """The node of a set: 63 bits of a digest of it."""
+    raw = hashlib.blake2b(found.tobytes(), digest_size=8).digest()
+    return int.from_bytes(raw, "little") >> 1
 
 
 def least_common(n: int, percent: int) -> int:
@@ -66,104 +85,157 @@ def keys(found: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate([found[~last], found[last]])[:n]
 
 
-def points(found: np.ndarray) -> np.ndarray:
-    groups = (found >> np.uint64(20)) % np.uint64(GROUPS)
-    return np.bincount(groups.astype(np.int64), minlength=GROUPS).clip(max=2**31 - 1).astype(np.int32)
+def point(found: np.ndarray, groups: int) -> bytes:
+    """Numbers of the hashes in each group, one byte each, or four where one byte is too small."""
+    counts = np.bincount(((found >> np.uint64(20)) % np.uint64(groups)).astype(np.int64), minlength=groups)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def points(packed: list[bytes], groups: int) -> np.ndarray:
+    """The points as rows."""
+    if all(len(p) == groups for p in packed):
+        return np.frombuffer(b"".join(packed), np.uint8).reshape(-1, groups)
+    return np.stack([np.frombuffer(p, np.uint8 if len(p) == groups else np.uint32).astype(np.uint32) for p in packed])
 
 
 def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, digest, keys and point of every row."""
+    """doc_id, n, node and point of every row; also rows (often, node) for the keys frequent in a partition."""
     none = np.zeros(0, np.uint64)
 
     def work(batches):
-        known = WordHashes()
+        often: dict[int, int] = {}
+        seen: set[int] = set()
         for batch in small_slices(batches):
-            known.forget()
-            rows: list[list] = [[] for _ in range(5)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = shingles(text, known, size)
-                row = (
-                    doc,
-                    len(found),
-                    hashlib.blake2b(found.tobytes(), digest_size=16).digest(),
-                    keys(found, none, percent).view(np.int64) if len(found) else [],
-                    points(found).tobytes(),
-                )
-                for column, value in zip(rows, row):
-                    column.append(value)
-            yield rows
-
-    return map_arrow(docs, work, "doc_id bigint, n bigint, digest binary, keys array<bigint>, point binary")
-
-
-def _new_keys(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(digest, new_keys) of the sets whose keys change when the frequent hashes go last."""
+            found = sets_of(batch.column(1), size)
+            nodes = [name(s) if len(s) else None for s in found]
+            new = [s for s, v in zip(found, nodes) if v is not None and v not in seen]
+            seen.update(v for v in nodes if v is not None)
+            if new:
+                each, counts = np.unique(np.concatenate([keys(s, none, percent) for s in new]), return_counts=True)
+                for k, c in zip(each[counts > 1].view(np.int64).tolist(), counts[counts > 1].tolist()):
+                    often[k] = often.get(k, 0) + c
+            if len(often) > 1_000_000:  # keys seen twice in few slices are not frequent
+                often = {k: c for k, c in often.items() if c > len(seen) * FREQUENT / 2}
+            if len(seen) > 2_000_000:
+                seen = set()
+            n = len(found)
+            yield [batch.column(0), [len(s) for s in found], nodes, [point(s, GROUPS) for s in found], [None] * n]
+        hot = {k: c for k, c in often.items() if c >= max(SEEN, FREQUENT * len(seen))}
+        if hot:
+            n = len(hot)
+            yield [[None] * n, [None] * n, list(hot), [None] * n, list(hot.values())]
+
+    return map_arrow(docs, work, "doc_id bigint, n bigint, node bigint, point binary, often bigint")
+
+
+def _buckets(docs: DataFrame, frequent: np.ndarray, blocks: int, size: int, percent: int) -> DataFrame:
+    """(key, node) of every key that two nodes share.
+
+    Tasks send their keys packed by block, each set once; a block's keys are sorted as
+    arrays.
+    """
 
-    def work(batches):
-        known = WordHashes()
+    def send(batches):
+        seen: set[int] = set()
         for batch in small_slices(batches):
-            known.forget()
-            rows: list[list] = [[], []]
-            for text in batch.column(1).to_pylist():
-                found = shingles(text, known, size)
-                if not len(found):
+            each, of = [], []
+            for s in sets_of(batch.column(1), size):
+                if not len(s) or (v := name(s)) in seen:
                     continue
-                before = found[: len(found) - least_common(len(found), percent) + 1]
-                near = np.searchsorted(frequent, before).clip(max=len(frequent) - 1)
-                if (frequent[near] == before).any():
-                    rows[0].append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                    rows[1].append(keys(found, frequent, percent).view(np.int64))
-            yield rows
+                seen.add(v)
+                own = keys(s, frequent, percent)
+                each.append(own)
+                of.append(np.full(len(own), v, np.int64))
+            if len(seen) > 2_000_000:
+                seen = set()
+            if not each:
+                continue
+            key, node = np.concatenate(each), np.concatenate(of)
+            block = (scramble(key) % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) > 0, [True]]))
+            runs = [order[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            yield [
+                [int(block[r[0]]) for r in runs],
+                [key[r].tobytes() for r in runs],
+                [node[r].tobytes() for r in runs],
+            ]
+
+    def meet(batches):
+        held, block = ([], []), None
 
-    return map_arrow(docs, work, "digest binary, new_keys array<bigint>")
+        def close():
+            key = np.frombuffer(b"".join(held[0]), np.int64)
+            node = np.frombuffer(b"".join(held[1]), np.int64)
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+            key, node = key[new], node[new]
+            same = key[1:] == key[:-1]
+            shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            return [key[shared], node[shared]]
 
+        for batch in batches:
+            for at, key, node in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != block:
+                    if held[0]:
+                        yield close()
+                    held, block = ([], []), at
+                held[0].append(key)
+                held[1].append(node)
+        if held[0]:
+            yield close()
 
-def _bags(docs: DataFrame, size: int) -> DataFrame:
-    """(node, digest, hashes): the sets of the rows given with a node."""
+    sent = map_arrow(docs, send, "block int, keys binary, nodes binary")
+    return map_arrow(sent.repartition("block").sortWithinPartitions("block"), meet, "key bigint, node bigint")
+
+
+def _bags(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, n, point, hashes): sets and fine points of the wanted nodes (node, rep), from their documents' texts."""
 
     def work(batches):
-        known = WordHashes()
         for batch in small_slices(batches):
-            known.forget()
-            rows: list[list] = [[], [], []]
-            for node, text, digest in zip(*(c.to_pylist() for c in batch.columns)):
-                found = shingles(text, known, size)
-                if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == digest:
-                    for column, value in zip(rows, (node, digest, found.tobytes())):
-                        column.append(value)
-            yield rows
+            nodes = batch.column(0).to_pylist()
+            kept = [(v, s) for v, s in zip(nodes, sets_of(batch.column(1), size)) if len(s) and name(s) == v]
+            yield [
+                [v for v, _ in kept],
+                [len(s) for _, s in kept],
+                [point(s, FINE) for _, s in kept],
+                [s.tobytes() for _, s in kept],
+            ]
 
-    return map_arrow(docs, work, "node bigint, digest binary, hashes binary")
+    texts = join_small(docs, wanted.select(F.col("rep").alias("doc_id"), "node"), ["doc_id"])
+    schema = "node bigint, n bigint, point binary, hashes binary"
+    return map_arrow(texts.select("node", "text"), work, schema).dropDuplicates(["node"])
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _near(pairs: DataFrame, nodes: DataFrame, groups: int, percent: int) -> DataFrame:
     """Pairs (a, b) that pass the bound on their points."""
-    point = nodes.select("node", "n", "point")
-    left = point.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
-    right = point.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
+    of = nodes.select("node", "n", "point")
+    left = of.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
+    right = of.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")
 
     def work(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
-            pa_, pb = (
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int32).reshape(-1, GROUPS)
-                for i in (4, 5)
-            )
-            bound = np.minimum(pa_, pb).sum(axis=1, dtype=np.int64)
-            kept = pa.array((100 + percent) * bound >= percent * (na + nb))
-            yield [batch.column(0).filter(kept), batch.column(1).filter(kept)]
+            if batch.num_rows:
+                na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+                left, right = (points(batch.column(i).to_pylist(), groups) for i in (4, 5))
+                bound = np.minimum(left, right).sum(axis=1, dtype=np.int64)
+                kept = pa.array((100 + percent) * bound >= percent * (na + nb))
+                yield [batch.column(0).filter(kept), batch.column(1).filter(kept)]
 
     return map_arrow(both, work, "a bigint, b bigint")
 
 
-def _linked(pairs: DataFrame, bags: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets are similar enough, by their n-grams."""
+def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sets are similar enough: by finer points, then by their n-grams."""
+    both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    bags = settle(_bags(docs, nodes.join(both, "node", "left_semi"), size))
+    close = settle(_near(pairs, bags, FINE, percent))
     left = bags.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     right = bags.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb")
+    both = close.join(left, "a").join(right, "b").select("a", "b", "ha", "hb")
 
     def work(batches):
         for batch in batches:
@@ -238,39 +310,77 @@ def survivors(
     if not left.any() or not right.any():
         return
     tree, names = Tree(point[right], n[right], label[right]), node[right]
-    for q, size, own, name in zip(point[left], n[left], label[left], node[left]):
+    for q, size, own, mark in zip(point[left], n[left], label[left], node[left]):
         for j in tree.search(q, size, own, percent, 0):
-            yield name, names[tree.order[j]]
+            yield mark, names[tree.order[j]]
+
+
+def small_survivors(
+    group: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, point: np.ndarray, percent: int
+) -> np.ndarray:
+    """The same (two rows of nodes) for whole buckets of at most LEAF rows, which are a box each, side by side."""
+    first, second = [], []
+    for d in range(1, min(LEAF, len(group))):
+        i = np.flatnonzero(group[d:] == group[:-d])
+        if not len(i):
+            break
+        j = i + d
+        ok = (label[i] != label[j]) & (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
+        first.append(i[ok])
+        second.append(j[ok])
+    if not first:
+        return np.zeros((2, 0), np.int64)
+    i, j = np.concatenate(first), np.concatenate(second)
+    pair = np.unique(np.sort(np.stack([node[i], node[j]]), axis=0), axis=1, return_index=True)[1] if len(i) else i
+    i, j = i[pair], j[pair]
+    ok = np.ones(len(i), bool)
+    for at in range(0, len(i), 50_000):
+        p, q = i[at : at + 50_000], j[at : at + 50_000]
+        bound = np.minimum(point[p], point[q]).sum(axis=1, dtype=np.int64)
+        ok[at : at + 50_000] = (100 + percent) * bound >= percent * (n[p] + n[q])
+    return np.stack([node[i[ok]], node[j[ok]]])
 
 
 def _searched(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct surviving pairs of rows (key, chunk, side, node, label, n, point), bucket by bucket."""
 
-    def work(batches):
-        held: list[tuple] = []
-        name = None
-
-        def close():
-            if len(held) < 2:
-                return None
-            columns = list(zip(*held))
-            args = [np.array(c, np.int64) for c in columns[1:4]]
-            point = np.frombuffer(b"".join(columns[4]), np.int32).reshape(-1, GROUPS)
-            found = list(survivors(*args, point, np.array(columns[0], np.int64), percent))
-            if found:
-                a, b = np.array(found, np.int64).T
-                return [np.minimum(a, b), np.maximum(a, b)]
-            return None
+    def found(batch: pa.RecordBatch) -> list:
+        """Pairs of whole buckets."""
+        key, chunk, side, node, label, n = (batch.column(i).to_numpy() for i in range(6))
+        point = points(batch.column(6).to_pylist(), GROUPS)
+        edges = np.flatnonzero(
+            np.concatenate([[True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]), [True]])
+        )
+        sizes = np.diff(edges)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        parted = np.logical_or.reduceat(side != 0, edges[:-1])
+        small = ((sizes <= LEAF) & ~parted)[group]
+        out = [small_survivors(group[small], node[small], label[small], n[small], point[small], percent)]
+        for g in np.flatnonzero((sizes > LEAF) | parted).tolist():
+            own = slice(edges[g], edges[g + 1])
+            pairs = list(survivors(node[own], label[own], n[own], point[own], side[own], percent))
+            if pairs:
+                out.append(np.array(pairs, np.int64).T)
+        a, b = np.concatenate(out, axis=1)
+        return [np.minimum(a, b), np.maximum(a, b)]
 
+    def work(batches):
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for key, chunk, side, node, label, n, point in zip(*(c.to_pylist() for c in batch.columns)):
-                if (key, chunk) != name:
-                    if out := close():
-                        yield out
-                    name, held = (key, chunk), []
-                held.append((side, node, label, n, point))
-        if out := close():
-            yield out
+            if not batch.num_rows:
+                continue
+            key, chunk = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            # the last bucket of a batch may go on in the next one
+            go = np.flatnonzero((key != key[-1]) | (chunk != chunk[-1]))
+            cut = int(go[-1]) + 1 if len(go) else 0
+            if not cut and held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) == (key[-1], chunk[-1]):
+                held.append(batch)
+                continue
+            whole = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()
+            yield from map(found, whole)
+            held = [batch.slice(cut)]
+        if held:
+            yield from map(found, pa.Table.from_batches(held).combine_chunks().to_batches())
 
     dealt = (
         rows.select("key", "chunk", "side", "node", "label", "n", "point")
@@ -288,69 +398,58 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     text's component but names none; an empty table gives no rows.
     """
     texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), whole_text(docs).alias("text"))
-    rows = settle(_sets(texts, size, percent))
+    settled = settle(_sets(texts, size, percent))
+    rows = settled.where("often IS NULL")
     nodes = settle(
-        rows.where("n > 0")
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("point").alias("point"))
-        .withColumn("node", F.monotonically_increasing_id())
+        rows.where("n > 0 AND doc_id IS NOT NULL")
+        .groupBy("node")
+        .agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("point").alias("point"))
     )
-
-    def counted(df):
-        return df.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-
-    each = nodes.select("node", F.explode("keys").alias("key"))
-    shared = settle(counted(each))
     frequent = np.sort(
-        shared.where(F.col("df") > FREQUENT)
-        .orderBy(F.desc("df"), "key")
+        settled.where("often IS NOT NULL")
+        .groupBy("node")
+        .agg(F.sum("often").alias("often"))
+        .orderBy(F.desc("often"), "node")
         .limit(MOST_FREQUENT)
-        .select("key")
-        .toPandas()["key"]
+        .select("node")
+        .toPandas()["node"]
         .to_numpy(np.int64)
         .view(np.uint64)
     )
-    if len(frequent):
-        changed = _new_keys(texts, frequent, size, percent).groupBy("digest").agg(F.first("new_keys").alias("new_keys"))
-        each = (
-            nodes.select("node", "digest", "keys")
-            .join(changed, "digest", "left")
-            .select("node", F.explode(F.coalesce("new_keys", "keys")).alias("key"))
-        )
-        each = settle(each)
-        shared = settle(counted(each))
-    buckets = settle(each.join(shared, "key"))
-
-    needed = buckets.select("node").distinct().join(nodes, "node").where("rep IS NOT NULL")
-    wanted = needed.select(F.col("rep").alias("doc_id"), "node", "digest")
-    bags = settle(
-        _bags(texts.join(wanted.hint("shuffle_hash"), "doc_id").select("node", "text", "digest"), size)
-        .groupBy("node")
-        .agg(F.first("hashes").alias("hashes"))
-    )
+    many = nodes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
+    buckets = settle(_buckets(texts, frequent, max(16, int(many / BLOCK)), size, percent))
 
-    # the best-connected node of each bucket against the others
-    score = buckets.groupBy("node").agg(F.sum("df").alias("score"))
-    scored = buckets.join(score, "node")
+    # each node against the best-connected node that it shares keys with
+    score = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("score"))
+    scored = join_small(buckets, score, ["node"])
     pivot = scored.groupBy("key").agg(F.max(F.struct("score", "node"))["node"].alias("pivot"))
     star = (
         buckets.join(pivot, "key")
         .where("node <> pivot")
+        .groupBy("node", "pivot")
+        .count()
+        .groupBy("node")
+        .agg(F.max(F.struct("count", "pivot"))["pivot"].alias("pivot"))
         .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         .distinct()
     )
-    first = settle(_linked(_near(star, nodes, percent), bags, percent))
+    near = settle(_near(star, nodes, GROUPS, percent))
+    first = settle(_linked(near, texts, nodes, size, percent))
     roots = components(first)
-    labels = settle(
-        buckets.select("node").distinct().join(roots, "node", "left").select(
-            "node", F.coalesce("root", "node").alias("label")
+    labelled = settle(
+        join_small(buckets, roots, ["node"], "left").select(
+            "key", "node", F.coalesce("root", "node").alias("label")
         )
     )
 
     # buckets of several components
-    labelled = settle(buckets.join(labels, "node").select("key", "node", "label", "df"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    inside = labelled.join(mixed.select("key"), "key", "left_semi").join(nodes.select("node", "n", "point"), "node")
+    mixed = (
+        labelled.groupBy("key")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("df"))
+        .where("low < high")
+        .select("key", "df")
+    )
+    inside = labelled.join(mixed, "key").join(nodes.select("node", "n", "point"), "node")
     parts = F.ceil(F.col("df") / F.lit(CHUNK)).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     pair = F.transform(
@@ -364,17 +463,33 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     chunked = inside.select("*", F.explode(pair).alias("p")).select(
         "key", "node", "label", "n", "point", (F.col("p.i") * F.lit(1 << 20) + F.col("p.j")).alias("chunk"), "p.side"
     )
-    second = _linked(_searched(chunked, percent), bags, percent)
+    rest = settle(_searched(chunked, percent))
+    second = settle(_linked(rest, texts, nodes, size, percent))
     roots = components(first.unionByName(second))
 
-    named = nodes.select("node", "digest", "rep").join(roots, "node", "left").select(
-        "digest", "rep", F.coalesce("root", "node").alias("root")
+    named = settle(
+        join_small(nodes.select("node", "rep"), roots, ["node"], "left").select(
+            "node", "rep", F.coalesce("root", "node").alias("root")
+        )
     )
-    named = settle(named)
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = named.join(smallest, "root").select("digest", "component_id")
-    return rows.join(of, "digest", "left").select(
+    of = named.join(smallest, "root").select("node", "component_id")
+    return rows.join(of, "node", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of the smallest doc_id of every component, all columns kept.
+
+    Of repeated rows of one doc_id one stays. Rows with a null doc_id name no document
+    and pass. Different texts under one doc_id stay or go together.
+    """
+    found = settle(classes(docs, size, percent).where("doc_id IS NOT NULL"))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = join_small(docs, gone, ["doc_id"], "left_anti")
+    once = join_small(kept, again, ["doc_id"], "left_anti")
+    return once.unionByName(join_small(kept, again, ["doc_id"], "left_semi").dropDuplicates(["doc_id"]))

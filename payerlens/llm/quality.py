@@ -13,11 +13,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, small_slices, whole_text
-from .hashing import WordHashes
+from .hashing import words_of
 
 #: Most documents of each kind that the fit reads, drawn by a hash of their ids.
 SAMPLE = 12_000
@@ -44,38 +45,41 @@ _TABLE = _kinds()
 FEATURES = _KINDS * _KINDS + 12
 
 
-def features(text: str, known: WordHashes) -> np.ndarray:
-    """Numbers between 0 and about 1 that describe the shape of a whole text."""
-    out = np.zeros(FEATURES, np.float32)
-    raw = text.encode()
-    if not raw.strip():
-        return out
-    kinds = _TABLE[np.frombuffer(raw, np.uint8)]
-    pairs = np.bincount(kinds[:-1] * np.uint16(_KINDS) + kinds[1:], minlength=_KINDS * _KINDS)
-    out[: _KINDS * _KINDS] = np.sqrt(pairs / max(1, len(kinds) - 1))
-    words = raw.split()
-    n = len(words)
-    hashed = known.of(words)
-    size = np.fromiter(map(len, words), np.float32, n)
-    counts = np.unique(hashed, return_counts=True)[1]
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    distinct_lines = len(set(lines))
-    line_words = n / len(lines)
-    again = (hashed[1:] == hashed[:-1]).mean() if n > 1 else 0.0
-    out[_KINDS * _KINDS :] = (
-        1.0,
-        np.log10(1 + n) / 5,
-        min(2.0, size.mean() / 10),
-        min(2.0, size.std() / 10),
-        len(counts) / n,
-        np.sqrt(len(counts) / n),
-        counts.max() / n,
-        again,
-        np.sqrt(again),
-        1 - distinct_lines / len(lines),
-        min(2.0, line_words / 50),
-        float(size.max() > 40),
-    )
+def features(texts: pa.Array) -> np.ndarray:
+    """Numbers between 0 and about 2 that describe the shape of each whole text, a row a text."""
+    texts = texts.fill_null("")
+    words = words_of(texts, lower=False)
+    size_of = (words.ends - words.begins).astype(np.float32)
+    out = np.zeros((len(texts), FEATURES), np.float32)
+    for r, text in enumerate(texts.to_pylist()):
+        own = words.of(r)
+        n = own.stop - own.start
+        if not n:
+            continue
+        raw = text.encode()
+        kinds = _TABLE[np.frombuffer(raw, np.uint8)]
+        pairs = np.bincount(kinds[:-1] * np.uint16(_KINDS) + kinds[1:], minlength=_KINDS * _KINDS)
+        out[r, : _KINDS * _KINDS] = np.sqrt(pairs / max(1, len(kinds) - 1))
+        hashed, size = words.hashes[own], size_of[own]
+        ordered = np.sort(hashed)
+        edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
+        distinct, most = len(edges) - 1, int(np.diff(edges).max())
+        lines = [x for x in raw.split(b"\n") if x.strip()]
+        again = float((hashed[1:] == hashed[:-1]).mean()) if n > 1 else 0.0
+        out[r, _KINDS * _KINDS :] = (
+            1.0,
+            np.log10(1 + n) / 5,
+            min(2.0, size.mean() / 10),
+            min(2.0, size.std() / 10),
+            distinct / n,
+            np.sqrt(distinct / n),
+            most / n,
+            again,
+            np.sqrt(again),
+            1 - len(set(lines)) / len(lines),
+            min(2.0, n / len(lines) / 50),
+            float(size.max() > 40),
+        )
     return out
 
 
@@ -146,10 +150,8 @@ def fit(
 
 def _features_of(docs: DataFrame) -> np.ndarray:
     def work(batches):
-        known = WordHashes()
         for batch in small_slices(batches):
-            known.forget()
-            yield [[features(t, known).tobytes() for t in batch.column(0).to_pylist()]]
+            yield [[row.tobytes() for row in features(batch.column(0))]]
 
     rows = map_arrow(docs.select(whole_text(docs).alias("text")), work, "x binary").toPandas()
     if not len(rows):
@@ -182,6 +184,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     return fit(good, _features_of(others), prior) if len(good) else None
 
 
+def good(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows whose score is at least 0.5, all columns kept; without a model all rows."""
+    text = docs.columns.index("text")
+
+    def run(batches):
+        for batch in small_slices(batches):
+            yield batch.filter(pa.array(model.score(features(batch.column(text))) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema) if model else docs
+
+
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` (its columns kept) with score and predicted.
 
@@ -193,17 +206,13 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = StructType(docs.schema.fields + [StructField("score", DoubleType())])
     text = docs.columns.index("text")
     names = docs.columns
-    import pyarrow as pa
 
     def run(batches):
-        known = WordHashes()
         for batch in small_slices(batches):
-            known.forget()
-            texts = batch.column(text).to_pylist()
             if model is None:
-                score = np.full(len(texts), 0.5)
+                score = np.full(batch.num_rows, 0.5)
             else:
-                score = model.score(np.stack([features(t or "", known) for t in texts]))
+                score = model.score(features(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*names, "score"])
 
     out = docs.mapInArrow(run, schema)

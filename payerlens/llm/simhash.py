@@ -11,35 +11,42 @@ import hashlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from payerlens.operators.stages import settle
 
-from .common import lower_words, map_arrow, ordered, partition_id, small_slices, whole_text
-from .hashing import WordHashes, grams, scramble
+from .common import map_arrow, ordered, partition_id, small_slices, whole_text
+from .hashing import grams, scramble, words_of
 
 BITS = 64
 _CHUNK = 8192
 
 
-def fingerprint(text: str, known: WordHashes) -> int:
-    """64-bit SimHash; texts without words have 0."""
-    words = lower_words(text)
-    if not words:
-        return 0
-    hashed = known.of(words)
-    length = np.fromiter(map(len, words), np.float32, len(words))
-    if len(words) == 1:
-        terms, weights = scramble(hashed), length
-    else:
-        terms, weights = grams(hashed, 2), length[1:] + length[:-1]
-    votes = np.zeros(BITS, np.float64)
-    for at in range(0, len(terms), _CHUNK):
-        raw = terms[at : at + _CHUNK].view(np.uint8).reshape(-1, 8)
-        bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.float32)
-        votes += weights[at : at + _CHUNK] @ bits
-    return int(np.packbits(votes * 2 > weights.sum(dtype=np.float64), bitorder="little").view(np.uint64)[0])
+def fingerprints(texts: pa.Array) -> list[int]:
+    """64-bit SimHash of each text; texts without words have 0."""
+    words = words_of(texts)
+    length = (words.ends - words.begins).astype(np.float32)
+    pairs = grams(words.hashes, 2)
+    alone = scramble(words.hashes)
+    out = []
+    for r in range(len(texts)):
+        own = words.of(r)
+        n = own.stop - own.start
+        if not n:
+            out.append(0)
+            continue
+        terms = alone[own] if n == 1 else pairs[own.start : own.stop - 1]
+        weights = length[own] if n == 1 else length[own][1:] + length[own][:-1]
+        votes = np.zeros(BITS, np.float64)
+        for at in range(0, len(terms), _CHUNK):
+            raw = terms[at : at + _CHUNK].view(np.uint8).reshape(-1, 8)
+            bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.float32)
+            votes += weights[at : at + _CHUNK] @ bits
+        signs = votes * 2 > weights.sum(dtype=np.float64)
+        out.append(int(np.packbits(signs, bitorder="little").view(np.uint64)[0]))
+    return out
 
 
 def likeness(a: int, b: int) -> float:
@@ -70,38 +77,36 @@ def with_next(docs: DataFrame) -> DataFrame:
         docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), whole_text(docs).alias("text")), "doc_id"
     )
 
-    def compare(known, held, following, own):
-        doc, text = held
-        mine = own if own is not None else fingerprint(text, known)
-        changed = edited(text, following)
-        other = fingerprint(changed, known)
-        return [doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), mine, other, likeness(mine, other)]
-
-    def signed(value):
-        return value - (1 << 64) if value >> 63 else value
+    def compared(docs_, texts_, own, following, upcoming):
+        """Result rows of texts with their fingerprints and those of the next ones."""
+        changed = [edited(t, f) for t, f in zip(texts_, following)]
+        other = fingerprints(pa.array(changed, pa.string()))
+        return [
+            docs_,
+            [len(t) for t in texts_],
+            [hashlib.sha256(t.encode()).hexdigest() for t in changed],
+            np.array(own, np.uint64).view(np.int64),
+            np.array(other, np.uint64).view(np.int64),
+            [likeness(x, y) for x, y in zip(own, other)],
+            [likeness(x, y) for x, y in zip(own, upcoming)],
+        ]
 
     def work(batches):
-        known, part = WordHashes(), partition_id()
-        held = mark = None
+        part, held = partition_id(), None
         for batch in small_slices(batches):
-            known.forget()
-            rows: list[list] = [[] for _ in range(10)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = fingerprint(text, known)
-                if held is None:
-                    for column, value in zip(rows, [None] * 7 + [part, "first", text]):
-                        column.append(value)
-                else:
-                    row = compare(known, held, text, mark)
-                    row.append(likeness(mark, own))
-                    row[3], row[4] = signed(row[3]), signed(row[4])
-                    for column, value in zip(rows, row + [part, None, None]):
-                        column.append(value)
-                held, mark = (doc, text), own
-            yield rows
+            ids, texts_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            marks = fingerprints(batch.column(1))
+            if held is None:
+                yield [[None]] * 7 + [[part], ["first"], [texts_[0]]]
+            else:
+                ids, texts_, marks = [held[0], *ids], [held[1], *texts_], [held[2], *marks]
+            if len(ids) > 1:
+                n = len(ids) - 1
+                rows = compared(ids[:-1], texts_[:-1], marks[:-1], texts_[1:], marks[1:])
+                yield rows + [[part] * n, [None] * n, [None] * n]
+            held = (ids[-1], texts_[-1], marks[-1])
         if held is not None:
-            last = [[held[0]], [None], [None], [None], [None], [None], [None], [part], ["last"], [held[1]]]
-            yield last
+            yield [[held[0]]] + [[None]] * 6 + [[part], ["last"], [held[1]]]
 
     rows = settle(map_arrow(texts, work, f"{_ROW}, part int, edge string, text string"))
     parts = [r[0] for r in rows.where("edge = 'first'").select("part").orderBy("part").collect()]
@@ -113,16 +118,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     first = rows.where("edge = 'first'").select(F.col("part").alias("following"), F.col("text").alias("next"))
 
     def close(batches):
-        known = WordHashes()
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for doc, text, upcoming in zip(*(c.to_pylist() for c in batch.columns)):
-                row = compare(known, (doc, text), upcoming, None)
-                row.append(likeness(row[3], fingerprint(upcoming, known)))
-                row[3], row[4] = signed(row[3]), signed(row[4])
-                for column, value in zip(out, row):
-                    column.append(value)
-            yield out
+            ids, texts_, upcoming = (c.to_pylist() for c in batch.columns)
+            yield compared(ids, texts_, fingerprints(batch.column(1)), upcoming, fingerprints(batch.column(2)))
 
     ends = map_arrow(last.join(first, "following").select("doc_id", "text", "next"), close, _ROW)
     return rows.where("edge IS NULL").drop("part", "edge", "text").unionByName(ends)

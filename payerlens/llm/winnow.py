@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from payerlens.operators.stages import settle
 
-from .common import alnum_words, map_arrow, small_slices, whole_text
-from .hashing import WordHashes, grams
+from .common import join_small, map_arrow, small_slices, whole_text
+from .hashing import grams, words_of
 
 SPAN = 10
 #: Benchmark fingerprints that are sent to the executors as one array; more are joined.
@@ -46,20 +46,20 @@ def benchmark_windows(benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     """(item_id, window, size, fingerprint) of every window; items without words have none."""
 
     def work(batches):
-        known = WordHashes()
         for batch in small_slices(batches):
             rows: list[list] = [[], [], [], []]
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = alnum_words(text)
-                m = min(span, len(words))
+            words = words_of(batch.column(1), alnum=True)
+            for r, item in enumerate(batch.column(0).to_pylist()):
+                own = words.of(r)
+                m = min(span, own.stop - own.start)
                 if not m:
                     continue
                 k = gram_size(m)
-                h = grams(known.of(words), k)
+                h = grams(words.hashes[own], k)
                 least = np.lib.stride_tricks.sliding_window_view(h, m - k + 1).min(axis=1)
-                for i, fingerprint in enumerate(least.view(np.int64).tolist()):
+                for i, fingerprint in enumerate(least.view(np.int64).tolist(), own.start):
                     rows[0].append(item)
-                    rows[1].append(b" ".join(words[i : i + m]).decode())
+                    rows[1].append(words.joined(i, i + m).decode())
                     rows[2].append(m)
                     rows[3].append(fingerprint)
             yield rows
@@ -74,38 +74,27 @@ def _places(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> Dat
     """A row per document: words and, for kept fingerprints, (fingerprint, size, first window, words around)."""
 
     def work(batches):
-        known = WordHashes()
         for batch in small_slices(batches):
-            known.forget()
-            texts = [alnum_words(t) for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([len(w) for w in texts])
-            begins = ends - [len(w) for w in texts]
-            words = [w for own in texts for w in own]
-            hashed = known.of(words)
-            found: list[list] = [[] for _ in texts]
+            words = words_of(batch.column(1), alnum=True)
+            begins, ends = words.upto[:-1], words.upto[1:]
+            found: list[list] = [[] for _ in range(batch.num_rows)]
             for m in sizes:
                 k = gram_size(m)
-                h = grams(hashed, k)
-                kept = winnowed(h, m - k + 1)
+                h = grams(words.hashes, k)
+                at = np.flatnonzero(winnowed(h, m - k + 1))
                 if wanted is not None:
-                    at = np.flatnonzero(kept)
                     near = np.searchsorted(wanted, h[at]).clip(max=len(wanted) - 1)
                     at = at[wanted[near] == h[at]]
-                else:
-                    at = np.flatnonzero(kept)
                 owner = np.searchsorted(ends, at, side="right")
                 inside = at + k <= ends[owner] if len(at) else np.zeros(0, bool)
                 for i, d in zip(at[inside].tolist(), owner[inside].tolist()):
-                    low = max(int(begins[d]), i + k - m)
-                    high = min(int(ends[d]), i + m)
+                    low, high = max(int(begins[d]), i + k - m), min(int(ends[d]), i + m)
                     if high - low >= m:
-                        around = b" ".join(words[low:high]).decode()
-                        found[d].append(
-                            (int(h[i].astype(np.int64)), m, low - int(begins[d]), around)
-                        )
+                        around = words.joined(low, high).decode()
+                        found[d].append((int(h[i].astype(np.int64)), m, low - int(begins[d]), around))
             yield [
-                batch.column(0).to_pylist(),
-                [len(w) for w in texts],
+                batch.column(0),
+                np.diff(words.upto),
                 [
                     [{"fingerprint": f, "size": m, "first": s, "around": a} for f, m, s, a in own]
                     for own in found
@@ -206,3 +195,10 @@ def contamination(
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         )
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
+    """The rows of documents without a hit, all columns kept; rows with a null doc_id pass."""
+    rows, occurrences, _ = hits(docs, benchmark, span)
+    hit = rows.join(occurrences.select("place").distinct(), "place", "left_semi")
+    return join_small(docs, hit.select("doc_id").distinct(), ["doc_id"], "left_anti")
