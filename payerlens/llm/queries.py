@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, jaccard, packing, pii, quality, sharding, simhash, token_file, winnow
-from .common import table
+from . import html, jaccard, packing, pii, quality, secrets, sharding, simhash, token_file, winnow
+from .common import join_small, table
 
 SHARDS = 8
 
@@ -25,7 +25,7 @@ def op1_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_near, where doc_id is divisible by 100: other rows within 3 bits of this fingerprint."""
     rows = simhash.with_next(table(spark, sf_dir, "documents"))
-    found = rows.join(simhash.near_counts(rows), "fingerprint", "left")
+    found = join_small(rows, simhash.near_counts(rows), ["fingerprint"], "left")
     asked = F.col("doc_id") % 100 == 0
     return found.select(
         "doc_id",
@@ -79,6 +79,11 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source stands for the path."""
+    return secrets.find(table(spark, sf_dir, "documents"), F.col("source"))
+
+
 def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_token_blocks,
         op4_pu_quality,
         op5_winnowing,
+        op6_forest_secrets,
         op7_hash_tree_shards,
         op8_mixture_packing,
         op9_block_tree,
