@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -126,21 +126,25 @@ def cast_declared(df: DataFrame, declared: dict[str, str]) -> DataFrame:
 
 
 def require_numeric(df: DataFrame, columns: Sequence[str], show: int = 10) -> DataFrame:
-    """Strict cast: fails with sample values if any non-blank value is not a number."""
-    problems = []
-    for c in columns:
-        text = F.trim(F.col(c).cast("string"))
-        bad = (
-            df.filter((text != "") & text.try_cast("double").isNull())
-            .select(c)
-            .distinct()
-            .limit(show)
-            .collect()
-        )
-        if bad:
-            problems.append(f"{c}: {[r[0] for r in bad]}")
-    if problems:
-        raise ContractError("not numeric: " + "; ".join(problems))
+    """Strict cast: fails with sample values if any non-blank value is not a number.
+
+    One pass over the frame: unreadable values are counted by column and value, and
+    the ``show`` smallest of each column come to the driver.
+    """
+    entries = [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns]
+    text = F.trim("value")
+    bad = (
+        df.select(F.inline(F.array(*entries)))
+        .filter((text != "") & text.try_cast("double").isNull())
+        .distinct()
+        .withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("value")))
+        .filter(F.col("place") <= show)
+        .orderBy("name", "place")
+        .collect()
+    )
+    if bad:
+        found = {c: [r["value"] for r in bad if r["name"] == c] for c in columns}
+        raise ContractError("not numeric: " + "; ".join(f"{c}: {v}" for c, v in found.items() if v))
     return df.withColumns({c: F.col(c).try_cast("double") for c in columns})
 
 

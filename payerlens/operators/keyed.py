@@ -25,11 +25,12 @@ def null_safe_join(
 
 
 def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], latest: bool):
+    """One struct of the order values and the rest of the row is compared and carried."""
     payload = [c for c in df.columns if c not in keys]
-    rank = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order], *payload)
-    choose = F.max_by if latest else F.min_by
-    picked = df.groupBy(*keys).agg(choose(F.struct(*payload), rank).alias("__row"))
-    return picked.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in payload])
+    first = [(F.col(o) if isinstance(o, str) else o).alias(f"__order{i}") for i, o in enumerate(order)]
+    choose = F.max if latest else F.min
+    picked = df.groupBy(*keys).agg(choose(F.struct(*first, *payload)).alias("__row"))
+    return picked.select(*keys, *[F.col("__row").getField(c).alias(c) for c in payload])
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]):
@@ -60,14 +61,24 @@ def mark_repeated(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
 
 
 def mark_orphans(df: DataFrame, master: DataFrame, key: str, name: str) -> DataFrame:
-    """Flag rows whose non-blank key is missing from the master."""
+    """Flag rows whose non-blank key is missing from the master.
+
+    Text keys that are blank find no partner under names of their own, which spreads them
+    over the partitions of the join.
+    """
     from payerlens.functions.clean import is_blank
 
-    known = master.select(key).distinct().withColumn("__known", F.lit(True))
+    blank = is_blank(key)
+    found = F.col(key)
+    if dict(df.dtypes)[key] == "string":
+        spread = F.concat(F.lit("\0"), F.pmod(F.monotonically_increasing_id(), F.lit(1000)))
+        found = F.when(blank, spread).otherwise(found)
+    known = master.select(F.col(key).alias("__key")).distinct().withColumn("__known", F.lit(True))
     return (
-        df.join(known, key, "left")
-        .withColumn(name, F.col("__known").isNull() & ~is_blank(key))
-        .drop("__known")
+        df.withColumn("__key", found)
+        .join(known, "__key", "left")
+        .withColumn(name, F.col("__known").isNull() & ~blank)
+        .select(*df.columns, name)
     )
 
 
