@@ -10,9 +10,10 @@ Points meet where they can be near: equal sets become one node; of a set of n th
 smallest n - ceil(0.8 n) + 1 n-grams in one global order are its keys, and linked sets
 share a key. Frequent keys go to the end of that order, which spares buckets of
 passages that many documents share. First each node is held against the best-connected
-node that it shares keys with, which joins groups of near copies in linear work; then
-buckets with nodes of different components are searched by an R-tree of their points,
-boxes of one component left out.
+node that it shares keys with. Then buckets with nodes of different components are
+searched by an R-tree of their points, boxes of one component left out: at first each
+node of a bucket gives its nearest point of another component, which joins groups of
+near copies in linear work, then all pairs that are still left.
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     often[k] = often.get(k, 0) + c
             if len(often) > 1_000_000:  # keys seen twice in few slices are not frequent
                 often = {k: c for k, c in often.items() if c > len(seen) * FREQUENT / 2}
-            if len(seen) > 2_000_000:
+            if len(seen) > 500_000:
                 seen = set()
             n = len(found)
             yield [batch.column(0), [len(s) for s in found], nodes, [point(s, GROUPS) for s in found], [None] * n]
@@ -146,7 +147,7 @@ def _buckets(docs: DataFrame, frequent: np.ndarray, blocks: int, size: int, perc
                 own = keys(s, frequent, percent)
                 each.append(own)
                 of.append(np.full(len(own), v, np.int64))
-            if len(seen) > 2_000_000:
+            if len(seen) > 500_000:
                 seen = set()
             if not each:
                 continue
@@ -294,29 +295,45 @@ def _below(boxes: np.ndarray, count: int) -> np.ndarray:
 
 
 def survivors(
-    node: np.ndarray, label: np.ndarray, n: np.ndarray, point: np.ndarray, side: np.ndarray, percent: int
+    node: np.ndarray,
+    label: np.ndarray,
+    n: np.ndarray,
+    point: np.ndarray,
+    side: np.ndarray,
+    percent: int,
+    nearest: bool = False,
 ) -> Iterator[tuple[int, int]]:
-    """Pairs of nodes of one bucket that the points don't rule out.
+    """Pairs of nodes of one bucket that the points don't rule out; each node's nearest only, if asked.
 
     ``side`` is 0 for all rows of a whole bucket, else -1 and 1: only pairs across.
     """
-    if not side.any():
-        tree = Tree(point, n, label)
-        for i in range(len(n)):
-            for j in tree.search(tree.point[i], tree.n[i], tree.label[i], percent, i + 1):
-                yield node[tree.order[i]], node[tree.order[j]]
-        return
-    left, right = side < 0, side > 0
+    across = bool(side.any())
+    left, right = (side < 0, side > 0) if across else (np.ones(len(n), bool),) * 2
     if not left.any() or not right.any():
         return
-    tree, names = Tree(point[right], n[right], label[right]), node[right]
-    for q, size, own, mark in zip(point[left], n[left], label[left], node[left]):
-        for j in tree.search(q, size, own, percent, 0):
-            yield mark, names[tree.order[j]]
+    tree = Tree(point[right], n[right], label[right])
+    names = node[right][tree.order]
+    if across:
+        queries = zip(node[left], point[left], n[left], label[left])
+    else:
+        queries = zip(names, tree.point, tree.n, tree.label)
+    for i, (mark, q, size, own) in enumerate(queries):
+        found = tree.search(q, size, own, percent, 0 if across or nearest else i + 1)
+        if nearest and len(found):
+            bound = np.minimum(tree.point[found], q).sum(axis=1, dtype=np.int64)
+            found = found[[int((bound / (tree.n[found] + size)).argmax())]]
+        for j in found:
+            yield mark, names[j]
 
 
 def small_survivors(
-    group: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, point: np.ndarray, percent: int
+    group: np.ndarray,
+    node: np.ndarray,
+    label: np.ndarray,
+    n: np.ndarray,
+    point: np.ndarray,
+    percent: int,
+    nearest: bool = False,
 ) -> np.ndarray:
     """The same (two rows of nodes) for whole buckets of at most LEAF rows, which are a box each, side by side."""
     first, second = [], []
@@ -331,17 +348,25 @@ def small_survivors(
     if not first:
         return np.zeros((2, 0), np.int64)
     i, j = np.concatenate(first), np.concatenate(second)
-    pair = np.unique(np.sort(np.stack([node[i], node[j]]), axis=0), axis=1, return_index=True)[1] if len(i) else i
-    i, j = i[pair], j[pair]
-    ok = np.ones(len(i), bool)
+    if not nearest and len(i):
+        pair = np.unique(np.sort(np.stack([node[i], node[j]]), axis=0), axis=1, return_index=True)[1]
+        i, j = i[pair], j[pair]
+    bound = np.zeros(len(i), np.int64)
     for at in range(0, len(i), 50_000):
         p, q = i[at : at + 50_000], j[at : at + 50_000]
-        bound = np.minimum(point[p], point[q]).sum(axis=1, dtype=np.int64)
-        ok[at : at + 50_000] = (100 + percent) * bound >= percent * (n[p] + n[q])
-    return np.stack([node[i[ok]], node[j[ok]]])
-
-
-def _searched(rows: DataFrame, percent: int) -> DataFrame:
+        bound[at : at + 50_000] = np.minimum(point[p], point[q]).sum(axis=1, dtype=np.int64)
+    ok = (100 + percent) * bound >= percent * (n[i] + n[j])
+    i, j, near = i[ok], j[ok], (bound[ok] / (n[i[ok]] + n[j[ok]]))
+    if nearest and len(i):
+        ends, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+        order = np.lexsort((pair, -near[pair], ends))
+        best = order[np.concatenate([[True], np.diff(ends[order]) > 0])]
+        pair = np.unique(pair[best])
+        i, j = i[pair], j[pair]
+    return np.stack([node[i], node[j]])
+
+
+def _searched(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Distinct surviving pairs of rows (key, chunk, side, node, label, n, point), bucket by bucket."""
 
     def found(batch: pa.RecordBatch) -> list:
@@ -355,10 +380,10 @@ def _searched(rows: DataFrame, percent: int) -> DataFrame:
         group = np.repeat(np.arange(len(sizes)), sizes)
         parted = np.logical_or.reduceat(side != 0, edges[:-1])
         small = ((sizes <= LEAF) & ~parted)[group]
-        out = [small_survivors(group[small], node[small], label[small], n[small], point[small], percent)]
+        out = [small_survivors(group[small], node[small], label[small], n[small], point[small], percent, nearest)]
         for g in np.flatnonzero((sizes > LEAF) | parted).tolist():
             own = slice(edges[g], edges[g + 1])
-            pairs = list(survivors(node[own], label[own], n[own], point[own], side[own], percent))
+            pairs = list(survivors(node[own], label[own], n[own], point[own], side[own], percent, nearest))
             if pairs:
                 out.append(np.array(pairs, np.int64).T)
         a, b = np.concatenate(out, axis=1)
@@ -390,6 +415,36 @@ def _searched(rows: DataFrame, percent: int) -> DataFrame:
     return map_arrow(dealt, work, "a bigint, b bigint").distinct()
 
 
+def _across(buckets: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, chunk, side, node, label, n, point) of the buckets with nodes of several components."""
+    labelled = settle(
+        join_small(buckets, roots, ["node"], "left").select(
+            "key", "node", F.coalesce("root", "node").alias("label")
+        )
+    )
+    mixed = (
+        labelled.groupBy("key")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("df"))
+        .where("low < high")
+        .select("key", "df")
+    )
+    inside = labelled.join(mixed, "key").join(nodes.select("node", "n", "point"), "node")
+    parts = F.ceil(F.col("df") / F.lit(CHUNK)).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    pair = F.transform(
+        F.sequence(F.lit(0), parts - 1),
+        lambda j: F.struct(
+            F.least(own, j).alias("i"),
+            F.greatest(own, j).alias("j"),
+            F.when(own == j, 0).when(own < j, -1).otherwise(1).alias("side"),
+        ),
+    )
+    chunk = (F.col("p.i") * F.lit(1 << 20) + F.col("p.j")).alias("chunk")
+    return inside.select("*", F.explode(pair).alias("p")).select(
+        "key", chunk, "p.side", "node", "label", "n", "point"
+    )
+
+
 def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -434,38 +489,11 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         .distinct()
     )
     near = settle(_near(star, nodes, GROUPS, percent))
-    first = settle(_linked(near, texts, nodes, size, percent))
-    roots = components(first)
-    labelled = settle(
-        join_small(buckets, roots, ["node"], "left").select(
-            "key", "node", F.coalesce("root", "node").alias("label")
-        )
-    )
-
-    # buckets of several components
-    mixed = (
-        labelled.groupBy("key")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("df"))
-        .where("low < high")
-        .select("key", "df")
-    )
-    inside = labelled.join(mixed, "key").join(nodes.select("node", "n", "point"), "node")
-    parts = F.ceil(F.col("df") / F.lit(CHUNK)).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    pair = F.transform(
-        F.sequence(F.lit(0), parts - 1),
-        lambda j: F.struct(
-            F.least(own, j).alias("i"),
-            F.greatest(own, j).alias("j"),
-            F.when(own == j, 0).when(own < j, -1).otherwise(1).alias("side"),
-        ),
-    )
-    chunked = inside.select("*", F.explode(pair).alias("p")).select(
-        "key", "node", "label", "n", "point", (F.col("p.i") * F.lit(1 << 20) + F.col("p.j")).alias("chunk"), "p.side"
-    )
-    rest = settle(_searched(chunked, percent))
-    second = settle(_linked(rest, texts, nodes, size, percent))
-    roots = components(first.unionByName(second))
+    roots = components(_linked(near, texts, nodes, size, percent))
+    for nearest in (True, False):
+        found = settle(_searched(_across(buckets, roots, nodes), percent, nearest))
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(known.unionByName(_linked(found, texts, nodes, size, percent)))
 
     named = settle(
         join_small(nodes.select("node", "rep"), roots, ["node"], "left").select(
