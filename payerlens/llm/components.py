@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from payerlens.operators.stages import settle
 
 
-def _state(edges: DataFrame) -> tuple:
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a stage, and what tells their state, observed while they are written."""
     digest = F.xxhash64("u", "v")
-    return tuple(
-        edges.agg(
-            F.count(F.lit(1)),
-            F.sum(digest.bitwiseAND(F.lit(0xFFFFFFFF))),
-            F.sum(F.shiftrightunsigned(digest, 32)),
-        ).first()
+    seen = Observation()
+    out = settle(
+        edges.observe(
+            seen,
+            F.count(F.lit(1)).alias("n"),
+            F.sum(digest.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
+            F.sum(F.shiftrightunsigned(digest, 32)).alias("high"),
+        )
     )
+    return out, tuple(seen.get[k] for k in ("n", "low", "high"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,13 +32,12 @@ def components(links: DataFrame) -> DataFrame:
     neither a hub's neighbours nor the links as a whole meet in one place.
     """
     a, b = links.columns
-    edges = settle(
+    edges, state = _written(
         links.where(F.col(a) != F.col(b))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct()
     )
-    state = _state(edges)
-    while True:
+    while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
@@ -43,12 +46,11 @@ def components(links: DataFrame) -> DataFrame:
         large = settle(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        edges = settle(
+        edges, now = _written(
             small.select(F.col("u"), F.col("m").alias("v"))
             .unionByName(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
             .distinct()
         )
-        now = _state(edges)
         if now == state:
             break
         state = now

@@ -161,4 +161,25 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM lowered LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op5_winnowing": OP5_SQL}
+#: All pairs that share a shingle, then everything that links reach.
+OP10_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS s
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - 5, 0) + 2)) AS i FROM split WHERE len(words) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b USING (s)
+    JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id GROUP BY 1, 2, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))
+), reached AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x
+)
+SELECT x AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id
+FROM reached LEFT JOIN sizes ON sizes.doc_id = x GROUP BY x
+"""
+
+ORACLES: dict[str, str] = {"op5_winnowing": OP5_SQL, "op10_rtree_jaccard": OP10_SQL}
