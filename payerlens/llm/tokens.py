@@ -37,7 +37,7 @@ class Encoder:
     use never let a token cross such a place, so the ids of the pieces, one after
     the other, are the ids of the text (a property test holds it against the
     library on the whole text). Pieces repeat, so their ids are remembered; once
-    there are more than ``limit``, the memory starts anew with the next call.
+    there are more than ``limit``, those that came up only once are forgotten.
     """
 
     def __init__(self, path: str, limit: int = 1_000_000):
@@ -48,23 +48,44 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.limit = limit
         self.between = self._ids([" " + _MARK])[0]
-        self._forget()
+        self.slot = _Slots()
+        self.first = np.zeros(1024, np.int64)
+        self.size = np.zeros(1024, np.int64)
+        self.uses = np.zeros(1024, np.int64)
+        self.pool = np.zeros(4096, np.uint32)
+        self.used = 0
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of pieces by number one after the other, end of each)."""
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(total)], ends
+
     def _forget(self) -> None:
+        """Keeps the pieces that came up often, at most half the limit."""
+        uses, least = self.uses[: len(self.slot)], 2
+        while (uses >= least).sum() > self.limit // 2:
+            least *= 2
+        kept = uses >= least
+        names = [p for p, k in zip(self.slot, kept.tolist()) if k]
+        ids, _ = self._gathered(np.flatnonzero(kept))
+        sizes = self.size[: len(kept)][kept]
         self.slot = _Slots()
-        self.first = np.zeros(1024, np.int64)
-        self.size = np.zeros(1024, np.int64)
-        self.pool = np.zeros(4096, np.uint32)
+        self.slot.update(zip(names, range(len(names))))
+        self.uses = np.zeros(len(self.first), np.int64)
         self.used = 0
+        self._keep(sizes, ids, 0)
 
     def _keep(self, sizes: np.ndarray, ids: np.ndarray, known: int) -> int:
         """Adds the ids of the pieces from number ``known`` on."""
         n = known + len(sizes)
         if n > len(self.first):
             self.first, self.size = np.resize(self.first, 2 * n), np.resize(self.size, 2 * n)
+            self.uses = np.concatenate([self.uses, np.zeros(2 * n - len(self.uses), np.int64)])
         if self.used + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * (self.used + len(ids)))
         self.size[known:n] = sizes
@@ -122,10 +143,8 @@ class Encoder:
         at = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
         if self.slot.waiting:
             self._learn()
-        sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(total)]
+        self.uses[: len(self.slot)] += np.bincount(at, minlength=len(self.slot))
+        ids, ends = self._gathered(at)
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return ids, np.diff(upto)
 
