@@ -1,12 +1,12 @@
 """Packing token ids into fixed sequences with a controlled mixture of sources.
 
 Every source is a queue of its documents' ids in doc_id order. Deficit round
-robin serves the queues: a window of some sequences gives each queue tokens by its
-share, and what rounding owes a queue is carried to the next window. The carried
-deficits have a closed form: after t tokens the first j queues together hold
-``t * shares_j // all_shares``. So a document's places follow from its place in its
-queue, without going through the windows in order, and the deficits carry across
-windows and partitions alike.
+robin serves the queues: a window of some sequences adds a quantum by its share to
+each queue's credit, whole tokens are served, and the rest of the credit, the deficit, is
+carried to the next window. That has a closed form: after quanta of t in all a queue
+has given ``t * share // all_shares`` tokens. So a document's places follow from its
+place in its queue, without going through the windows in order, and the deficits carry
+across windows and partitions alike.
 """
 
 from __future__ import annotations
@@ -35,41 +35,50 @@ class Phase:
     """A stretch of the output in which the same queues are served by the same shares."""
 
     first: int  # tokens before it
-    length: int
-    shares: list[int]  # running sums of the shares, by queue, 0 in front
+    quanta: int  # of all its windows together
+    shares: list[int]  # by queue
     taken: list[int]  # what each queue has given before it
 
-    def upto(self, queue: int, t: int) -> int:
-        """Tokens that the queues before this one have given after t tokens of the phase."""
-        return t * self.shares[queue] // self.shares[-1]
+    def __post_init__(self):
+        self.whole = sum(self.shares)
+        self.held: dict[tuple[int, int], list[int]] = {}
 
     def given(self, queue: int, t: int) -> int:
-        return self.upto(queue + 1, t) - self.upto(queue, t)
+        return t * self.shares[queue] // self.whole
+
+    def starts(self, low: int, high: int) -> list[int]:
+        """Where the queues begin in the window from low to high."""
+        if (low, high) not in self.held:
+            if len(self.held) > 1000:
+                self.held.clear()
+            spots = [self.first + sum(self.given(q, low) for q in range(len(self.shares)))]
+            for q in range(len(self.shares) - 1):
+                spots.append(spots[-1] + self.given(q, high) - self.given(q, low))
+            self.held[low, high] = spots
+        return self.held[low, high]
 
 
 def schedule(totals: list[int], shares: list[int] | None = None) -> list[Phase]:
     """Phases for queues of these totals; without shares a queue's share is its total.
 
     With shares, a queue that runs dry leaves and the others go on in their
-    proportions, so there are at most two phases a queue.
+    proportions, so there are at most as many phases as queues, and as many again for
+    queues without a share, which come last.
     """
     left, taken, first, phases = list(totals), [0] * len(totals), 0, []
     while any(left):
         share = [(s if left[i] else 0) for i, s in enumerate(shares or totals)]
         if not any(share):  # only queues without a share are left
             share = list(left)
-        whole = sum(share)
-        length = min(left[i] * whole // s for i, s in enumerate(share) if s)
-        sums = [0]
-        for s in share:
-            sums.append(sums[-1] + s)
-        phase = Phase(first, max(1, length), sums, list(taken))
+        # at this many quanta the first queue is empty to the token, and none is overdrawn
+        quanta = min(-(-left[i] * sum(share) // s) for i, s in enumerate(share) if s)
+        phase = Phase(first, quanta, share, list(taken))
         for i in range(len(totals)):
-            n = phase.given(i, phase.length)
+            n = phase.given(i, quanta)
             taken[i] += n
             left[i] -= n
+            first += n
         phases.append(phase)
-        first += phase.length
     return phases
 
 
@@ -79,24 +88,16 @@ def places(
     """(ids of the run before, length, sequence, offset) of the pieces of a run of a queue."""
     done = 0
     for p in phases:
-        end = p.taken[queue] + p.given(queue, p.length)
-        if at + done >= end or end == p.taken[queue]:
-            continue
-        weight = p.shares[queue + 1] - p.shares[queue]
-
-        def edge(w: int, p: Phase = p) -> int:
-            return min(max(w * window - p.first, 0), p.length)
-
+        end = p.taken[queue] + p.given(queue, p.quanta)
         while done < n and at + done < end:
             x = at + done - p.taken[queue]
-            w = (p.first + x * p.shares[-1] // weight) // window
-            while p.given(queue, edge(w)) > x:
+            w = x * p.whole // p.shares[queue] // window
+            while p.given(queue, w * window) > x:
                 w -= 1
-            while p.given(queue, edge(w + 1)) <= x:
+            while p.given(queue, min((w + 1) * window, p.quanta)) <= x:
                 w += 1
-            low, high = edge(w), edge(w + 1)
-            before = p.upto(queue, high) - p.upto(queue, low)
-            spot = p.first + low + before + x - p.given(queue, low)
+            low, high = w * window, min((w + 1) * window, p.quanta)
+            spot = p.starts(low, high)[queue] + x - p.given(queue, low)
             length = min(n - done, p.given(queue, high) - x, sequence - spot % sequence)
             yield done, length, spot // sequence, spot % sequence
             done += length
