@@ -130,6 +130,34 @@ def _(spark, sf):
     return rounded(best.select("Brnd_Name", "Gnrc_Name", "total_claims"), "total_claims", digits=4)
 
 
+@query("rp04_top_risk_drugs", f"""
+    SELECT Brnd_Name, Gnrc_Name, round_even(volume_risk_score, 6) AS volume_risk_score, {PH.LEVEL.format(s='round_even(volume_risk_score, 9)')} AS volume_risk_level
+    FROM drug_peer WHERE volume_risk_score IS NOT NULL ORDER BY round_even(drug_peer.volume_risk_score, 6) DESC, Brnd_Name, Gnrc_Name LIMIT 5""")
+def _(spark, sf):
+    rows = rounded(drugs(spark, sf), "volume_risk_score").filter("volume_risk_score is not null")
+    best = R.top(rows, "volume_risk_score", 5, "Brnd_Name", "Gnrc_Name")
+    return best.select("Brnd_Name", "Gnrc_Name", "volume_risk_score", "volume_risk_level")
+
+
+@query("rp04_drug_utilization", """
+    SELECT Brnd_Name, Gnrc_Name, round_even(total_claims, 4) AS total_claims, round_even(total_fills, 4) AS total_fills, round_even(total_day_supply, 4) AS total_day_supply
+    FROM drug_peer WHERE total_claims IS NOT NULL ORDER BY drug_peer.total_claims DESC, Brnd_Name, Gnrc_Name LIMIT 10""")
+def _(spark, sf):
+    best = R.top(drugs(spark, sf).filter("total_claims is not null"), "total_claims", 10, "Brnd_Name", "Gnrc_Name")
+    picked = best.select("Brnd_Name", "Gnrc_Name", "total_claims", "total_fills", "total_day_supply")
+    return rounded(picked, "total_claims", "total_fills", "total_day_supply", digits=4)
+
+
+@query("rp05_risk_vs_beneficiaries", f"""
+    SELECT Brnd_Name, Gnrc_Name, round_even(total_beneficiaries, 4) AS total_beneficiaries, round_even(volume_risk_score, 6) AS volume_risk_score,
+           round_even(total_claims, 4) AS total_claims, {PH.LEVEL.format(s='round_even(volume_risk_score, 9)')} AS volume_risk_level
+    FROM drug_peer WHERE total_beneficiaries IS NOT NULL AND volume_risk_score IS NOT NULL""")
+def _(spark, sf):
+    rows = R.risk_points(drugs(spark, sf), "total_beneficiaries", "volume_risk_score")
+    picked = rows.select("Brnd_Name", "Gnrc_Name", "total_beneficiaries", "volume_risk_score", "total_claims", "volume_risk_level")
+    return rounded(rounded(picked, "volume_risk_score"), "total_beneficiaries", "total_claims", digits=4)
+
+
 @query("rp05_annual_trend", """
     SELECT calendar_year, total_claims, round_even(final_volume_risk_score, 6) AS final_volume_risk_score FROM annual_risk ORDER BY calendar_year DESC LIMIT 5""")
 def _(spark, sf):

@@ -112,6 +112,11 @@ def share_elevated(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def risk_points(df: DataFrame, *measures: str) -> DataFrame:
+    """Rows that have all the measures of a scatter chart."""
+    return df.dropna("any", subset=list(measures))
+
+
 # -- anomalies -----------------------------------------------------------------------
 
 
