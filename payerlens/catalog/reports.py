@@ -1,4 +1,4 @@
-"""Report queries. Their input tables are light projections of result tables."""
+"""Report queries over the volume, anomaly and peer-risk results; provider risk scores are stand-ins."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from payerlens.catalog import pharmacy as PH
 from payerlens.catalog import standins as S
+from payerlens.catalog.anomaly import claim_tables, drug_tables
 from payerlens.catalog.registry import query, view
 from payerlens.catalog.sla import rounded
 from payerlens.catalog.volume import claims_history, claims_tables
@@ -17,18 +18,14 @@ from payerlens.plans import volume as V
 view(
     "rp_claim",
     """
-    SELECT CASE WHEN CAST(NPI AS BIGINT) % 3 = 0 THEN 'dme' WHEN CAST(NPI AS BIGINT) % 3 = 1 THEN 'hha' ELSE 'carrier' END AS claim_type, NPI AS provider_id, period AS batch_month,
-           deviation_pct / 10 AS robust_z_score, volume_risk AS psi_score, CAST(history_months AS INTEGER) AS anomaly_count,
-           CASE risk_level WHEN 'CRITICAL' THEN 'HIGH' WHEN 'HIGH' THEN 'MEDIUM' ELSE 'LOW' END AS severity
-    FROM rolling_history WHERE volume_risk >= 0.2
+    SELECT claim_type, provider_id, batch_month, round_even(robust_z_score, 6) AS robust_z_score, round_even(psi_score, 6) AS psi_score, anomaly_count, severity
+    FROM claims_anomalies
     """,
 )
 view(
     "rp_drug",
     """
-    SELECT Prscrbr_NPI AS provider_id, Brnd_Name || ' ' || Gnrc_Name AS drug, CAST(Tot_Clms AS DOUBLE) AS robust_z_score, Tot_Benes / 4 AS psi_score,
-           CAST(Tot_Clms AS INTEGER) AS anomaly_count, CASE WHEN Tot_Clms >= 8 THEN 'HIGH' WHEN Tot_Clms >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS severity
-    FROM prescriber_drug WHERE Tot_Clms >= 5
+    SELECT provider_id, drug, round_even(robust_z_score, 6) AS robust_z_score, round_even(psi_score, 6) AS psi_score, anomaly_count, severity FROM drug_anomalies
     """,
 )
 view(
@@ -49,29 +46,17 @@ view(
 
 
 def claim(spark, sf):
-    h = claims_history(spark, sf).filter("volume_risk >= 0.2")
-    kind = F.col("NPI").cast("bigint") % 3
-    return h.select(
-        F.when(kind == 0, "dme").when(kind == 1, "hha").otherwise("carrier").alias("claim_type"),
-        F.col("NPI").alias("provider_id"),
-        F.col("period").alias("batch_month"),
-        (F.col("deviation_pct") / 10).alias("robust_z_score"),
-        F.col("volume_risk").alias("psi_score"),
-        F.col("history_months").cast("int").alias("anomaly_count"),
-        F.when(F.col("risk_level") == "CRITICAL", "HIGH").when(F.col("risk_level") == "HIGH", "MEDIUM").otherwise("LOW").alias("severity"),
+    found = claim_tables(spark, sf)["claims_anomalies"].select(
+        "claim_type", "provider_id", "batch_month", "robust_z_score", "psi_score", "anomaly_count", "severity"
     )
+    return rounded(found, "robust_z_score", "psi_score")
 
 
 def drug(spark, sf):
-    n = F.col("Tot_Clms")
-    return S.prescriber_drug(spark, sf).filter(n >= 5).select(
-        F.col("Prscrbr_NPI").alias("provider_id"),
-        F.concat_ws(" ", "Brnd_Name", "Gnrc_Name").alias("drug"),
-        n.cast("double").alias("robust_z_score"),
-        (F.col("Tot_Benes") / 4).alias("psi_score"),
-        n.cast("int").alias("anomaly_count"),
-        F.when(n >= 8, "HIGH").when(n >= 6, "MEDIUM").otherwise("LOW").alias("severity"),
+    found = drug_tables(spark, sf)["drug_anomalies"].select(
+        "provider_id", "drug", "robust_z_score", "psi_score", "anomaly_count", "severity"
     )
+    return rounded(found, "robust_z_score", "psi_score")
 
 
 def everything(spark, sf):
@@ -166,17 +151,17 @@ def _(spark, sf):
 
 
 @query("rp06_tk04_fl04_drug_listing_page", """
-    SELECT provider_id, drug, robust_z_score, severity FROM rp_drug WHERE drug ILIKE '%brand#1%' AND severity IN ('HIGH', 'MEDIUM') ORDER BY robust_z_score DESC, provider_id, drug LIMIT 25 OFFSET 25""")
+    SELECT provider_id, drug, robust_z_score, severity FROM rp_drug WHERE drug ILIKE '%econ%' AND severity IN ('LOW', 'MEDIUM') ORDER BY robust_z_score DESC, provider_id, drug LIMIT 25 OFFSET 25""")
 def _(spark, sf):
-    rows = R.with_level(R.search(drug(spark, sf), "BRAND#1", ["drug", "provider_id"]), "severity", ["High", "Medium"])
+    rows = R.with_level(R.search(drug(spark, sf), "ECON", ["drug", "provider_id"]), "severity", ["Low", "Medium"])
     shown = R.page(rows, "robust_z_score", ["robust_z_score", "severity"], ["provider_id", "drug"], number=2)
     return shown.select("provider_id", "drug", "robust_z_score", "severity")
 
 
 @query("tk04_listing_totals", """
-    SELECT count(*) AS total, count(DISTINCT provider_id) AS providers, count(*) FILTER (severity = 'HIGH') AS high FROM rp_drug WHERE drug ILIKE '%brand#1%'""")
+    SELECT count(*) AS total, count(DISTINCT provider_id) AS providers, count(*) FILTER (severity = 'HIGH') AS high FROM rp_drug WHERE drug ILIKE '%econ%'""")
 def _(spark, sf):
-    rows = R.search(drug(spark, sf), "brand#1", ["drug"])
+    rows = R.search(drug(spark, sf), "econ", ["drug"])
     return R.listing_totals(rows, providers=F.countDistinct("provider_id"), high=R.count_if(R.level("severity") == "HIGH"))
 
 
@@ -201,6 +186,11 @@ def _(spark, sf):
     return claim(spark, sf).groupBy("claim_type", "batch_month").agg(F.count(F.lit(1)).alias("count"))
 
 
+@query("rp10_top_anomaly_drugs", "SELECT drug, count(*) AS count FROM rp_drug GROUP BY 1 ORDER BY count DESC, drug LIMIT 10")
+def _(spark, sf):
+    return R.top(R.frequency(drug(spark, sf), "drug"), "count", 10, "drug")
+
+
 @query("rp11_score_points", """
     SELECT anomaly_type, provider_id, robust_z_score, psi_score FROM rp_all WHERE robust_z_score IS NOT NULL AND psi_score IS NOT NULL
     ORDER BY robust_z_score DESC, anomaly_type, provider_id, subject, month NULLS FIRST""")
