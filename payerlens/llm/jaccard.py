@@ -130,16 +130,16 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _buckets(docs: DataFrame, frequent: np.ndarray, blocks: int, size: int, percent: int) -> DataFrame:
-    """(key, node) of every key that two nodes share.
+    """(key, node) of every key that two nodes of near enough sizes share.
 
     Tasks send their keys packed by block, each set once; a block's keys are sorted as
-    arrays.
+    arrays. A node stays in a bucket if its next smaller or larger one there is in reach.
     """
 
     def send(batches):
         seen: set[int] = set()
         for batch in small_slices(batches):
-            each, of = [], []
+            each, of, many = [], [], []
             for s in sets_of(batch.column(1), size):
                 if not len(s) or (v := name(s)) in seen:
                     continue
@@ -147,11 +147,12 @@ def _buckets(docs: DataFrame, frequent: np.ndarray, blocks: int, size: int, perc
                 own = keys(s, frequent, percent)
                 each.append(own)
                 of.append(np.full(len(own), v, np.int64))
+                many.append(np.full(len(own), len(s), np.int32))
             if len(seen) > 500_000:
                 seen = set()
             if not each:
                 continue
-            key, node = np.concatenate(each), np.concatenate(of)
+            key, node, sizes = np.concatenate(each), np.concatenate(of), np.concatenate(many)
             block = (scramble(key) % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             edges = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) > 0, [True]]))
@@ -160,34 +161,35 @@ def _buckets(docs: DataFrame, frequent: np.ndarray, blocks: int, size: int, perc
                 [int(block[r[0]]) for r in runs],
                 [key[r].tobytes() for r in runs],
                 [node[r].tobytes() for r in runs],
+                [sizes[r].tobytes() for r in runs],
             ]
 
     def meet(batches):
-        held, block = ([], []), None
+        held, block = ([], [], []), None
 
         def close():
-            key = np.frombuffer(b"".join(held[0]), np.int64)
-            node = np.frombuffer(b"".join(held[1]), np.int64)
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
+            key, node = (np.frombuffer(b"".join(held[i]), np.int64) for i in range(2))
+            n = np.frombuffer(b"".join(held[2]), np.int32).astype(np.int64)
+            order = np.lexsort((node, n, key))
+            key, node, n = key[order], node[order], n[order]
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-            key, node = key[new], node[new]
-            same = key[1:] == key[:-1]
-            shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            key, node, n = key[new], node[new], n[new]
+            near = (key[1:] == key[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            shared = np.concatenate([near, [False]]) | np.concatenate([[False], near])
             return [key[shared], node[shared]]
 
         for batch in batches:
-            for at, key, node in zip(*(c.to_pylist() for c in batch.columns)):
+            for at, *packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if at != block:
                     if held[0]:
                         yield close()
-                    held, block = ([], []), at
-                held[0].append(key)
-                held[1].append(node)
+                    held, block = ([], [], []), at
+                for column, value in zip(held, packed):
+                    column.append(value)
         if held[0]:
             yield close()
 
-    sent = map_arrow(docs, send, "block int, keys binary, nodes binary")
+    sent = map_arrow(docs, send, "block int, keys binary, nodes binary, sizes binary")
     return map_arrow(sent.repartition("block").sortWithinPartitions("block"), meet, "key bigint, node bigint")
 
 
