@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from payerlens.operators.stages import settle
 
 from .common import join_small, map_arrow, ordered, partition_id, small_slices, whole_text
-from .tokens import encoder
+from .tokens import REMEMBERED, encoder
 
 #: More sources than this share queues by hash; the mixture is then kept for the shared queues.
 MOST_QUEUES = 1024
@@ -112,12 +112,14 @@ def pack(
     sequence: int = 2048,
     window_sequences: int = 16,
     targets: dict[str | None, int] | None = None,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """Pieces of all documents: ids (little-endian uint32), sequence and offset in it.
 
     Only the last sequence can be short of ``sequence`` tokens. ``targets`` gives
     sources integer shares; without it a source's share is its part of all tokens, so
     that all queues end together and every window has the mixture of the whole table.
+    ``remembered`` bounds the pieces whose ids a worker keeps, and so its memory.
     Null text is an empty one; a null source is a queue of its own; repeated rows are
     packed each; an empty table gives no pieces.
     """
@@ -132,7 +134,7 @@ def pack(
     )
 
     def tokenize(batches):
-        coder, part, given = encoder(tokenizer), partition_id(), {}
+        coder, part, given = encoder(tokenizer, remembered), partition_id(), {}
         for batch in small_slices(batches):
             rows: list[list] = [[] for _ in range(6)]
             own, texts_, sources, hashed = (c.to_pylist() for c in batch.columns)

@@ -13,6 +13,8 @@ _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?!\S)")
 
 
+#: Pieces whose ids a worker remembers, at some 250 bytes each.
+REMEMBERED = 1_000_000
 #: A character that parts pieces in one call of the library.
 _MARK = "\x01"
 _TOGETHER = 500
@@ -40,7 +42,7 @@ class Encoder:
     there are more than ``limit``, those that came up only once are forgotten.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -158,6 +160,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """The worker's encoder for a tokenizer file."""
-    return Encoder(path)
+    return Encoder(path, remembered)
