@@ -38,7 +38,9 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids in sequences of 2048."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    # workers of the stages before still hold memory, so this one remembers less
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(docs, path, end_id=1, remembered=100_000)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
