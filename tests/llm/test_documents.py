@@ -92,6 +92,42 @@ def test_network(odd_docs, odd_rows, no_docs):
     assert pii.redacted("a x@y.zz b", [("email", 2, 8)]) == "a <EMAIL> b"
 
 
+def test_long_addresses_at_every_offset():
+    model = pii.train()
+    for address in (
+        "maria.gonzalezs (at) engineering (dot) example (dot) org",
+        "maria.gonzalez (at) engineering (dot) northern (dot) laboratory (dot) institute (dot) university (dot) example (dot) com",
+    ):
+        assert len(address) in (56, 120)
+        texts = [f"{'word ' * 40}"[: 96 + k] + f" {address} and then more plain words" for k in range(48)]
+        want = [[("email", t.index(address), t.index(address) + len(address))] for t in texts]
+        assert pii.added_spans(texts, [[]] * 48, model) == want
+        # the windows of many texts at once, in batches that part a run
+        assert pii.added_spans(texts, [[]] * 48, model, together=5) == want
+
+
+def test_runs_are_decoded_as_a_whole():
+    rng = np.random.default_rng(8)
+    k = len(pii.TAGS)
+    moves = rng.normal(0, 1, (k, k))
+    for edges in ([0, 1], [0, 40], [0, 7, 8, 300, 301, 640]):
+        e = rng.normal(0, 2, (edges[-1], k))
+        e[rng.random(len(e)) < 0.6, 0] += 12
+        want = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            score, back = e[a], []
+            for t in range(a + 1, b):
+                whole = score[:, None] + moves
+                back.append(whole.argmax(axis=0))
+                score = whole.max(axis=0) + e[t]
+            tags = [int(score.argmax())]
+            for row in reversed(back):
+                tags.append(int(row[tags[-1]]))
+            want += tags[::-1]
+        assert pii.viterbi(e, moves, np.array(edges)).tolist() == want
+    assert pii.viterbi(np.zeros((0, k)), moves, np.array([0])).tolist() == []
+
+
 # ---- simhash
 
 
