@@ -106,6 +106,23 @@ def test_long_addresses_at_every_offset():
         assert pii.added_spans(texts, [[]] * 48, model, together=5) == want
 
 
+def test_each_labelled_form_alone():
+    """The place of a form opens windows by itself, in a long plain text."""
+    model = pii.train()
+    forms = [f"jane.doe{at}host{dot}{end}" for at in (" at ", " (at) ", " [at] ", "(at)", "[at]") for dot in (" dot ", " (dot) ", " [dot] ", ".") for end in ("com", f"example{dot}org")]
+    forms += ["jane.doe at\nmail dot org", "jane.doe at mail\ndot org", "jane.doe\nat mail dot org", "jane.doe (at)\nmail.de", "jane.doe at\nexample.com"]
+    kinds = ["email"] * len(forms)
+    for kind, number in (("phone", "555-123-4567"), ("phone", "(555) 123-4567"), ("phone", "(555)123-4567"), ("card", "4111-1111-1111-1111"), ("ip", "10.2.3.44")):
+        forms.append(number)
+        kinds.append(kind)
+    for kind, form in zip(kinds, forms):
+        text = f"{sentence(random.Random(3), 300)} write to {form} today {sentence(random.Random(5), 300)}"
+        a = text.index(form)
+        base = pii.base_spans(text)
+        assert base + pii.added_spans([text], [base], model)[0] == [(kind, a, a + len(form))], form
+    assert pii.added_spans(["they met at noon and at the end. Then at home"], [[]], model) == [[]]
+
+
 def test_runs_are_decoded_as_a_whole():
     rng = np.random.default_rng(8)
     k = len(pii.TAGS)
