@@ -1,9 +1,10 @@
 """Secrets in texts: candidate strings and a random forest that removes false findings.
 
-Candidates are runs of at least 16 letters, digits and ``_-+/=.`` that mix classes, and
-what stands after a known prefix. The forest sees a candidate's length, the
+Candidates are runs of at least 16 letters, digits and ``_-+/=.`` without a leading
+``NAME=``, and values of at least 8 characters of any kind but blanks and quotes that stand
+after a telling name and ``=`` or ``:``. The forest sees a candidate's length, the
 transitions between its characters, how much of it dictionary words cover, words of
-the path and the words beside it. It is trained from labelled findings that a seeded
+the path and the words on both sides of it. It is trained from labelled findings that a seeded
 generator writes after public key formats and usual false findings.
 """
 
@@ -14,18 +15,27 @@ import string
 from functools import lru_cache
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, small_slices, whole_text
 from .hashing import words_of
 
-LEAST = 16
+LEAST, LEAST_VALUE, BESIDE = 16, 8, 40
 _CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.-]{16,}")
+#: The names and values of a run.
+_PARTS = re.compile(r"[^=]+")
 #: Words that tell a finding apart, by what stands before it or in its path.
 TELLING = frozenset("token secret password passwd pwd key apikey api auth authorization bearer credential credentials private access".split())
 HARMLESS = frozenset("sha sha1 sha256 md5 commit revision checksum digest hash integrity uuid guid id version etag url href src file path build blob tree".split())
 HARMLESS_PATH = frozenset("test tests spec mock example examples sample fixture docs doc lock min vendor dist".split())
+_WORD = "|".join(sorted(TELLING, key=len, reverse=True))
+#: A telling word, the rest of the name, and what assigns; the value begins after it.
+_ASSIGNS = rf"(?:{_WORD})[A-Za-z0-9_.-]{{0,40}}[\"'\]]{{0,2}}[ \t]{{0,3}}(?::=|=>|=|:)[ \t]{{0,3}}"
+_ASSIGNED = re.compile(rf"{_ASSIGNS}(?![:=]|//)", re.I)
+_VALUE = {q: re.compile(rf"[^{q}\s]+(?={q})") for q in "\"'`"} | {"": re.compile(r"[^\s\"'`<>]+")}
+_NAME_END = re.compile(r"([A-Za-z0-9_.-]+)[\"'\]]{0,2}[ \t]{0,3}(?::=|=>|=|:)[ \t]{0,3}\Z")
 DICTIONARY = frozenset(
     "access account action address async await back base before board book build button call cache change "
     "char check client code comment common config content context control create data date default device "
@@ -43,6 +53,7 @@ DICTIONARY = frozenset(
 FEATURES = (
     "length", "upper", "lower", "digit", "symbol", "changes", "case_changes", "digit_changes", "vowel_steps", "repeats",
     "entropy", "hex", "covered", "prefix", "telling", "harmless", "path_harmless", "quoted", "assigned", "dots", "slashes", "dashes",
+    "telling_after", "harmless_after", "calls",
 )
 #: Public prefixes of keys.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "AIza", "glpat-", "npm_", "eyJ", "SG.", "hf_")
@@ -64,15 +75,19 @@ def covered(text: str) -> float:
     return n / len(text)
 
 
+def _beside(text: str) -> set[str]:
+    return set(re.findall(r"[a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", text).lower()))
+
+
 def features(found: str, before: str, after: str, path: str) -> list[float]:
-    raw = np.frombuffer(found.encode("ascii"), np.uint8)
+    raw = np.frombuffer(found.encode("ascii", "replace"), np.uint8)
     kind, n = _CLASS[raw], len(raw)
     share = np.bincount(kind, minlength=4) / n
     counts = np.bincount(raw)
     p = counts[counts > 0] / n
     a, b = kind[:-1], kind[1:]
     letters = (a < 2) & (b < 2)
-    words = set(re.findall(r"[a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", before).lower()))
+    words, later = _beside(before), _beside(after)
     places = set(re.findall(r"[a-z]+", path.lower()))
     return [
         float(n), *share.tolist(), float((a != b).mean()), float((letters & (a != b)).mean()),
@@ -82,6 +97,7 @@ def features(found: str, before: str, after: str, path: str) -> list[float]:
         float(len(words & TELLING)), float(len(words & HARMLESS)), float(len(places & HARMLESS_PATH)),
         float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')), float(re.search(r"[:=]\s*[\"']?$", before) is not None),
         found.count(".") / n, found.count("/") / n, found.count("-") / n,
+        float(len(later & TELLING)), float(len(later & HARMLESS)), sum(map(found.count, "()[]{}<>$")) / n,
     ]
 
 
@@ -101,6 +117,22 @@ def labelled(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     word = lambda: dictionary[rng.integers(len(dictionary))]
     syllables = lambda: "".join(_random(rng, "bcdfghklmnprstvw", 1) + _random(rng, "aeiou", 1) for _ in range(rng.integers(2, 5)))
     pick = lambda *x: x[rng.integers(len(x))]
+    leet = str.maketrans("aeios", "43105")
+
+    def password() -> str:
+        """Words with digits for letters, digits or signs at their end, at least 8 characters."""
+        body = "".join(str(pick(word(), syllables())).capitalize() if rng.random() < 0.6 else syllables() for _ in range(2))
+        body = body.translate(leet) if rng.random() < 0.5 else body + pick("", "!", "#", "$", "&") + _random(rng, string.digits, int(rng.integers(1, 5)))
+        return body + pick("", "!", "x", "#") + _random(rng, string.digits, max(0, 8 - len(body)))
+
+    def code() -> str:
+        """What stands for a value in programs and manuals."""
+        return pick(
+            lambda: f"{word()}.{word()}", lambda: f"{word()}_{word()}", lambda: f"{word()}.{word()}()", lambda: f"get{word().capitalize()}({word()})",
+            lambda: f"process.env.{word().upper()}", lambda: f"${{{word().upper()}_{word().upper()}}}", lambda: f"os.environ[{word()}]", lambda: f"{word()}{word().capitalize()}",
+            lambda: "x" * int(rng.integers(8, 16)), lambda: f"your-{word()}-here", lambda: "".join(syllables() for _ in range(3)),
+            lambda: f"{{{{{word()}.{word()}}}}}", lambda: f"https://{syllables()}.example.com/{word()}", lambda: f"/{word()}/{word()}/{word()}",
+        )()
     x, y = [], []
     for _ in range(n):
         telling = str(pick(*sorted(TELLING)))
@@ -110,11 +142,17 @@ def labelled(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
                 lambda: "ghp_" + _random(rng, alnum, 36), lambda: "sk_live_" + _random(rng, alnum, 24), lambda: "AIza" + _random(rng, alnum + "_-", 35),
                 lambda: _random(rng, base64, 40), lambda: _random(rng, alnum, int(rng.integers(20, 48))),
                 lambda: "xoxb-" + _random(rng, string.digits, 12) + "-" + _random(rng, alnum, 24),
+                lambda: _random(rng, alnum + "!@#$&%^*?", int(rng.integers(8, 24))), lambda: _random(rng, string.ascii_letters, int(rng.integers(20, 48))),
+                lambda: password(), lambda: password(),
                 lambda: "eyJ" + _random(rng, alnum, 20) + "." + _random(rng, alnum, 60) + "." + _random(rng, alnum + "_-", 43),
             )()
             known = found.startswith(PREFIXES)
             before = pick(f"{syllables()} {telling} = \"", f"{telling}: ", f"{telling}=", f"{word()}_{telling} = '", f"{word()} {telling} ") if not known or rng.random() < 0.6 else f"{syllables()} {word()} "
             after, label = ('"' if before[-1] == '"' else "'" if before[-1] == "'" else " "), 1
+            if len(found) >= LEAST and rng.random() < 0.2:  # the telling word comes after
+                before, after = pick(f"{syllables()} {word()} ", "", f"{word()}: "), pick(f" is the {telling}", f" ({telling})", f" as {telling} ")
+            elif rng.random() < 0.5:
+                after += pick(f"\n{word()}", f" {syllables()} {word()}", f"\n{word().upper()}_{telling.upper()}=", f" # {word()}")
         else:
             harmless = str(pick(*sorted(HARMLESS)))
             found = pick(
@@ -130,7 +168,11 @@ def labelled(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
             before = pick(f"{harmless} ", f"{harmless}: ", f"{harmless}=\"", f"{syllables()} {syllables()} ", f"{word()} {harmless} ")
             if not re.fullmatch(r"[0-9a-f-]{32,}", found) and rng.random() < 0.2:
                 before = f"{telling} = "
+            if rng.random() < 0.2:
+                found, before = code(), pick(f"{telling}: ", f"{telling}=", f"{word()}_{telling} = ", f"{telling.upper()}=")
             after, label = ('"' if before[-1] == '"' else " "), 0
+            if rng.random() < 0.5:
+                after += pick(f" {harmless} {word()}", f"\n{word()}", f" {syllables()} {word()}", f"\n{word().upper()}_{telling.upper()}=")
         path = f"{word()}/{word()}.py" if label or rng.random() < 0.6 else f"{pick(*sorted(HARMLESS_PATH))}/{word()}"
         x.append(features(found, before, after, str(path) if rng.random() < 0.5 else ""))
         y.append(label)
@@ -187,22 +229,69 @@ def scores(x: np.ndarray, trees: list) -> np.ndarray:
     return np.array([sum(_leaf(t, row) for t in trees) / len(trees) for row in x])
 
 
+def assigned(text: str) -> list[tuple[int, int]]:
+    """Places of the values after a telling name; of one inside another only the inner one."""
+    out: list[tuple[int, int]] = []
+    bare = 0  # where the last value without quotes ends
+    for m in _ASSIGNED.finditer(text):
+        name = _NAME_END.search(text, max(0, m.start() - BESIDE), m.end())
+        a, quote = m.end(), text[m.end() : m.end() + 1]
+        if not name or not _beside(name[1]) & TELLING:
+            continue
+        if quote in _VALUE and quote:
+            a += 1
+            value = _VALUE[quote].match(text, a)
+            b = value.end() if value else a
+        else:
+            if a >= bare:
+                value = _VALUE[""].match(text, a)
+                bare = value.end() if value else a
+            b = bare
+            while b > a and text[b - 1] in ",;.":
+                b -= 1
+            # closing brackets that were not opened inside
+            spare = {c: text.count(c, a, b) - text.count(o, a, b) for o, c in ("()", "[]", "{}")} if text[b - 1] in ")]}" else {}
+            while b > a and spare.get(text[b - 1], 0) > 0:
+                b -= 1
+                spare[text[b]] -= 1
+        if b - a >= LEAST_VALUE:
+            while out and out[-1][1] > a:
+                out.pop()
+            out.append((a, b))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Places of the candidate strings of a whole text, ends exclusive."""
-    out = []
+    """Places of the candidate strings of a whole text, in order, ends exclusive, not overlapping."""
+    runs = []
     for m in _CANDIDATE.finditer(text):
-        found = m[0].strip(".=/-_+")
-        if len(found) >= LEAST and (re.search(r"[0-9]", found) or found.startswith(PREFIXES)):
-            a = m.start() + m[0].index(found)
-            out.append((a, a + len(found)))
-    return out
+        for part in _PARTS.finditer(m[0]):
+            found = part[0].strip(".=/-_+")
+            if len(found) >= LEAST:
+                a = m.start() + part.start() + part[0].index(found)
+                runs.append((a, a + len(found)))
+    values = assigned(text)
+    out, i = [], 0
+    for a, b in values:
+        while i < len(runs) and runs[i][1] <= a:
+            out.append(runs[i])
+            i += 1
+        inside = []
+        while i < len(runs) and runs[i][0] < b:
+            inside.append(runs[i])
+            i += 1
+        # a known key inside a longer value, as in an address, is the finding
+        known = [(x, y) for x, y in inside if x > a and text.startswith(PREFIXES, x)]
+        out += known or [(a, b)]
+    return out + runs[i:]
 
 
 def find(docs: DataFrame, path: Column | None = None, trees: list | None = None, threshold: float = 0.5) -> DataFrame:
     """doc_id, n_candidates, n_secrets, secrets (start:end of those kept, comma-joined) of every row.
 
     Positions are code points. Null text counts as empty, a null path as none; repeated
-    rows give a row each. Texts without a long word are passed over by arrays alone.
+    rows give a row each. Texts without a long word or a value after a telling name are passed
+    over by arrays alone.
     """
     trees = trees or forest()
     rows = docs.select(
@@ -215,7 +304,8 @@ def find(docs: DataFrame, path: Column | None = None, trees: list | None = None,
         for batch in small_slices(batches):
             words = words_of(batch.column(1), lower=False)
             long = np.concatenate([[0], np.cumsum(words.ends - words.begins >= LEAST)])
-            asked = np.flatnonzero(np.diff(long[words.upto]))
+            named = pc.match_substring_regex(batch.column(1), rf"{_ASSIGNS}[\"'`]?\S{{8}}", ignore_case=True)
+            asked = np.flatnonzero((np.diff(long[words.upto]) > 0) | named.to_numpy(zero_copy_only=False))
             n = batch.num_rows
             tried, kept, spans = [0] * n, [0] * n, [""] * n
             for r in asked.tolist():
@@ -223,7 +313,7 @@ def find(docs: DataFrame, path: Column | None = None, trees: list | None = None,
                 places = candidates(text)
                 tried[r] = len(places)
                 if places:
-                    x = np.array([features(text[a:b], text[max(0, a - 40) : a], text[b : b + 2], where) for a, b in places])
+                    x = np.array([features(text[a:b], text[max(0, a - BESIDE) : a], text[b : b + BESIDE], where) for a, b in places])
                     good = [p for p, s in zip(places, scores(x, trees)) if s >= threshold]
                     kept[r], spans[r] = len(good), ",".join(f"{a}:{b}" for a, b in good)
             yield [batch.column(0), tried, kept, spans]

@@ -267,6 +267,25 @@ def test_secrets(spark, odd_docs, odd_rows, no_docs):
     assert secrets.find(no_docs).count() == 0
 
 
+def test_secrets_of_settings(spark):
+    """Exact spans of lines as in .env files and shells."""
+    hexed, alnum = "0f3e9a7bc14d55e2a9917b3dd0c8e6f1a2b3c4d5", "aB3dE5fG7hJ9kL1mN3pQ5rS7tU9vW1xY3zA5"
+    lines = [
+        ("API_TOKEN=", f"ghp_{alnum}", ""), ("export SECRET_KEY=", hexed, ""), ("password: ", "Tr0ub4dor3x", ""),
+        ("DB_PASSWORD=", "k9!vR2@xQ#7m$L&p", ""), ('password = "', "hT7$kq!2Zw", '"'), ("client_secret: '", "QwhzRtYkPlmNbVcXjHgFdSaZ", "'"),
+        ("curl -H token=", f"ghp_{alnum}", " -v"), ("", "kQzhWvRtYpLmNbVcXjHgFdSaZq", " is the secret token"),
+    ]
+    docs = spark.createDataFrame([(i, f"é first\n{a}{b}{c}\nlast") for i, (a, b, c) in enumerate(lines)], "doc_id bigint, text string")
+    got = {r.doc_id: r.secrets for r in secrets.find(docs).collect()}
+    assert got == {i: f"{8 + len(a)}:{8 + len(a) + len(b)}" for i, (a, b, _) in enumerate(lines)}
+    env = "".join(f"{a}{b}{c}\n" for a, b, c in lines[:4])
+    assert [env[a:b] for a, b in secrets.candidates(env)] == [b for _, b, _ in lines[:4]]
+    harmless = "password: string and token = session.token() but author: Someone Else-where, monkey=abcdefghij"
+    rows = secrets.find(spark.createDataFrame([(1, harmless)], "doc_id bigint, text string")).collect()
+    assert rows[0].n_secrets == 0
+    assert secrets.assigned("key=" * 50_000 + "abcdefgh1") == [(200_000, 200_009)]
+
+
 # ---- shards
 
 
