@@ -2,7 +2,7 @@
 
 A page is cut into flat blocks at block-level tags. A block knows its words, its link
 density and those of its neighbours, and which kinds of container it lies in, by tag
-names and by words in class, id and role. A decision tree, grown from a small
+names and by whole names in class, id and role. A decision tree, grown from a small
 labelled table of block shapes, says which blocks are the main text.
 """
 
@@ -24,14 +24,14 @@ _TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S,
 )
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMES = re.compile(r"(?<![^\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 #: White space as HTML and Unicode have it.
 _BLANKS = re.compile(r"\s+")
 
 #: Elements whose content is not text of the page.
 SILENT = frozenset(
-    "script style noscript template svg math iframe object canvas audio video head select textarea button".split()
+    "script style noscript template svg annotation annotation-xml iframe object canvas audio video head select textarea button".split()
 )
 #: Elements that end a block.
 BLOCKS = frozenset(
@@ -45,7 +45,7 @@ TAG_KINDS = {
     "nav": "menu", "menu": "menu", "header": "head", "footer": "foot", "aside": "side",
     "form": "form", "dialog": "notice", "article": "main", "main": "main",
 }
-#: Words in class, id or role that say so.
+#: Names in class, id or role that say so.
 NAME_KINDS = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager tabs toc skip",
     "head": "header masthead banner topbar branding logo",
@@ -58,6 +58,16 @@ NAME_KINDS = {
     "main": "article content main post entry story",
 }
 _KIND_OF = {word: kind for kind, words in NAME_KINDS.items() for word in words.split()}
+#: What such a name may end with, and begin with, and remain the name of that place.
+ENDINGS = frozenset(
+    "area banner bar bars body block box buttons container content form group inner item items links list menu "
+    "message nav outer panel posts region section slot text thread title unit widget widgets wrap wrapper".split()
+)
+BEGINNINGS = frozenset("site page global primary secondary main top bottom left right".split())
+#: These name a part of the article, whose head and foot are its own.
+OF_ARTICLE = frozenset("article post entry story".split())
+#: Tokens that begin so tell of a layout or a subject, not of a place.
+NO_PLACE = ("has-", "no-", "with-", "without-", "is-", "category-", "tag-")
 KINDS = ("menu", "head", "foot", "side", "form", "notice", "advert", "comment", "main")
 #: Elements that keep their own place even if an outer one is left open.
 _SCOPES = frozenset("article main nav header footer aside form section div body".split())
@@ -65,18 +75,32 @@ _SCOPES = frozenset("article main nav header footer aside form section div body"
 FEATURES = ("words", "link", "words_before", "link_before", "words_after", "link_after", *KINDS, "elsewhere")
 
 
+def _kind_of_name(token: str) -> str | None:
+    """The kind of place that a whole token of class, id or role names."""
+    token = re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower().replace("_", "-")
+    if token.startswith(NO_PLACE):
+        return None
+    words = [w for w in token.split("-") if w and not re.fullmatch(r"[0-9x]+", w)]
+    if len(words) > 1 and words[0] in BEGINNINGS and words[1] in _KIND_OF:
+        words = words[1:]
+    elif len(words) > 1 and words[0] in OF_ARTICLE and words[1] in _KIND_OF:
+        if _KIND_OF[words[1]] in ("menu", "head", "foot"):
+            return None
+        words = words[1:]
+    if not words or words[0] not in _KIND_OF:
+        return None
+    kind = _KIND_OF[words[0]]
+    return kind if all(w in ENDINGS or _KIND_OF.get(w) == kind for w in words[1:]) else None
+
+
 @lru_cache(maxsize=4096)
 def _kinds(tag: str, attributes: str) -> tuple[frozenset, bool]:
     """(kinds of place that a tag names, hidden)."""
     kinds = {TAG_KINDS[tag]} if tag in TAG_KINDS else set()
-    if attributes:
+    # names on the main elements tell of their subject; the body is no place of its own
+    if attributes and tag not in ("article", "main", "html", "body"):
         for groups in _NAMES.findall(attributes):
-            for word in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(groups)).lower()):
-                if word in _KIND_OF:
-                    kinds.add(_KIND_OF[word])
-    # the body and its header are no places of their own
-    if tag in ("html", "body"):
-        kinds.clear()
+            kinds.update(k for k in map(_kind_of_name, "".join(groups).split()) if k)
     return frozenset(kinds), bool(attributes and _HIDDEN.search(attributes))
 
 

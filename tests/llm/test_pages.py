@@ -18,6 +18,31 @@ def test_pages_without_a_named_part():
     assert html.main_text(page) == "Some words of text here. End"
 
 
+def test_names_that_are_no_places():
+    text = "Some words of the article are here."
+    for start, end in (
+        ("<article class='post category-reviews'>", "</article>"), ("<div class='content has-sidebar'>", "</div>"),
+        ("<main id='comments-main' class='search'>", "</main>"), ("<div class='no-ads with-menu tag-social'><article>", "</article></div>"),
+        ("<div class='social-studies'>", "</div>"), ("<div class='layout-sidebar-left post-content'>", "</div>"),
+        ("<div data-id='sidebar' data-role='menu'>", "</div>"), ("<article><div class='entry-header'>", "</div></article>"),
+    ):
+        assert html.main_text(f"<body>{start}<p>{text}</p>{end}</body>") == text, start
+
+
+def test_names_of_places():
+    for name in (
+        "sidebar", "site-header", "mainNav", "main-menu", "page_footer", "comments-area", "comment-list", "post-comments", "related-posts",
+        "ad-slot", "ad-300x250", "cookie-banner", "newsletter-signup", "share-buttons", "widget-area", "search-form", "comment-17", "x ad y",
+    ):
+        for page in (f"<article><p>Kept words.</p><div class='{name}'>Not these.</div></article>", f"<main><p>Kept words.</p><div id='{name}'>Not these.</div></main>"):
+            assert html.main_text(page) == "Kept words.", name
+
+
+def test_math():
+    page = "<article><p>If <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math> holds.</p></article>"
+    assert html.main_text(page) == "If x=2 holds."
+
+
 def test_broken_markup():
     assert html.main_text("") == html.main_text("<p>") == html.main_text("<script>x") == ""
     assert html.main_text("plain <b>text") == "plain text"
