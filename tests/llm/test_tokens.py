@@ -108,6 +108,18 @@ def test_packing(odd_docs, odd_rows, targets):
     assert starts == {doc: sum(len(x) // 4 for x in ids) for doc, ids in known.items()}
 
 
+@pytest.mark.parametrize("targets", [None, {"s0": 3, "s1": 1, "s9": 2}, {None: 2, "s2": 0}])
+def test_many_sources_are_packed_like_few(odd_docs, targets, monkeypatch):
+    def packed():
+        got = packing.pack(odd_docs, public_tokenizers.path(FILES[1]), 1, 64, 4, targets).drop("queue").collect()
+        return sorted((r.sequence_id, r["offset"], r.length, r.start, bytes(r.ids), r.doc_tokens) for r in got)
+
+    few = packed()
+    monkeypatch.setattr(packing, "MOST_QUEUES", 2)
+    monkeypatch.setattr(packing, "BLOCK", 2)
+    assert packed() == few
+
+
 @settings(max_examples=60, deadline=None)
 @given(
     st.lists(st.integers(0, 60), min_size=1, max_size=6),
