@@ -11,6 +11,9 @@ import numpy as np
 
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?!\S)")
+#: Places where no byte-level and no sentence piece crosses from word to blank.
+_WORD_CUT = re.compile(r"(?<=\S) (?=\S)")
+_WORD_ODD = re.compile(r" (?!\S)|(?<!\S) ")
 
 
 #: Pieces whose ids a worker remembers, at some 250 bytes each.
@@ -40,14 +43,16 @@ class Encoder:
     the other, are the ids of the text (a property test holds it against the
     library on the whole text). Pieces repeat, so their ids are remembered; once
     there are more than ``limit``, those that came up only once are forgotten.
+
+    Strings of special tokens inside a text are what the library makes of them, their
+    ids: such texts go to it whole. With ``plain`` they are ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = REMEMBERED):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    cut, odd = _CUT, _ODD
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, path: str, limit: int = REMEMBERED, plain: bool = False):
+        self.literals: tuple[str, ...] = ()
+        self._load(path, plain)
         self.limit = limit
         self.between = self._ids([" " + _MARK])[0]
         self.slot = _Slots()
@@ -57,6 +62,16 @@ class Encoder:
         self.pool = np.zeros(4096, np.uint32)
         self.used = 0
 
+    def _load(self, path: str, plain: bool) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        if plain:
+            self.tokenizer.encode_special_tokens = True
+        else:
+            self.literals = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -131,6 +146,17 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other as uint32, number of ids of each text)."""
+        whole = [i for i, text in enumerate(texts) if any(name in text for name in self.literals)]
+        if not whole:
+            return self._encode_pieces(texts)
+        held = set(whole)
+        ids, sizes = self._encode_pieces(["" if i in held else text for i, text in enumerate(texts)])
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
+        for i, own in zip(whole, self._ids([texts[i] for i in whole])):
+            parts[i], sizes[i] = np.array(own, np.uint32), len(own)
+        return np.concatenate(parts), sizes
+
+    def _encode_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.slot) > self.limit:
             self._forget()
         pieces: list[str] = []
@@ -138,7 +164,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            own = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+            own = self.cut.split(text) if self.odd.search(text) else text.split(" ")
             own[0] = " " + own[0]
             counts[i] = len(own)
             pieces += own
@@ -159,7 +185,62 @@ class Encoder:
             at += n
 
 
+class BytePieces(Encoder):
+    """Byte-level ids, cut where sentence pieces are cut too; special strings are ordinary text."""
+
+    cut, odd = _WORD_CUT, _WORD_ODD
+
+    def __init__(self, path: str, limit: int = REMEMBERED):
+        super().__init__(path, limit, plain=True)
+
+    def bytes_of(self) -> list[bytes]:
+        """The bytes of each id, by the printable characters that stand for the bytes."""
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in shown}
+        byte |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+        out = [b""] * self.tokenizer.get_vocab_size()
+        for entry, i in self.tokenizer.get_vocab().items():
+            out[i] = bytes(byte.get(c, 0) for c in entry)
+        return out
+
+
+class SentencePieces(Encoder):
+    """Ids of a sentencepiece file for texts with a blank in front (the one that the library adds).
+
+    None of the pieces holds a blank behind another character, so none crosses a cut.
+    """
+
+    cut, odd = _WORD_CUT, _WORD_ODD
+
+    def _load(self, path: str, plain: bool) -> None:
+        import sentencepiece
+
+        self.tokenizer = sentencepiece.SentencePieceProcessor(model_file=path)
+        size = self.tokenizer.get_piece_size()
+        self.blank = self.tokenizer.piece_to_id("\u2581")
+        pieces = [self.tokenizer.id_to_piece(i) for i in range(size)]
+        if any(re.search("[^\u2581]\u2581", p) for p in pieces):
+            raise ValueError("a piece crosses from word to blank")
+        self.pieces = [
+            bytes([int(p[3:5], 16)]) if self.tokenizer.is_byte(i) else p.replace("\u2581", " ").encode()
+            for i, p in enumerate(pieces)
+        ]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        found = self.tokenizer.encode([t[1:] for t in texts], num_threads=1)
+        return [[self.blank] if t == " " else ids for t, ids in zip(texts, found)]
+
+    def bytes_of(self) -> list[bytes]:
+        return self.pieces
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """The worker's encoder for a tokenizer file."""
     return Encoder(path, remembered)
+
+
+@lru_cache(maxsize=1)
+def both_encoders(byte_path: str, piece_path: str, remembered: int) -> tuple[BytePieces, SentencePieces]:
+    """The worker's byte-level and sentencepiece encoders."""
+    return BytePieces(byte_path, remembered), SentencePieces(piece_path, remembered)

@@ -12,14 +12,12 @@ from payerlens.llm import packing, token_file
 from payerlens.llm.tokens import Encoder, encoder
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
-PARTS = [" ", "  ", "\n", "\t", "\x01", "'s", "'", "a", "Bc", "é", "ñ", "1", "23", "!!", "###", ".", "<|endoftext|>"]
+PARTS = [" ", "  ", "\n", "\t", "\x01", "'s", "'", "a", "Bc", "é", "ñ", "1", "23", "!!", "###", ".", "<|endoftext|>", "<|startoftext|>"]
 PARTS += ["\x00", "\x1c", "\xa0", "　", "​", "é", "Σ", "ς", "İ", "漢字", "🙂", "\r\n", "’", "ing", "_"]
 
 
 def library(name):
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 @pytest.mark.parametrize("name", FILES)
@@ -34,6 +32,15 @@ def test_ids_are_the_librarys(name):
         assert ids.tolist() == [i for w in want for i in w]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_special_strings_are_what_the_library_makes_of_them(name):
+    literals = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
+    texts = [f.format(x, x) for x in literals for f in ("{}", "a {} b", "a{}b", "a {}b  {}", "{} ", "<|{}")] + ["plain text"]
+    ids, sizes = Encoder(public_tokenizers.path(name)).encode(texts)
+    want = [library(name).encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=5), st.sampled_from(FILES))
 def test_ids_of_any_text(texts, name):
