@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, jaccard, packing, pii, quality, secrets, sharding, simhash, token_file, winnow
+from payerlens.operators.stages import new_stage, settle
+
+from . import alignment, html, jaccard, packing, pii, quality, secrets, sharding, simhash, token_file, winnow
 from .common import join_small, table
 
 SHARDS = 8
@@ -39,7 +41,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = token_file_path(spark)
+    path = new_stage(spark)
     token_file.write(
         token_file.encode_segments(
             table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2
@@ -51,12 +53,6 @@ def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def token_file_path(spark: SparkSession) -> str:
-    from payerlens.operators.stages import new_stage
-
-    return new_stage(spark)
-
-
 def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -113,6 +109,20 @@ def op10_rtree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op12_fragment_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups' digest is taken before the table is settled, so that only ids are written."""
+    found = alignment.aligned(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    kept = settle(found.withColumn("groups_sha256", digest).drop("groups"))
+    return alignment.linked(kept).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -126,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixture_packing,
         op9_block_tree,
         op10_rtree_jaccard,
+        op12_fragment_monoid,
     )
 }
 
