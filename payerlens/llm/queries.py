@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from payerlens.operators.stages import new_stage, settle
 
-from . import alignment, html, jaccard, packing, pii, quality, secrets, sharding, simhash, token_file, winnow
+from . import alignment, html, jaccard, packing, pii, quality, repair, secrets, sharding, simhash, token_file, winnow
 from .common import join_small, table
 
 SHARDS = 8
@@ -123,6 +123,12 @@ def op12_fragment_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_repair_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    found = repair.report(conversations, *repair.repair(repair.damaged(conversations)))
+    return found.withColumnRenamed("sha256", "repaired_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -137,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_block_tree,
         op10_rtree_jaccard,
         op12_fragment_monoid,
+        op13_repair_parsing,
     )
 }
 
