@@ -200,4 +200,89 @@ SELECT x AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component
 FROM reached LEFT JOIN sizes ON sizes.doc_id = x GROUP BY x
 """
 
-ORACLES: dict[str, str] = {"op5_winnowing": OP5_SQL, "op10_rtree_jaccard": OP10_SQL}
+#: The damage by a CRC table, then one pass over each conversation's rows by the four states of the language.
+OP13_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, i AS v, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), faulty AS (
+  SELECT keyed.*, xor(list_reduce(list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda crc, c: xor(crc >> 8, t[(xor(crc, c) & 255) + 1]), 4294967295), 4294967295) % 20 AS fault
+  FROM keyed, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM faulty WHERE fault <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged
+), marked AS (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS initial,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault
+  FROM placed
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id
+), moves(p, r, q) AS (
+  VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), inserts(p, q, cost, letters) AS (
+  VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 3, 'I'), (1, 2, 3, 'I'), (3, 2, 3, 'I'),
+    (2, 3, 3, 'I'), (0, 3, 6, 'II'), (1, 3, 6, 'II')
+), edits AS (
+  SELECT conv_id, i, p, p AS q, 4 AS cost, 'D' AS letter FROM marked, (VALUES (0), (1), (2), (3)) s(p)
+  UNION ALL
+  SELECT conv_id, i, p, q, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END + CASE WHEN r = initial THEN 0 ELSE 3 END,
+    CASE WHEN r = initial THEN 'K' ELSE 'R' END
+  FROM marked, moves WHERE (fault IS NULL OR fault = 'truncated') AND (r = initial OR r <> 's')
+), steps AS (
+  SELECT conv_id, e.i, e.p, n.q, min({'cost': e.cost + n.cost, 'audit': e.letter || n.letters}) AS best
+  FROM edits e JOIN inserts n ON e.q = n.p GROUP BY conv_id, e.i, e.p, n.q
+), reached AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, q, cost, letters AS audit FROM counts, inserts WHERE p = 0
+  UNION ALL
+  SELECT conv_id, i, q, best.cost, best.audit FROM (
+    SELECT r.conv_id, s.i, s.q, min({'cost': r.cost + s.best.cost, 'audit': r.audit || s.best.audit}) AS best
+    FROM reached r JOIN steps s ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND s.i = r.i + 1 AND s.p = r.q
+    GROUP BY r.conv_id, s.i, s.q)
+), plans AS (
+  SELECT r.conv_id, min({'cost': r.cost, 'audit': r.audit}) AS best FROM reached r
+    JOIN counts c ON c.conv_id IS NOT DISTINCT FROM r.conv_id AND c.n = r.i
+  WHERE r.q IN (0, 3) GROUP BY r.conv_id
+), letters AS (
+  SELECT conv_id, k, best.audit[k] AS letter,
+    len(replace(best.audit[1:k], 'I', '')) AS i, len(replace(best.audit[1:k], 'D', '')) AS seat
+  FROM (SELECT *, unnest(range(1, len(best.audit) + 1)) AS k FROM plans)
+), turns AS (
+  SELECT l.conv_id, l.seat, l.letter, m.role, CASE WHEN l.letter = 'I' THEN '' ELSE m.text END AS text,
+    max(CASE WHEN l.seat = 1 AND l.letter = 'K' AND m.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS lead
+  FROM letters l LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.i = l.i
+  WHERE l.letter <> 'D'
+), whole AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (seat - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || text, chr(10) ORDER BY seat) AS repaired FROM turns GROUP BY conv_id
+)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d
+  LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
+  LEFT JOIN plans p ON p.conv_id IS NOT DISTINCT FROM d.conv_id
+  LEFT JOIN whole w ON w.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_winnowing": OP5_SQL,
+    "op10_rtree_jaccard": OP10_SQL,
+    "op13_repair_parsing": OP13_SQL,
+}

@@ -10,13 +10,13 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in names} and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     result = con.execute(queries.ORACLES[name])
     columns = [c[0] for c in result.description]
