@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from payerlens.operators.stages import new_stage, settle
 
-from . import alignment, html, jaccard, packing, pii, quality, repair, secrets, sharding, simhash, token_file, winnow
+from . import alignment, decision_list, html, jaccard, packing, pii, quality, repair, secrets, sharding, simhash, token_file, winnow
 from .common import join_small, table
 
 SHARDS = 8
@@ -109,6 +109,13 @@ def op10_rtree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rule is the number of the learned rule that a text meets."""
+    found, _ = decision_list.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", *counts, "base_failed", "kept", "rule")
+
+
 def op12_fragment_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups' digest is taken before the table is settled, so that only ids are written."""
     found = alignment.aligned(
@@ -142,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixture_packing,
         op9_block_tree,
         op10_rtree_jaccard,
+        op11_decision_list,
         op12_fragment_monoid,
         op13_repair_parsing,
     )
