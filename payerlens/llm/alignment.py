@@ -9,7 +9,8 @@ tokenized and grouped as byte ranges in many tasks and composed up a tree.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from payerlens.operators.stages import settle
 
 from .common import map_arrow, partition_id, small_slices, whole_text
-from .tokens import both_encoders
+from .tokens import _WORD_CUT, _WORD_ODD, TOGETHER, BytePieces, SentencePieces, Slots
 
 CHUNK = 65_536
 #: Fragments that one step of the tree composes, as a power of two.
@@ -27,7 +28,7 @@ FAN = 3
 #: Tokens of a block of documents, whose counts are summed before they leave the task.
 BLOCK_TOKENS = 1_000_000
 #: Pieces that a worker remembers for each tokenizer.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Groups with more links than this are counted by their distinct ids.
 WIDE = 65_536
 
@@ -65,11 +66,19 @@ class Fragment:
 
 
 EMPTY = Fragment(*(np.zeros(0, np.uint16),) * 2, *(np.zeros(1, np.int64),) * 2)
+UNSOUND = replace(EMPTY, sound=False)
+
+
+def _common(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
+    """Values of both ascending arrays without repeats."""
+    if not len(ends_b):
+        return ends_b
+    return ends_a[ends_b[np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)] == ends_a]
 
 
 def fragment(a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray) -> Fragment:
     """The fragment of tokens with these byte ends (ascending)."""
-    common = np.intersect1d(ends_a, ends_b)
+    common = _common(ends_a, ends_b)
     sizes = []
     for ends in (ends_a, ends_b):
         upto = np.searchsorted(ends, common, "right")
@@ -77,22 +86,29 @@ def fragment(a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarra
     return Fragment(a, b, *sizes)
 
 
+@lru_cache(maxsize=1)
+def _signs() -> tuple[np.ndarray, np.ndarray]:
+    """(digits of each number below 2**16 and room for a mark, number of its digits)."""
+    numbers = np.arange(1 << 16)
+    width = np.searchsorted(10 ** np.arange(1, 6), numbers, "right") + 1
+    powers = 10 ** np.maximum(width[:, None] - 1 - np.arange(6), 0)
+    return (numbers[:, None] // powers % 10 + 48).astype(np.uint8), width
+
+
 def spelled(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> bytes:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
+    """``a1,a2|b1;a3|b2,b3``: the ids (below 2**16) of each group."""
     if not len(sizes_a):
         return b""
-    group_a, group_b = np.repeat(np.arange(len(sizes_a)), sizes_a), np.repeat(np.arange(len(sizes_b)), sizes_b)
     upto_a, upto_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
-    place_a = np.arange(len(a)) + (upto_b - sizes_b)[group_a]
-    place_b = np.arange(len(b)) + upto_a[group_b]
+    place_a = np.arange(len(a)) + np.repeat(upto_b - sizes_b, sizes_a)
+    place_b = np.arange(len(b)) + np.repeat(upto_a, sizes_b)
     ids = np.empty(len(a) + len(b), np.int64)
     ids[place_a], ids[place_b] = a, b
     mark = np.full(len(ids), ord(","), np.uint8)
     mark[place_a[upto_a - 1]] = ord("|")
     mark[place_b[upto_b - 1]] = ord(";")
-    width = np.searchsorted(10 ** np.arange(1, 6), ids, "right") + 1
-    powers = 10 ** np.maximum(width[:, None] - 1 - np.arange(6), 0)
-    signs = (ids[:, None] // powers % 10 + 48).astype(np.uint8)
+    digits, widths = _signs()
+    signs, width = digits[ids], widths[ids]
     signs[np.arange(len(ids)), width] = mark
     return signs[np.arange(6) <= width[:, None]][:-1].tobytes()
 
@@ -120,36 +136,132 @@ def links(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray
     return pairs, np.bincount(back, np.concatenate(counts)).astype(np.int64)
 
 
-class _Grouper:
-    """Tokenizes texts with a blank in front of each and cuts them into fragments."""
+class _Pool:
+    """Runs of numbers by the number of their piece."""
+
+    def __init__(self, dtype):
+        self.data, self.first, self.size, self.used = np.zeros(4096, dtype), np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
 
-    def __init__(self, byte_file: str, piece_file: str, remembered: int):
-        self.coders = both_encoders(byte_file, piece_file, remembered)
+    def keep(self, known: int, sizes: np.ndarray, data: np.ndarray) -> None:
+        n, used = known + len(sizes), self.used + len(data)
+        if n > len(self.first):
+            self.first, self.size = np.resize(self.first, 2 * n), np.resize(self.size, 2 * n)
+        if used > len(self.data):
+            self.data = np.resize(self.data, 2 * used)
+        self.first[known:n] = self.used + np.cumsum(sizes) - sizes
+        self.size[known:n] = sizes
+        self.data[self.used : used] = data
+        self.used = used
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(runs of the pieces one after the other, end of each)."""
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.data[np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(total)], ends
+
+
+class Aligner:
+    """Tokens of texts by both files, with a blank in front of each text.
+
+    A text is cut at blanks between two other characters, which no token of either
+    side crosses, so both end a token there and the groups of a piece do not depend on
+    the rest. Pieces repeat, so their ids and groups are remembered, up to ``limit`` of them.
+    """
+
+    def __init__(self, byte_file: str, piece_file: str, limit: int):
+        self.coders = BytePieces(byte_file), SentencePieces(piece_file)
         tables = [coder.bytes_of() for coder in self.coders]
+        if max(map(len, tables)) > 1 << 16:
+            raise ValueError("ids of 65,536 and more are not supported")
         self.sizes = [np.array([len(x) for x in t], np.int64) for t in tables]
         self.starts = [np.concatenate([[0], np.cumsum(s)[:-1]]) for s in self.sizes]
         self.data = [np.frombuffer(b"".join(t), np.uint8) for t in tables]
-
-    def tokens(self, texts: list[str]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray], bool]]:
-        """(ids, byte ends, whether the tokens' bytes are the text's) of each text, of both tokenizers."""
-        coded = [coder.encode(texts) for coder in self.coders]
-        edges = [np.concatenate([[0], np.cumsum(n)]) for _, n in coded]
-        for i, text in enumerate(texts):
-            raw = np.frombuffer(text.encode(), np.uint8)
-            ids, ends, sound = [], [], True
+        self.limit = limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot = Slots()
+        self.ids, self.groups = ([_Pool(np.uint16), _Pool(np.uint16)] for _ in range(2))
+        self.sound = np.zeros(1024, bool)
+        self.names: list[bytes] = []
+
+    def _learn(self) -> None:
+        pieces, self.slot.waiting = self.slot.waiting, []
+        known = len(self.slot) - len(pieces)
+        for first in range(0, len(pieces), TOGETHER):
+            own = pieces[first : first + TOGETHER]
+            raw = [b" " + p.encode() for p in own]
+            length = np.array([len(x) for x in raw])
+            begin, whole = np.cumsum(length) - length, np.frombuffer(b"".join(raw), np.uint8)
+            # a piece of its own that begins with a blank is told from one that begins a text
+            told = ["  " + p if p[:1] == " " or not p else p for p in own]
+            found, sound = [], np.ones(len(own), bool)
+            for k, coder in enumerate(self.coders):
+                n, ids = coder.fresh(told)
+                piece, size = np.repeat(np.arange(len(own)), n), self.sizes[k][ids]
+                total = np.bincount(piece, size, len(own)).astype(np.int64)
+                end = np.cumsum(size) - np.repeat(np.cumsum(total) - total, n)
+                good = total == length
+                fit = good[piece]
+                at = np.repeat(self.starts[k][ids[fit]] - (np.cumsum(size[fit]) - size[fit]), size[fit]) + np.arange(size[fit].sum())
+                place = np.repeat((begin[piece] + end - size)[fit] - (np.cumsum(size[fit]) - size[fit]), size[fit]) + np.arange(size[fit].sum())
+                wrong = self.data[k][at] != whole[place]
+                good[np.repeat(piece[fit], size[fit])[wrong]] = False
+                sound &= good
+                found.append((n, ids, piece, begin[piece] + end))
+            ends, sizes = [], []
+            for k, (n, ids, piece, end) in enumerate(found):
+                keep = sound[piece]
+                self.ids[k].keep(known, np.where(sound, n, 0), ids[keep])
+                ends.append(end[keep])
+            both = fragment(ends[0], ends[0], ends[1], ends[1])
+            common = _common(*ends)
+            count = np.bincount(np.searchsorted(begin + length, common), minlength=len(own))
             for k in range(2):
-                own = coded[k][0][edges[k][i] : edges[k][i + 1]]
-                size = self.sizes[k][own]
-                end = np.cumsum(size)
-                total = int(end[-1]) if len(end) else 0
-                if total == len(raw):
-                    at = np.repeat(self.starts[k][own] - (end - size), size) + np.arange(total)
-                    sound &= bool((self.data[k][at] == raw).all())
-                else:
-                    sound = False
-                ids.append(own)
-                ends.append(end)
-            yield ids, ends, sound
+                self.groups[k].keep(known, count, (both.sizes_a, both.sizes_b)[k][:-1])
+            if known + len(own) > len(self.sound):
+                self.sound = np.resize(self.sound, 2 * (known + len(own)))
+            self.sound[known : known + len(own)] = sound
+            ids = [found[k][1][sound[found[k][2]]] for k in range(2)]
+            names = spelled(*ids, *both.groups()).split(b";")
+            upto = np.cumsum(count).tolist()
+            self.names += [b";".join(names[a:b]) for a, b in zip([0, *upto], upto)]
+            known += len(own)
+
+    def fragments(self, texts: list[str]) -> Iterator[tuple[Fragment, bytes]]:
+        """(closed fragment, its groups spelled) of a blank and each text; empty ones where bytes are not met."""
+        if len(self.slot) > self.limit:
+            self._forget()
+        pieces: list[str] = []
+        edges = [0]
+        for text in texts:
+            pieces += _WORD_CUT.split(text) if _WORD_ODD.search(text) else text.split(" ")
+            edges.append(len(pieces))
+        at = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
+        if self.slot.waiting:
+            self._learn()
+        whole = [pool.of(at) for pool in (*self.ids, *self.groups)]
+        upto = [np.concatenate([[0], ends])[edges] for _, ends in whole]
+        numbers, sound = at.tolist(), self.sound[at]
+        for i in range(len(texts)):
+            low, high = edges[i], edges[i + 1]
+            if sound[low:high].all():
+                a, b, sizes_a, sizes_b = (x[u[i] : u[i + 1]] for (x, _), u in zip(whole, upto))
+                name = b";".join([self.names[k] for k in numbers[low:high]])
+                yield Fragment(a, b, np.append(sizes_a, 0), np.append(sizes_b, 0)), name
+            else:
+                yield UNSOUND, b""
+
+    def ends(self, x: Fragment) -> list[np.ndarray]:
+        """Byte ends of the tokens of both sides."""
+        return [np.cumsum(self.sizes[k][ids]) for k, ids in enumerate((x.a, x.b))]
+
+
+@lru_cache(maxsize=1)
+def aligner(byte_file: str, piece_file: str, limit: int) -> Aligner:
+    """The worker's aligner."""
+    return Aligner(byte_file, piece_file, limit)
 
 
 #: A fragment as a row; ids and sizes are little-endian uint32.
@@ -175,15 +287,16 @@ class _Blocks:
     def __init__(self, branch: int, tokens: int):
         self.number, self.held, self.tokens = (branch << 62) + (partition_id() << 32), 0, tokens
 
-    def row(self, x: Fragment) -> list:
+    def row(self, x: Fragment, text: bytes | None = None) -> list:
         if not x.sound:
             x = EMPTY
         if self.held >= self.tokens:
             self.number, self.held = self.number + 1, 0
         self.held += len(x.a)
         sizes = x.groups()
-        text = spelled(x.a, x.b, *sizes).decode()
-        return [self.number, *(part.astype("<u4").tobytes() for part in (x.a, x.b, *sizes)), text]
+        if text is None:
+            text = spelled(x.a, x.b, *sizes)
+        return [self.number, *(part.astype("<u4").tobytes() for part in (x.a, x.b, *sizes)), text.decode()]
 
 
 def _columns(rows: list[list]) -> list[list]:
@@ -193,7 +306,8 @@ def _columns(rows: list[list]) -> list[list]:
 def pieces_of(text: str, chunk: int) -> Iterator[tuple[int, str]]:
     """(byte place, part) of the parts of a text of about ``chunk`` characters, cut where no token crosses.
 
-    Such a place is a blank between two other characters; a run without one stays whole.
+    Such a place is a blank between two other characters, which goes before the part
+    behind it; a run without one stays whole. Places count the blank before the text.
     """
     first, place = 0, 0
     while first < len(text):
@@ -208,8 +322,8 @@ def pieces_of(text: str, chunk: int) -> Iterator[tuple[int, str]]:
             cut += 1
         part = text[first:cut]
         yield place, part
-        place += len(part.encode())
-        first = cut
+        place += len(part.encode()) + 1
+        first = cut + 1
 
 
 def aligned(
@@ -238,13 +352,11 @@ def aligned(
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def whole(batches):
-        grouper, blocks = None, _Blocks(0, block_tokens)
+        blocks = _Blocks(0, block_tokens)
         for batch in small_slices(batches):
-            grouper = grouper or _Grouper(byte_file, piece_file, remembered)
             own = batch.column(2).to_pylist()
-            rows = []
-            for text, (ids, ends, sound) in zip(own, grouper.tokens([" " + t if t else "" for t in own])):
-                rows.append(blocks.row(fragment(ids[0], ends[0], ids[1], ends[1]) if sound and text else EMPTY))
+            found = aligner(byte_file, piece_file, remembered).fragments(own)
+            rows = [blocks.row(*(x if text else (EMPTY,))) for text, x in zip(own, found)]
             yield [batch.column(0), batch.column(1), *_columns(rows)]
 
     done = map_arrow(short, whole, f"doc_id {id_type}, n_bytes bigint, {_ALIGNED}")
@@ -253,23 +365,23 @@ def aligned(
         for batch in small_slices(batches, "text"):
             for i in range(batch.num_rows):
                 doc, place, n, text = (batch.column(k)[i].as_py() for k in range(4))
-                for at, part in pieces_of(" " + text, chunk):
+                for at, part in pieces_of(text, chunk):
                     yield [[doc], [place], [n], [at], [part]]
 
     def ranges(batches):
-        grouper = None
         for batch in small_slices(batches, "text"):
-            grouper = grouper or _Grouper(byte_file, piece_file, remembered)
+            aligns = aligner(byte_file, piece_file, remembered)
             keys = [batch.column(k).to_pylist() for k in range(4)]
-            for i, (ids, ends, sound) in enumerate(grouper.tokens(batch.column(4).to_pylist())):
+            for i, (whole, _) in enumerate(aligns.fragments(batch.column(4).to_pylist())):
                 doc, place, n, at = (k[i] for k in keys)
-                last = max(int(e[-1]) if len(e) else 0 for e in ends)
-                low = at // chunk
-                for number in range(low, (at + max(last, 1) - 1) // chunk + 1):
-                    edge = [np.searchsorted(e + at, [number * chunk, (number + 1) * chunk], "right") for e in ends]
-                    (a0, a1), (b0, b1) = edge
-                    x = fragment(ids[0][a0:a1], ends[0][a0:a1], ids[1][b0:b1], ends[1][b0:b1])
-                    x.sound = sound
+                sides = list(zip((whole.a, whole.b), aligns.ends(whole)))
+                last = max([1, *(int(ends[-1]) for _, ends in sides if len(ends))])
+                for number in range(at // chunk, (at + last - 1) // chunk + 1):
+                    parts = []
+                    for ids, ends in sides:
+                        low, high = np.searchsorted(ends + at, [number * chunk, (number + 1) * chunk], "right")
+                        parts += [ids[low:high], ends[low:high]]
+                    x = replace(fragment(*parts), sound=whole.sound)
                     yield [[doc], [place], [n], [max(at, number * chunk)], *_columns([_row(x)])]
 
     keys = f"doc_id {id_type}, place bigint, n_bytes bigint, at bigint"

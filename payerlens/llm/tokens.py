@@ -20,10 +20,10 @@ _WORD_ODD = re.compile(r" (?!\S)|(?<!\S) ")
 REMEMBERED = 1_000_000
 #: A character that parts pieces in one call of the library.
 _MARK = "\x01"
-_TOGETHER = 500
+TOGETHER = 500
 
 
-class _Slots(dict):
+class Slots(dict):
     """Number of each piece; new ones are numbered on sight and wait to be learned."""
 
     def __init__(self):
@@ -55,7 +55,7 @@ class Encoder:
         self._load(path, plain)
         self.limit = limit
         self.between = self._ids([" " + _MARK])[0]
-        self.slot = _Slots()
+        self.slot = Slots()
         self.first = np.zeros(1024, np.int64)
         self.size = np.zeros(1024, np.int64)
         self.uses = np.zeros(1024, np.int64)
@@ -91,7 +91,7 @@ class Encoder:
         names = [p for p, k in zip(self.slot, kept.tolist()) if k]
         ids, _ = self._gathered(np.flatnonzero(kept))
         sizes = self.size[: len(kept)][kept]
-        self.slot = _Slots()
+        self.slot = Slots()
         self.slot.update(zip(names, range(len(names))))
         self.uses = np.zeros(len(self.first), np.int64)
         self.used = 0
@@ -112,37 +112,39 @@ class Encoder:
         return n
 
     def _learn(self) -> None:
-        """Encodes the pieces that wait, in calls of many pieces with a mark between them.
+        """Encodes the pieces that wait and keeps their ids."""
+        pieces, self.slot.waiting = self.slot.waiting, []
+        known = len(self.slot) - len(pieces)
+        for at in range(0, len(pieces), TOGETHER):
+            known = self._keep(*self.fresh(pieces[at : at + TOGETHER]), known)
 
+    def fresh(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, the ids one after the other), in one call for many pieces with a mark between them.
+
+        A piece stands behind a blank; one that begins a text has a blank before it instead.
         The mark stands behind a blank and before one, so pieces meet it as they meet
         the rest of a text. Pieces that begin a text, hold the mark or end with
         white space are encoded one by one.
         """
-        pieces, self.slot.waiting = self.slot.waiting, []
-        known = len(self.slot) - len(pieces)
         mark, gap = self.between[-1], len(self.between)
-        for at in range(0, len(pieces), _TOGETHER):
-            own = pieces[at : at + _TOGETHER]
-            alone = [i for i, p in enumerate(own) if p[:1] == " " or _MARK in p or p[-1:].isspace()]
-            texts = {i: own[i][1:] if own[i][:1] == " " else " " + own[i] for i in alone}
-            rest = [p for i, p in enumerate(own) if i not in texts]
-            ids = np.array(self._ids([" " + f" {_MARK} ".join(rest)])[0], np.uint32) if rest else np.zeros(0, np.uint32)
-            marks = np.flatnonzero(ids == mark)
-            if len(marks) != max(0, len(rest) - 1):
-                texts |= {i: " " + p for i, p in enumerate(own) if i not in texts}
-                rest, marks = [], marks[:0]
-            singles = dict(zip(texts, self._ids(list(texts.values()))))
-            edges = np.concatenate([[-1], marks, [len(ids) + gap - 1]])
+        alone = [i for i, p in enumerate(own) if p[:1] == " " or _MARK in p or p[-1:].isspace()]
+        texts = {i: own[i][1:] if own[i][:1] == " " else " " + own[i] for i in alone}
+        rest = [p for i, p in enumerate(own) if i not in texts]
+        ids = np.array(self._ids([" " + f" {_MARK} ".join(rest)])[0], np.uint32) if rest else np.zeros(0, np.uint32)
+        marks = np.flatnonzero(ids == mark)
+        if len(marks) != max(0, len(rest) - 1):
+            texts |= {i: " " + p for i, p in enumerate(own) if i not in texts}
+            rest, marks = [], marks[:0]
+        singles = dict(zip(texts, self._ids(list(texts.values()))))
+        edges = np.concatenate([[-1], marks, [len(ids) + gap - 1]])
+        if singles:
             bounds = iter(zip((edges[:-1] + 1).tolist(), (edges[1:] - gap + 1).tolist()))
-            found = [np.array(singles[i], np.uint32) if i in singles else ids[slice(*next(bounds))] for i in range(len(own))] if singles else None
-            if found is None:
-                sizes = np.diff(edges) - gap
-                inside = np.ones(len(ids), bool)
-                for j in range(gap):
-                    inside[marks - j] = False
-                known = self._keep(sizes, ids[inside], known)
-            else:
-                known = self._keep(np.array([len(x) for x in found]), np.concatenate(found), known)
+            found = [np.array(singles[i], np.uint32) if i in singles else ids[slice(*next(bounds))] for i in range(len(own))]
+            return np.array([len(x) for x in found]), np.concatenate(found)
+        inside = np.ones(len(ids), bool)
+        for j in range(gap):
+            inside[marks - j] = False
+        return np.diff(edges) - gap, ids[inside]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other as uint32, number of ids of each text)."""
@@ -190,8 +192,8 @@ class BytePieces(Encoder):
 
     cut, odd = _WORD_CUT, _WORD_ODD
 
-    def __init__(self, path: str, limit: int = REMEMBERED):
-        super().__init__(path, limit, plain=True)
+    def __init__(self, path: str):
+        super().__init__(path, plain=True)
 
     def bytes_of(self) -> list[bytes]:
         """The bytes of each id, by the printable characters that stand for the bytes."""
@@ -238,9 +240,3 @@ class SentencePieces(Encoder):
 def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """The worker's encoder for a tokenizer file."""
     return Encoder(path, remembered)
-
-
-@lru_cache(maxsize=1)
-def both_encoders(byte_path: str, piece_path: str, remembered: int) -> tuple[BytePieces, SentencePieces]:
-    """The worker's byte-level and sentencepiece encoders."""
-    return BytePieces(byte_path, remembered), SentencePieces(piece_path, remembered)
