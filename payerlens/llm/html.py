@@ -112,7 +112,7 @@ def blocks(page: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
     """
     out: list = []
     parts: list[str] = []
-    open_tags: list[tuple[str, frozenset, bool]] = []
+    open_tags: list[tuple[str, frozenset, bool, int]] = []
     flags: dict[str, int] = dict.fromkeys(KINDS, 0)
     links = link_words = silent = 0
     at, size = 0, len(page)
@@ -130,9 +130,10 @@ def blocks(page: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
     def close(count: int) -> None:
         nonlocal silent, links
         for _ in range(count):
-            tag, kinds, hidden = open_tags.pop()
+            tag, kinds, hidden, forms = open_tags.pop()
             for k in kinds:
                 flags[k] -= 1
+            flags["form"] += forms
             silent -= hidden
             links -= tag == "a"
 
@@ -184,7 +185,12 @@ def blocks(page: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
             close(len(open_tags))
         kinds, hidden = _kinds(tag, attributes)
         hidden = hidden or tag in SILENT
-        open_tags.append((tag, kinds, hidden))
+        if tag == "header" and any(t[0] == "article" for t in open_tags):
+            kinds = kinds - {"head"}  # the article's own
+        # a form around the main part is no form
+        forms = flags["form"] if "main" in kinds else 0
+        flags["form"] -= forms
+        open_tags.append((tag, kinds, hidden, forms))
         for k in kinds:
             flags[k] += 1
         silent += hidden
@@ -194,43 +200,70 @@ def blocks(page: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
 
 
 def shapes(found: list) -> np.ndarray:
-    """The features of each block."""
+    """The features of each block.
+
+    Names of a main part count only where such blocks hold most of the words outside other
+    places; then ``elsewhere`` marks the blocks outside them. A form that holds most of the
+    page's words is no form.
+    """
     n = len(found)
     out = np.zeros((n + 2, len(FEATURES)), np.float64)
     for i, (_, words, linked, flags) in enumerate(found, 1):
         out[i, 0], out[i, 1] = words, min(1.0, linked / words)
         out[i, 6:-1] = flags
-    named = out[:, -2] > 0
-    other = out[:, 6:-2].any(axis=1)
-    if (named & ~other).any():
-        out[1:-1, -1] = ~named[1:-1]
+    words, form, main = out[:, 0], out[:, FEATURES.index("form")], out[:, FEATURES.index("main")]
+    if (words * form).sum() > words.sum() / 2:
+        form[:] = 0
+    own = words * ~out[:, 6:-2].any(axis=1)
+    if (own * main).sum() > own.sum() / 2:
+        out[1:-1, -1] = main[1:-1] == 0
+    else:
+        main[:] = 0
     out[1:-1, 2:4], out[1:-1, 4:6] = out[:-2, 0:2], out[2:, 0:2]
     return out[1:-1]
 
 
-#: Labelled blocks: kinds of place; 1 for main text at a link density up to the number given.
-#: A row is shown at each of SIZES words, LINKS link densities and pairs of NEIGHBOURS.
+#: Shapes of blocks and of their neighbours: (words, link density).
+EDGE = ((0, 0.0),)
+LINKED = ((1, 1.0), (4, 1.0), (9, 0.9), (20, 0.8))
+SMALL = ((1, 0.0), (4, 0.0), (8, 0.1))
+TEXTS = ((12, 0.0), (30, 0.1), (90, 0.0), (250, 0.2))
+#: Labelled blocks: what they are, label, kinds of place, own shapes, shapes before, shapes after.
+#: Each row is shown with every choice of its shapes.
 LABELLED = (
-    ("main", 1.0),
-    ("", 0.5),
-    *((kind, -1.0) for kind in (*KINDS[:-1], "elsewhere")),
-    *((f"{kind} main", -1.0) for kind in KINDS[:-1]),
-    *((f"{kind} elsewhere", -1.0) for kind in KINDS[:-1]),
+    ("paragraph", 1, "", TEXTS[1:], EDGE + LINKED + SMALL + TEXTS, EDGE + LINKED + SMALL + TEXTS),
+    ("paragraph with many links", 1, "", ((25, 0.4), (60, 0.6), (200, 0.6)), SMALL + TEXTS, SMALL + TEXTS),
+    ("short paragraph or list item", 1, "", (*SMALL, TEXTS[0], (6, 0.4)), SMALL + TEXTS, EDGE + SMALL + TEXTS),
+    ("first words behind a menu", 1, "", (*SMALL, TEXTS[0]), LINKED, SMALL + TEXTS),
+    ("headline or only block", 1, "", (*SMALL, TEXTS[0]), EDGE, EDGE + SMALL + TEXTS),
+    ("last words before a menu", 1, "", (*SMALL, TEXTS[0]), SMALL + TEXTS, LINKED),
+    ("link in a paragraph's place", 1, "", ((5, 0.5), (9, 0.5)), TEXTS[1:], TEXTS[1:]),
+    ("menu entry", 0, "", (*LINKED, (2, 0.8), (6, 0.7)), EDGE + LINKED + SMALL, EDGE + LINKED + SMALL),
+    ("link to more of the site", 0, "", LINKED, TEXTS, EDGE + LINKED + SMALL + TEXTS),
+    ("link before the text", 0, "", LINKED, EDGE + LINKED + SMALL, TEXTS),
+    ("list of links in one block", 0, "", ((40, 0.9), (120, 1.0)), EDGE + LINKED + SMALL + TEXTS, EDGE + LINKED + SMALL + TEXTS),
+    ("label or copyright line among links", 0, "", SMALL, LINKED, EDGE + LINKED),
+    ("label before links", 0, "", SMALL, EDGE, LINKED),
+    ("teaser under its linked title", 0, "", ((12, 0.0), (15, 0.2)), LINKED, EDGE + LINKED),
+    *(("named main part", 1, "main", LINKED + SMALL + TEXTS, EDGE + LINKED + SMALL + TEXTS, EDGE + LINKED + SMALL + TEXTS),),
+    *(
+        ("another place", 0, f"{kind}{more}", LINKED + SMALL + TEXTS, EDGE + LINKED + TEXTS, EDGE + LINKED + TEXTS)
+        for kind in KINDS[:-1]
+        for more in ("", " main", " elsewhere")
+    ),
+    ("outside the main part", 0, "elsewhere", LINKED + SMALL + TEXTS, EDGE + LINKED + SMALL + TEXTS, EDGE + LINKED + SMALL + TEXTS),
 )
-SIZES = (1, 6, 40, 200)
-LINKS = (0.0, 0.2, 0.4, 0.6, 1.0)
-NEIGHBOURS = ((0, 0), (2, 1), (5, 0), (80, 0.1))
 
 
 def labelled() -> tuple[np.ndarray, np.ndarray]:
     """The labelled table written out."""
     rows, marks = [], []
-    for text, most in LABELLED:
+    for _, label, text, *choices in LABELLED:
         places = [float(k in text.split()) for k in (*KINDS, "elsewhere")]
-        for words, link, before, after in product(SIZES, LINKS, NEIGHBOURS, NEIGHBOURS):
-            rows.append([float(words), link, *before, *after, *places])
-            marks.append(int(link <= most))
-    return np.array(rows), np.array(marks)
+        for own, before, after in product(*choices):
+            rows.append([*own, *before, *after, *places])
+            marks.append(label)
+    return np.array(rows, float), np.array(marks)
 
 
 def grow(x: np.ndarray, y: np.ndarray, least: int = 1):
@@ -283,7 +316,10 @@ def main_text(page: str) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text of every row; null html counts as empty, repeated rows give a row each."""
+    """page_id, url, text of every row; null html counts as empty, repeated rows give a row each.
+
+    An empty table gives no rows; other columns, also ones named text or n_chars, are not looked at.
+    """
 
     def work(batches):
         for batch in small_slices(batches, "html"):

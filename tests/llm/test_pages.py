@@ -38,6 +38,45 @@ def test_names_of_places():
             assert html.main_text(page) == "Kept words.", name
 
 
+STORY = "The river rose in the night and by the morning the lower street of the old town stood under a foot of brown water."
+SECOND = "People carried what they could up the stairs, and the baker gave his bread away before the flood could take it."
+
+#: Pages that no row of the labelled table was made from, with their main text.
+HELD_OUT = (
+    (f"<h1 class='post-title'>Title</h1><div class='text'><p>{STORY}</p><p>{SECOND}</p></div>", f"Title {STORY} {SECOND}"),
+    (f"<h1 class='entry-title'>Title</h1><div class='text'><p>{STORY}</p></div>", f"Title {STORY}"),
+    (f"<div class='wrap'><h2>Flood</h2><p>{STORY}</p><p>{SECOND}</p></div><ul><li class='story'><a href=a>Other story</a></li></ul>", f"Flood {STORY} {SECOND}"),
+    (f"<form id='aspnetForm'><main><h1>Flood</h1><p>{STORY}</p></main><input></form>", f"Flood {STORY}"),
+    (f"<form><div><p>{STORY}</p><p>{SECOND}</p></div></form>", f"{STORY} {SECOND}"),
+    (f"<header>Site</header><article><header><h1>Title</h1></header><p>{STORY}</p></article>", f"Title {STORY}"),
+    (f"<ul><li><a href=a>Home</a><li><a href=b>World news</a></ul><h1>Flood</h1><p>{STORY}</p><p>Yes.</p><p>{SECOND}</p>"
+     "<p>More</p><ul><li><a href=c>One</a><li><a href=d>Two</a></ul><p>Copyright us</p>", f"Flood {STORY} Yes. {SECOND} More"),
+    (f"<div><a href=a>Start</a> <a href=b>Sport</a> <a href=c>Money</a></div><p>{STORY} <a href=d>Read the report</a> now.</p>"
+     "<div><a href=e>Storm warning for the north</a></div><p>Strong winds are expected from Friday on, the office says today.</p>"
+     "<div><a href=f>Bridge closed for repairs</a></div>", f"{STORY} Read the report now."),
+    (f"<td class='x'>Menu</td><td><a href=a>A</a></td><td><a href=b>B</a></td><table><tr><td>{STORY}</td></tr></table>", STORY),
+)
+
+
+def test_held_out_pages():
+    assert [html.main_text(page) for page, _ in HELD_OUT] == [text for _, text in HELD_OUT]
+
+
+def test_tree_uses_words_and_neighbours():
+    used = set()
+
+    def walk(node):
+        if not isinstance(node, int):
+            used.add(html.FEATURES[node[0]])
+            walk(node[2])
+            walk(node[3])
+
+    walk(html.tree())
+    assert {"words", "link", "link_before", "link_after"} <= used and used & {"words_before", "words_after"}
+    rows, marks = html.labelled()
+    assert (html.classify(rows) == marks).all()
+
+
 def test_math():
     page = "<article><p>If <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math> holds.</p></article>"
     assert html.main_text(page) == "If x=2 holds."
