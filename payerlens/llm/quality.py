@@ -196,16 +196,17 @@ def good(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` (its columns kept) with score and predicted.
+    """The rows of ``docs`` with score and predicted, which take the place of columns of these names.
 
     Null text counts as empty. Without a model every score is 0.5. Repeated rows are
-    scored each.
+    scored each; an empty table gives no rows.
     """
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    schema = StructType(docs.schema.fields + [StructField("score", DoubleType())])
-    text = docs.columns.index("text")
-    names = docs.columns
+    kept = docs.select([c for c in docs.columns if c.lower() not in ("score", "predicted")])
+    schema = StructType(kept.schema.fields + [StructField("score", DoubleType())])
+    text = kept.columns.index("text")
+    names = kept.columns
 
     def run(batches):
         for batch in small_slices(batches):
@@ -215,5 +216,5 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
                 score = model.score(features(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*names, "score"])
 
-    out = docs.mapInArrow(run, schema)
+    out = kept.mapInArrow(run, schema)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
