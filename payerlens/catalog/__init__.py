@@ -10,6 +10,7 @@ SECTIONS = (
     "quality_other",
     "anomaly",
     "risk",
+    "results",
     "reports",
     "basics",
 )

@@ -69,14 +69,13 @@ view("scored_months", f"""
 _FIELDS = " UNION ALL ".join(
     f"SELECT claim_type, month, '{label}' AS field, {c} AS category FROM lines WHERE {c} IS NOT NULL" for label, c in CA.PSI_FIELDS.items()
 )
-LIMITS = {"min_baseline_rows": 1000, "min_current_rows": 200}
 view(
     "drift",
     f"""
     WITH m AS (SELECT claim_type, month, count(*) AS n, row_number() OVER (PARTITION BY claim_type ORDER BY month) AS idx FROM lines GROUP BY 1, 2),
     w AS (SELECT claim_type, month, n AS current_rows, idx, sum(n) OVER p AS baseline_rows, string_agg(month, ',') OVER p AS baseline_periods
           FROM m WINDOW p AS (PARTITION BY claim_type ORDER BY month ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
-    ready AS (SELECT * FROM w WHERE idx > 6 AND baseline_rows >= 1000 AND current_rows >= 200),
+    ready AS (SELECT * FROM w WHERE idx > 6 AND baseline_rows >= 1000 AND current_rows >= 300),
     c AS (SELECT claim_type, field, category, idx, count(*) AS cnt FROM ({_FIELDS}) JOIN m USING (claim_type, month) GROUP BY 1, 2, 3, 4),
     b AS (SELECT r.claim_type, r.idx, c.field, c.category, sum(c.cnt) AS cnt FROM ready r JOIN c ON c.claim_type = r.claim_type AND c.idx BETWEEN r.idx - 6 AND r.idx - 1 GROUP BY 1, 2, 3, 4),
     bs AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY claim_type, idx, field) AS share FROM b),
@@ -161,7 +160,7 @@ def _(spark, sf):
 
 @query("sx07_fl08_wn15_rolling_psi", "SELECT * REPLACE (round_even(psi_score, 6) AS psi_score) FROM drift")
 def _(spark, sf):
-    return rounded(CA.population_drift(lines(spark, sf), **LIMITS), "psi_score")
+    return rounded(CA.population_drift(lines(spark, sf)), "psi_score")
 
 
 _ROBUST = " + ".join(f"CASE WHEN abs({f}_z) >= 3.5 THEN 1 ELSE 0 END" for f in [*CA.ANOMALY_NAMES, "specialty_behavior"])
@@ -192,7 +191,7 @@ view(
 
 
 def claim_tables(spark, sf):
-    return CA.claims_anomalies(lines(spark, sf), **LIMITS)
+    return CA.claims_anomalies(lines(spark, sf))
 
 
 @query("pl13_claims_anomalies", "SELECT * REPLACE (round_even(robust_z_score, 6) AS robust_z_score, round_even(psi_score, 6) AS psi_score) FROM claims_anomalies")

@@ -47,8 +47,8 @@ view(
            CAST(o_custkey AS VARCHAR) AS BENE_ID, CAST(l_orderkey AS VARCHAR) AS CLM_ID,
            CAST(l_linenumber AS VARCHAR) AS LINE_NUM,
            printf('1%09d', l_suppkey) AS PRVDR_NPI,
-           CASE WHEN l_orderkey % 7 = 0 THEN o_orderdate ELSE l_shipdate END AS CLM_FROM_DT,
-           l_shipdate AS CLM_THRU_DT,
+           CASE WHEN l_orderkey % 7 = 0 THEN o_orderdate ELSE l_shipdate END + to_years(CAST((2002 - year(l_shipdate)) // 2 AS INTEGER)) AS CLM_FROM_DT,
+           l_shipdate - to_days(CASE WHEN l_partkey % 97 = 0 THEN 1 ELSE 0 END) + to_years(CAST((2002 - year(l_shipdate)) // 2 AS INTEGER)) AS CLM_THRU_DT,
            l_extendedprice * (1 - l_discount) AS CLM_PMT_AMT,
            l_extendedprice AS CLM_TOT_CHRG_AMT,
            l_extendedprice * (1 - l_tax) AS LINE_ALOWD_CHRG_AMT,
@@ -57,7 +57,7 @@ view(
            l_quantity / 2 AS CLM_HHA_TOT_VISIT_CNT,
            printf('S%02d', l_suppkey % 5) AS PRVDR_SPCLTY,
            printf('%02d', l_suppkey % 11) AS PRVDR_STATE_CD,
-           CASE WHEN l_partkey % 50 = 0 THEN 'X' ELSE printf('A%02d', (l_partkey + CASE WHEN year(l_shipdate) = 1998 THEN 3 * month(l_shipdate) ELSE 0 END) % 12) END AS PRNCPAL_DGNS_CD,
+           CASE WHEN l_partkey % 50 = 0 THEN 'X' ELSE printf('A%02d', l_partkey % CASE WHEN year(l_shipdate) >= 2000 AND month(l_shipdate) >= 9 THEN 3 ELSE 12 END) END AS PRNCPAL_DGNS_CD,
            CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE printf('P%03d', l_partkey % 9) END AS ICD_PRCDR_CD1,
            CASE WHEN l_partkey % 41 = 0 THEN 'H12' ELSE printf('H%04d', l_partkey % 20) END AS HCPCS_CD,
            printf('%04d', 100 + l_linenumber) AS REV_CNTR,
@@ -69,12 +69,22 @@ view(
 
 
 def claims(spark: SparkSession, sf: str) -> DataFrame:
-    """Typed claim lines of three claim types (return flag) with codes and amounts."""
+    """Typed claim lines of three claim types (return flag) with codes and amounts.
+
+    Two years are laid into one, so that months hold enough rows for the drift limits; the last
+    ones use few diagnoses only.
+    """
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
-    shifted = F.col("l_partkey") + F.when(
-        F.year("l_shipdate") == 1998, 3 * F.month("l_shipdate")
-    ).otherwise(0)
+    few = (F.year("l_shipdate") >= 2000) & (F.month("l_shipdate") >= 9)
+    diagnosis = F.when(few, F.col("l_partkey") % 3).otherwise(F.col("l_partkey") % 12)
+    years = F.floor((F.lit(2002) - F.year("l_shipdate")) / 2).cast("int")
+    kind = dict(li.dtypes)["l_shipdate"]
+
+    def moved(day):
+        return F.make_ym_interval(years, F.lit(0)) + day if kind.startswith("timestamp") else F.add_months(day, years * 12)
+
+    odd = F.when(F.col("l_partkey") % 97 == 0, F.make_dt_interval(F.lit(1))).otherwise(F.make_dt_interval(F.lit(0)))
     return j.select(
         F.when(F.col("l_returnflag") == "A", "dme")
         .when(F.col("l_returnflag") == "N", "hha")
@@ -84,10 +94,8 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_orderkey").cast("string").alias("CLM_ID"),
         F.col("l_linenumber").cast("string").alias("LINE_NUM"),
         provider_number("l_suppkey").alias("PRVDR_NPI"),
-        F.when(F.col("l_orderkey") % 7 == 0, F.col("o_orderdate"))
-        .otherwise(F.col("l_shipdate"))
-        .alias("CLM_FROM_DT"),
-        F.col("l_shipdate").alias("CLM_THRU_DT"),
+        moved(F.when(F.col("l_orderkey") % 7 == 0, F.col("o_orderdate")).otherwise(F.col("l_shipdate"))).alias("CLM_FROM_DT"),
+        moved(F.col("l_shipdate") - odd).alias("CLM_THRU_DT"),
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("CLM_PMT_AMT"),
         F.col("l_extendedprice").alias("CLM_TOT_CHRG_AMT"),
         (F.col("l_extendedprice") * (1 - F.col("l_tax"))).alias("LINE_ALOWD_CHRG_AMT"),
@@ -97,7 +105,7 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
         F.format_string("S%02d", F.col("l_suppkey") % 5).alias("PRVDR_SPCLTY"),
         F.format_string("%02d", F.col("l_suppkey") % 11).alias("PRVDR_STATE_CD"),
         F.when(F.col("l_partkey") % 50 == 0, "X")
-        .otherwise(F.format_string("A%02d", shifted % 12))
+        .otherwise(F.format_string("A%02d", diagnosis))
         .alias("PRNCPAL_DGNS_CD"),
         F.when(F.col("l_partkey") % 3 != 0, F.format_string("P%03d", F.col("l_partkey") % 9)).alias(
             "ICD_PRCDR_CD1"

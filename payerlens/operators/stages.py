@@ -24,8 +24,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
 
 
-def new_stage(spark: SparkSession) -> str:
-    """A fresh path in the application's own part of the folder, which goes when the application ends."""
+def application_folder(spark: SparkSession) -> str:
+    """The application's own part of the folder, which goes when the application ends."""
     context = spark.sparkContext
     folder = f"{checkpoint_folder(spark)}/payerlens-{context.applicationId}"
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
@@ -33,7 +33,12 @@ def new_stage(spark: SparkSession) -> str:
     if not files.exists(path):
         files.mkdirs(path)
         files.deleteOnExit(path)
-    return f"{folder}/stage-{uuid.uuid4().hex}"
+    return folder
+
+
+def new_stage(spark: SparkSession) -> str:
+    """A fresh path in the application's folder."""
+    return f"{application_folder(spark)}/stage-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:
