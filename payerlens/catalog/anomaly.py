@@ -339,7 +339,7 @@ def _(spark, sf):
     rows = S.prescriber_drug(spark, sf)
     a = D.population_psi(rows, "Gnrc_Name", "Prscrbr_Type").withColumnRenamed("psi", "specialty_psi")
     b = D.population_psi(rows, "Gnrc_Name", "Prscrbr_State_Abrvtn").withColumnRenamed("psi", "state_psi")
-    return rounded(a.join(b, "Gnrc_Name"), "specialty_psi", "state_psi")
+    return rounded(a.join(b, "Gnrc_Name", "full"), "specialty_psi", "state_psi")
 
 
 @query("sx05_yearly_robust_z", "SELECT year, metric, round_even(z, 6) AS z FROM yearly_z")
@@ -375,5 +375,5 @@ def _(spark, sf):
     SELECT drug, severity, anomaly_count, round_even(robust_z_score, 6) AS robust_z_score FROM drug_anomalies
     ORDER BY CASE severity WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, anomaly_count DESC, drug_anomalies.robust_z_score DESC NULLS LAST LIMIT 30""")
 def _(spark, sf):
-    top = DA.most_severe(drug_tables(spark, sf)["drug_anomalies"])
+    top = DA.most_severe(drug_tables(spark, sf)["drug_anomalies"], 30)
     return rounded(top.select("drug", "severity", "anomaly_count", "robust_z_score"), "robust_z_score")

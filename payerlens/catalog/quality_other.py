@@ -184,6 +184,8 @@ view(
     + ", ".join(f"coalesce({m}, FALSE) AS m{i}" for i, m in enumerate(auth_rules_sql()))
     + " FROM auth_std",
 )
+view("auth_rule_counts", " UNION ALL ".join(
+    f"SELECT '{n}' AS rule_name, {r} AS rank_of, count(*) FILTER (m{i}) AS failed FROM auth_masks" for i, (n, _, _, r) in enumerate(AUTH_RULES)))
 _LOST = " + ".join(f"CASE WHEN m{i} THEN {d} ELSE 0 END" for i, (_, _, d, _) in enumerate(AUTH_RULES))
 _WORST = "greatest(0, " + ", ".join(f"CASE WHEN m{i} THEN {r} ELSE 0 END" for i, (_, _, _, r) in enumerate(AUTH_RULES)) + ")"
 _NAMES = "concat_ws('; ', " + ", ".join(f"CASE WHEN m{i} THEN '{n}' END" for i, (n, _, _, _) in enumerate(AUTH_RULES)) + ")"

@@ -24,7 +24,7 @@ from payerlens.sources.store import ResultStore
 
 #: The runs' start; it stands for the schedule's time.
 STARTED = datetime(2025, 1, 31, 8, 0)
-TODAY = "2025-01-01"
+TODAY = "2001-07-20"
 
 
 def _claims(spark, sf):
@@ -51,6 +51,7 @@ def _claims(spark, sf):
         "claim_behavior": lambda read: sla.claim_behavior(
             read("rolling_history").withColumnsRenamed({"period": "current_period", "monthly_volume": "current_month_volume"})
         ),
+        "claim_runs": lambda read: sla.claim_runs(S.run_log(spark, sf)),
         "claim_quality": quality,
         "claims_anomalies": lambda read: CA.claims_anomalies(lines(spark, sf))["claims_anomalies"],
         "claim_provider_risk": lambda read: R.claim_provider_risk(
@@ -97,7 +98,7 @@ def _authorization(spark, sf):
 DOMAINS = {"claims": _claims, "pharmacy": _pharmacy, "authorization": _authorization}
 TABLES = {
     "claims": (
-        "valid_claims", "provider_volume_risk", "rolling_history", "claim_behavior", "claim_quality", "claims_anomalies", "claim_provider_risk",
+        "valid_claims", "provider_volume_risk", "rolling_history", "claim_behavior", "claim_runs", "claim_quality", "claims_anomalies", "claim_provider_risk",
     ),
     "pharmacy": ("prescriptions", "drug_peer_risk", "provider_peer_risk", "pharmacy_quality", "drug_anomalies", "pharmacy_provider_risk"),
     "authorization": ("auth_requests", "auth_volume_risk", "auth_metrics", "auth_rules", "auth_providers"),

@@ -8,7 +8,7 @@ from payerlens.catalog import anomaly as AN
 from payerlens.catalog import pharmacy as PH
 from payerlens.catalog import quality_claims as QC
 from payerlens.catalog import standins as S
-from payerlens.catalog.registry import query, table, view
+from payerlens.catalog.registry import VIEWS, query, table, view
 from payerlens.catalog.sla import rounded
 from payerlens.catalog.volume import claims_tables
 from payerlens.operators.stages import settle
@@ -27,6 +27,10 @@ view(
     LEFT JOIN f ON f.npi = p.npi AND f.rule = r.rule
     """,
 )
+view(
+    "provider_dq_fields",
+    VIEWS["provider_dq_rows"].replace("SELECT p.npi,", "SELECT p.npi, substring(r.rule, length('missing_') + 1) AS field,"),
+)
 view("provider_dq", "SELECT npi AS NPI, avg(score) AS dq_quality_score, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - avg(score) / 100)) AS dq_risk FROM provider_dq_rows GROUP BY 1")
 _NAMES = ["Data Quality", "Volume", "Robust Z", "PSI", "Arrival Delay"]
 view(

@@ -353,7 +353,7 @@ def drug_anomalies(
     }
 
 
-def most_severe(anomalies: DataFrame, n: int = 30) -> DataFrame:
+def most_severe(anomalies: DataFrame, n: int) -> DataFrame:
     """HIGH before MEDIUM before LOW, then most signals, then strongest score."""
     rank = (
         F.when(F.col("severity") == "HIGH", 1)

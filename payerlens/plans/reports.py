@@ -62,6 +62,31 @@ def page(
     return df.orderBy(order, *ties).offset((max(1, number) - 1) * size).limit(size)
 
 
+def page_after(
+    df: DataFrame, order: Sequence[tuple[str, bool]], last: Sequence | None, size: int
+) -> DataFrame:
+    """The next ``size`` rows of a listing behind the row with the keys ``last`` (None: the first ones).
+
+    ``order`` names the keys and whether each descends; together they tell rows apart. Nulls
+    come last in descending and first in ascending keys. The condition on the keys reaches
+    the scan, so rows of earlier pages are not sorted again, and no page is counted off.
+    """
+    if last is not None:
+        beyond, same = F.lit(False), F.lit(True)
+        for (name, descending), value in zip(order, last, strict=True):
+            key = F.col(name)
+            if value is None:
+                behind = F.lit(False) if descending else key.isNotNull()
+                equal = key.isNull()
+            else:
+                behind = ((key < value) | key.isNull()) if descending else key > value
+                equal = key == value
+            beyond, same = beyond | (same & behind), same & equal
+        df = df.filter(beyond)
+    keys = [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first() for c, descending in order]
+    return df.orderBy(*keys).limit(size)
+
+
 def listing_totals(df: DataFrame, **measures: Column) -> DataFrame:
     """Row count and further totals of a filtered listing."""
     return df.agg(F.count(F.lit(1)).alias("total"), *[m.alias(n) for n, m in measures.items()])
@@ -140,7 +165,7 @@ def type_counts(anomalies: DataFrame) -> DataFrame:
     return anomalies.groupBy("anomaly_type").agg(F.count(F.lit(1)).alias("count"))
 
 
-def busiest_providers(anomalies: DataFrame, n: int = 10) -> DataFrame:
+def busiest_providers(anomalies: DataFrame, n: int) -> DataFrame:
     counts = (
         anomalies.filter("provider_id is not null")
         .groupBy("provider_id")
@@ -155,7 +180,7 @@ def score_points(anomalies: DataFrame, n: int | None = None) -> DataFrame:
     return both if n is None else top(both, "robust_z_score", n, "anomaly_type", "provider_id", "subject", "month")
 
 
-def alerts(drug: DataFrame, claim: DataFrame, n: int = 10) -> DataFrame:
+def alerts(drug: DataFrame, claim: DataFrame, n: int) -> DataFrame:
     """The strongest HIGH anomalies of both kinds."""
     ties = ("provider_id", "subject", "month")
     parts = []
@@ -191,7 +216,7 @@ def drill_down(tables: dict[str, tuple[DataFrame, str, str, str]], wanted: str,
     return reduce(DataFrame.unionByName, parts)
 
 
-def root_causes(frames: Sequence[DataFrame], n: int = 10) -> DataFrame:
+def root_causes(frames: Sequence[DataFrame], n: int) -> DataFrame:
     texts = reduce(DataFrame.unionByName, [f.select("root_cause") for f in frames])
     known = texts.filter(F.trim(F.coalesce("root_cause", F.lit(""))) != "")
     return top(frequency(known, "root_cause", "occurrences"), "occurrences", n, "root_cause")
@@ -222,6 +247,109 @@ def claim_kpis(volume: DataFrame, anomalies: DataFrame) -> DataFrame:
     )
 
 
+def dashboard(**facts: DataFrame | Column | int | None) -> DataFrame:
+    """One row of headline numbers; one-row frames are joined, constants and columns added."""
+    frames = [f for f in facts.values() if isinstance(f, DataFrame)]
+    # every frame is a single aggregate row
+    rows = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), frames)
+    return rows.withColumns({k: v if isinstance(v, Column) else F.lit(v) for k, v in facts.items() if not isinstance(v, DataFrame)})
+
+
+def anomaly_facts(drug: DataFrame, claim: DataFrame) -> DataFrame:
+    """Counts over both anomaly tables in one row; a provider found in both counts once."""
+    shared = ("provider_id", "severity", "psi_anomaly", "robust_z_anomaly")
+    both = drug.select(F.lit(1).alias("is_drug"), *shared).unionByName(claim.select(F.lit(0).alias("is_drug"), *shared))
+    return both.agg(
+        count_if(F.col("is_drug") == 1).alias("drug_anomalies"),
+        count_if(F.col("is_drug") == 0).alias("claim_anomalies"),
+        F.count(F.lit(1)).alias("total_anomalies"),
+        count_if(level("severity") == "HIGH").alias("high_risk"),
+        F.countDistinct("provider_id").alias("affected_providers"),
+        count_if(F.col("psi_anomaly") == 1).alias("psi_anomalies"),
+        count_if(F.col("robust_z_anomaly") == 1).alias("robust_z_anomalies"),
+    )
+
+
+def claims_dashboard(
+    claims: DataFrame, volume: DataFrame, runs: DataFrame, quality: DataFrame, drug: DataFrame, claim: DataFrame
+) -> DataFrame:
+    """Claims mode: records, providers, late runs, alerts of three kinds and anomalies."""
+    status = F.col("sla_status")
+    rows = dashboard(
+        records=claims.agg(F.count(F.lit(1)).alias("total_records")),
+        providers=volume.agg(
+            F.countDistinct("NPI").alias("total_providers"),
+            count_if(level("risk_level").isin(*ELEVATED)).alias("volume_alerts"),
+        ),
+        runs=runs.agg(
+            F.sum("records_processed").cast("bigint").alias("processed_claims"),
+            count_if(status == "BREACHED").alias("sla_breaches"),
+            count_if(status.isin("MET", "MINOR_OVERRUN", "BREACHED")).alias("rated_runs"),
+            count_if(status == "MET").alias("met_runs"),
+        ),
+        quality=quality.agg(count_if(level("severity").isin(*ELEVATED)).alias("dq_alerts")),
+        anomalies=anomaly_facts(drug, claim),
+    )
+    share = F.round(F.col("met_runs") / F.nullif("rated_runs", F.lit(0)) * 100, 2)
+    return rows.withColumns(
+        {
+            "module": F.lit("claims"),
+            "sla_compliance": share,
+            "sla_alerts": F.col("sla_breaches"),
+            "active_alerts": F.col("dq_alerts") + F.col("volume_alerts") + F.col("sla_breaches"),
+        }
+    ).drop("rated_runs", "met_runs")
+
+
+def drugs_dashboard(drugs: DataFrame, providers: DataFrame) -> DataFrame:
+    """Drug mode: listed drugs, brands, providers, elevated risks and alerts."""
+    high = level("volume_risk_level").isin(*ELEVATED)
+    named = F.when(F.trim("Brnd_Name") != "", F.col("Brnd_Name"))
+    seen = F.when(F.trim("Prscrbr_NPI") != "", F.col("Prscrbr_NPI"))
+    return dashboard(
+        drugs=drugs.agg(
+            F.count(F.lit(1)).alias("total_records"),
+            F.countDistinct(named).alias("processed_claims"),
+            count_if(high).alias("sla_breaches"),
+            count_if(high | (F.coalesce("high_risk_flag_count", F.lit(0)) > 0)).alias("active_alerts"),
+        ),
+        providers=providers.agg(F.countDistinct(seen).alias("total_providers")),
+        module="drugs",
+        total_anomalies=F.col("sla_breaches"),
+        affected_providers=F.col("total_providers"),
+    )
+
+
+def authorization_dashboard(volume: DataFrame, rules: DataFrame, requests: DataFrame) -> DataFrame:
+    """Authorization mode: requests, failed rules, elevated volumes of the latest months and late decisions."""
+    known = volume.filter(F.trim(F.coalesce("NPI", F.lit(""))) != "")
+    newest = latest_per_key(known, ["NPI"], ["current_period"])
+    status, late = F.col("sla_status"), F.col("sla_status").isin("MINOR_BREACH", "BREACHED")
+    rows = dashboard(
+        requests=requests.agg(
+            F.count(F.lit(1)).alias("total_records"),
+            count_if(late).alias("sla_breaches"),
+            count_if(status == "MET").alias("met"),
+        ),
+        providers=newest.agg(
+            F.count(F.lit(1)).alias("total_providers"), count_if(level("risk_level").isin(*ELEVATED)).alias("volume_alerts")
+        ),
+        rules=rules.agg(
+            F.sum(F.when(level("severity").isin(*ELEVATED), F.col("failed_records")).otherwise(0)).cast("bigint").alias("dq_alerts")
+        ),
+    )
+    share = F.round(F.col("met") / F.nullif(F.col("met") + F.col("sla_breaches"), F.lit(0)) * 100, 2)
+    return rows.withColumns(
+        {
+            "module": F.lit("authorization"),
+            "sla_compliance": share,
+            "sla_alerts": F.col("sla_breaches"),
+            "active_alerts": F.col("dq_alerts"),
+            "total_anomalies": F.col("dq_alerts") + F.col("volume_alerts"),
+        }
+    ).drop("met")
+
+
 def distinct_providers(left: DataFrame, right: DataFrame, column: str = "provider_id") -> DataFrame:
     """Providers found in either table."""
     both = left.select(column).unionByName(right.select(column)).filter(F.col(column).isNotNull())
@@ -262,7 +390,7 @@ def auth_funnel(auth: DataFrame) -> DataFrame:
     )
 
 
-def breach_by_provider(auth: DataFrame, volume: DataFrame, n: int = 10) -> DataFrame:
+def breach_by_provider(auth: DataFrame, volume: DataFrame, n: int) -> DataFrame:
     """Late share per provider next to its newest volume risk, worst first."""
     late = F.col("sla_status").isin("MINOR_BREACH", "BREACHED")
     rates = auth.groupBy(npi("provider_id").alias("NPI")).agg(
@@ -277,7 +405,7 @@ def breach_by_provider(auth: DataFrame, volume: DataFrame, n: int = 10) -> DataF
     return top(rates.join(newest, "NPI").withColumn("breach_rate", rate), "breach_rate", n, "NPI")
 
 
-def sla_trend(auth: DataFrame, months: int = 12) -> DataFrame:
+def sla_trend(auth: DataFrame, months: int) -> DataFrame:
     """Mean and largest turnaround and late share of the newest months."""
     late = F.col("sla_status").isin("MINOR_BREACH", "BREACHED")
     rows = (
@@ -303,7 +431,7 @@ def latest_signals(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def volume_trend(monthly: DataFrame, history: DataFrame, months: int = 12) -> DataFrame:
+def volume_trend(monthly: DataFrame, history: DataFrame, months: int) -> DataFrame:
     """Claims and mean baseline of the newest periods."""
     base = history.select("NPI", "period", "baseline_volume")
     rows = (
@@ -339,7 +467,7 @@ def radar(df: DataFrame, axes: dict[str, str]) -> DataFrame:
     return means.select(F.explode(F.array(*entries)).alias("a")).select("a.*")
 
 
-def risk_trend(history: DataFrame, periods: int = 12) -> DataFrame:
+def risk_trend(history: DataFrame, periods: int) -> DataFrame:
     rows = history.groupBy("period").agg(
         F.avg("volume_risk").alias("average_risk"), count_if(F.col("volume_risk") >= 0.8).alias("high_risk_providers")
     )
@@ -364,6 +492,25 @@ def gauge_bands(risk: DataFrame, score: str) -> DataFrame:
     return risk.groupBy(GAUGE(score).alias("gauge")).agg(F.count(F.lit(1)).alias("providers"))
 
 
+def level_counts(risk: DataFrame, column: str) -> DataFrame:
+    """Rows per risk level; an unknown level counts as LOW."""
+    return risk.groupBy(F.coalesce(F.nullif(level(column), F.lit("")), F.lit("LOW")).alias("risk_level")).agg(
+        F.count(F.lit(1)).alias("providers")
+    )
+
+
+def executive_index(claims: DataFrame, pharmacy: DataFrame) -> DataFrame:
+    """Mean of two portfolios' mean scores with health and gauge: frames of ``portfolio``."""
+    rows = claims.select("providers", "average_score").unionByName(pharmacy.select("providers", "average_score"))
+    mean = F.round(F.avg(F.round("average_score", 4)), 4)
+    return rows.agg(F.sum("providers").alias("providers"), mean.alias("combined_score")).select(
+        "providers",
+        "combined_score",
+        F.round(health_score("combined_score"), 1).alias("health_index"),
+        GAUGE("combined_score").alias("gauge"),
+    )
+
+
 def combined_index(*portfolios: DataFrame) -> DataFrame:
     """Provider-weighted mean score over several portfolios."""
     rows = reduce(
@@ -376,7 +523,7 @@ def combined_index(*portfolios: DataFrame) -> DataFrame:
     )
 
 
-def highest_claims(detail: DataFrame, claim: str, value: str, n: int = 10) -> DataFrame:
+def highest_claims(detail: DataFrame, claim: str, value: str, n: int) -> DataFrame:
     totals = detail.groupBy(claim).agg(F.sum(value).alias("total"))
     peak = totals.agg(F.max("total")).scalar()
     return top(totals, "total", n, claim).withColumn("share_of_peak", F.col("total") / peak)
@@ -390,6 +537,8 @@ def provider_profile(
     history: DataFrame,
     claim: DataFrame,
     drug: DataFrame,
+    quality: DataFrame,
+    periods: int,
     provider: str | None = None,
 ) -> DataFrame:
     """Everything known about each provider, or the given one, as
@@ -408,9 +557,10 @@ def provider_profile(
     c = F.col
     parts = [
         part(volume, "NPI", "volume", c("current_period"), c("risk_level"), c("volume_risk")),
-        part(latest_per_provider(history, 12), "NPI", "history", c("period"), c("risk_level"), c("monthly_volume")),
+        part(latest_per_provider(history, periods), "NPI", "history", c("period"), c("risk_level"), c("monthly_volume")),
         part(claim, "provider_id", "claim_anomaly", c("batch_month"), c("severity"), c("robust_z_score")),
         part(drug, "provider_id", "drug_anomaly", F.lit(None), c("drug"), c("robust_z_score")),
+        part(quality, "npi", "quality", F.lit(None), c("field_name"), c("npi_completeness_score")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -422,9 +572,9 @@ def latest_per_provider(history: DataFrame, n: int) -> DataFrame:
 
 
 def claim_detail(claims: DataFrame, volume: DataFrame, quality: DataFrame) -> DataFrame:
-    """Claims with their provider's newest risk and quality rows."""
+    """Claims with their provider's newest volume risk and mean quality score."""
     risk = latest_per_key(
         volume.select("NPI", "current_period", "risk_level", "volume_risk"), ["NPI"], ["current_period"]
     )
-    score = latest_per_key(quality.select("NPI", "created_at", "quality_score"), ["NPI"], ["created_at"])
-    return claims.join(risk, "NPI", "left").join(score.drop("created_at"), "NPI", "left")
+    score = quality.groupBy(npi("npi").alias("NPI")).agg(F.avg("npi_completeness_score").alias("quality_score"))
+    return claims.join(risk, "NPI", "left").join(score, "NPI", "left")
