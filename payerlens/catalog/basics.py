@@ -242,10 +242,13 @@ def _(spark, sf):
     return Q.flag_values_outside(odd, ["opioid_flag", "la_opioid_flag"])
 
 
-@query("ag25_batch_features", """
+view("batch_features", """
     SELECT strftime(NCH_WKLY_PROC_DT, '%Y-%m-%d') AS week, count(CLM_ID)::DOUBLE AS batch_volume, round_even(coalesce(avg(lag), median(avg(lag)) OVER (), 0), 6) AS avg_lag_days, coalesce(max(lag)::DOUBLE, median(max(lag)) OVER (), 0) AS max_lag_days,
            round_even(avg(s), 6) AS avg_submitted_amt, round_even(avg(a) / nullif(avg(s), 0), 6) AS allowed_submitted_ratio, round_even(avg(CASE WHEN HCPCS_CD IS NULL THEN 1 ELSE 0 END), 6) AS missing_hcpcs_ratio
     FROM (SELECT *, CASE WHEN NCH_WKLY_PROC_DT >= CLM_FROM_DT THEN date_diff('day', CLM_FROM_DT, NCH_WKLY_PROC_DT) END AS lag, LINE_SBMTD_CHRG_AMT AS s, LINE_ALOWD_CHRG_AMT AS a FROM dme_lines) GROUP BY NCH_WKLY_PROC_DT""")
+
+
+@query("ag25_batch_features", "SELECT * FROM batch_features")
 def _(spark, sf):
     rows = BT.batch_features(S.dme_lines(spark, sf)).select(F.date_format("NCH_WKLY_PROC_DT", "yyyy-MM-dd").alias("week"), *BT.FEATURES)
     return rounded(rows, "avg_lag_days", "avg_submitted_amt", "allowed_submitted_ratio", "missing_hcpcs_ratio")
@@ -256,3 +259,67 @@ def _(spark, sf):
     """No SQL form: trees are grown from random splits."""
     rows = BT.batch_anomalies(S.dme_lines(spark, sf))
     return rounded(rows.select(F.date_format("NCH_WKLY_PROC_DT", "yyyy-MM-dd").alias("week"), "anomaly_score", "status", "analysis"), "anomaly_score")
+
+
+#: A fixed forest: (tree, node, feature, threshold, left, right, depth of a leaf).
+FOREST = (
+    (0, 0, 0, 60.0, 1, 2, 0.0), (0, 1, -1, 0.0, -1, -1, 2.5), (0, 2, 3, 36000.0, 3, 4, 0.0), (0, 3, -1, 0.0, -1, -1, 8.0), (0, 4, -1, 0.0, -1, -1, 6.5),
+    (1, 0, 5, 0.05, 1, 2, 0.0), (1, 1, -1, 0.0, -1, -1, 7.0), (1, 2, 1, 40.0, 3, 4, 0.0), (1, 3, -1, 0.0, -1, -1, 9.0), (1, 4, -1, 0.0, -1, -1, 3.0),
+    (2, 0, 4, 0.96, 1, 2, 0.0), (2, 1, 2, 80.0, 3, 4, 0.0), (2, 2, -1, 0.0, -1, -1, 4.0), (2, 3, -1, 0.0, -1, -1, 5.0), (2, 4, -1, 0.0, -1, -1, 10.0),
+)
+_LONG = " UNION ALL ".join(f"SELECT week, {i} AS feature, {f} AS value FROM batch_features" for i, f in enumerate(BT.FEATURES))
+
+
+@query("pl17_sx12_fixed_forest_scores", f"""
+    SELECT week, anomaly_score, CASE WHEN anomaly_score >= 0.6 THEN 'CRITICAL ANOMALY' ELSE 'HEALTHY' END AS status FROM (
+      WITH RECURSIVE nodes(tree, node, feature, threshold, below, above, depth) AS (VALUES {', '.join(map(str, FOREST))}), f AS ({_LONG}),
+      walk(week, tree, node) AS (SELECT week, tree, 0 FROM batch_features, (SELECT DISTINCT tree FROM nodes)
+        UNION ALL SELECT w.week, w.tree, CASE WHEN f.value < n.threshold THEN n.below ELSE n.above END FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node JOIN f ON f.week = w.week AND f.feature = n.feature)
+      SELECT w.week, round_even(pow(2.0::DOUBLE, -avg(n.depth::DOUBLE) / (2 * (ln(255.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2 * 255.0::DOUBLE / 256)), 6) AS anomaly_score
+      FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE n.feature < 0 GROUP BY w.week)""")
+def _(spark, sf):
+    """The scoring of a forest as a table of nodes, with fixed trees in place of grown ones."""
+    from payerlens.operators import forest
+
+    rows = BT.batch_features(S.dme_lines(spark, sf)).select(F.date_format("NCH_WKLY_PROC_DT", "yyyy-MM-dd").alias("week"), *BT.FEATURES)
+    rows = rounded(rows, "avg_lag_days", "avg_submitted_amt", "allowed_submitted_ratio", "missing_hcpcs_ratio")
+    trees = [
+        (t, 256, *([n[i] for n in FOREST if n[0] == t] for i in range(2, 7))) for t in range(3)
+    ]
+    schema = "tree int, size int, feature array<int>, threshold array<double>, left array<int>, right array<int>, depth array<double>"
+    scored = rounded(forest.score(rows, spark.createDataFrame(trees, schema), BT.FEATURES), "anomaly_score")
+    status = F.when(F.col("anomaly_score") >= BT.OUTLIER_SCORE, BT.ANOMALY).otherwise(BT.HEALTHY)
+    return scored.select("week", "anomaly_score", status.alias("status"))
+
+
+@query("src01_src02_src06_delimited_files", """
+    SELECT c_mktsegment AS file, count(*) FILTER (c_custkey % 50 <> 0) AS rows, count(*) FILTER (c_custkey % 50 = 0) AS bad,
+           count(DISTINCT c_name) FILTER (c_custkey % 50 <> 0) AS names, CAST(sum(c_custkey) FILTER (c_custkey % 50 <> 0) AS BIGINT) AS keys FROM customer GROUP BY 1""")
+def _(spark, sf):
+    """Files written from the customers, one folder a segment; every 50th record has a field too many."""
+    from payerlens.operators.stages import new_stage
+
+    folder, names = new_stage(spark), ["custkey", "name", "phone"]
+    c = table(spark, sf, "customer")
+    line = F.concat_ws("|", "c_custkey", "c_name", F.lit(""), F.when(F.col("c_custkey") % 50 == 0, "extra"))
+    c.select(line.alias("value"), F.col("c_mktsegment").alias("segment")).write.partitionBy("segment").text(folder)
+    segments = [r[0] for r in c.select("c_mktsegment").distinct().collect()]
+    rows, bad = readers.read_delimited(spark, {s: f"{folder}/segment={s}" for s in segments}, names, header=False)
+    good = rows.groupBy("file").agg(
+        F.count("*").alias("rows"), F.countDistinct("name").alias("names"), F.sum(F.col("custkey").cast("bigint")).alias("keys")
+    )
+    return good.join(bad.groupBy("file").agg(F.count("*").alias("bad")), "file", "left").na.fill(0, ["bad"])
+
+
+@query("src07_src09_src15_fn07_accepted", """
+    SELECT o_orderpriority AS priority, count(*) AS orders, round_even(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""")
+def _(spark, sf):
+    """Checks inside the plan on an input that holds them: columns, tables, numbers, unchanged row count."""
+    orders = table(spark, sf, "orders")
+    orders.createOrReplaceTempView("accepted_orders")
+    contracts.require_tables(spark, ["accepted_orders"])
+    raw = orders.select(F.col("o_orderpriority").alias("priority"), F.format_string("%.2f", "o_totalprice").alias("total"))
+    checked = contracts.require_numeric(contracts.require_exact_columns(raw, ["priority", "total"]), ["total"])
+    checked = contracts.require_unchanged_count(contracts.require_columns(checked, ["total"]), orders)
+    sums = checked.groupBy("priority").agg(F.count("*").alias("orders"), F.sum("total").alias("total"))
+    return rounded(sums, "total", digits=2)

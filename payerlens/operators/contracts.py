@@ -1,7 +1,7 @@
 """Schema contracts, column resolution and row-count invariants.
 
-Everything except the row-count checks works on the schema alone, so a broken
-input fails before any data is read.
+Checks of the schema fail before any data is read. Checks of values and row counts are
+part of the plan and fail when it is run; only ``drop_empty_columns`` runs a job itself.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -125,34 +125,47 @@ def cast_declared(df: DataFrame, declared: dict[str, str]) -> DataFrame:
     )
 
 
-def require_numeric(df: DataFrame, columns: Sequence[str], show: int = 10) -> DataFrame:
-    """Strict cast: fails with sample values if any non-blank value is not a number.
+def holding(df: DataFrame, condition: Column, message: Column) -> DataFrame:
+    """The rows, which fail with the message where the condition is not true.
 
-    One pass over the frame: unreadable values are counted by column and value, and
-    the ``show`` smallest of each column come to the driver.
+    Part of the plan: no job runs when it is built, and the check costs no pass of its own.
     """
-    entries = [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns]
-    text = F.trim("value")
-    bad = (
-        df.select(F.inline(F.array(*entries)))
-        .filter((text != "") & text.try_cast("double").isNull())
-        .distinct()
-        .withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("value")))
-        .filter(F.col("place") <= show)
-        .orderBy("name", "place")
-        .collect()
-    )
-    if bad:
-        found = {c: [r["value"] for r in bad if r["name"] == c] for c in columns}
-        raise ContractError("not numeric: " + "; ".join(f"{c}: {v}" for c, v in found.items() if v))
-    return df.withColumns({c: F.col(c).try_cast("double") for c in columns})
+    return df.filter(F.assert_true(F.coalesce(condition, F.lit(False)), message).isNull())
+
+
+def numeric_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows as they are; a non-blank value that is not a number fails the run that reads it."""
+
+    def bad(c: str) -> Column:
+        text = F.trim(F.col(c).cast("string"))
+        return (text != "") & text.try_cast("double").isNull()
+
+    found = F.coalesce(*[F.when(bad(c), F.concat(F.lit(f"not numeric: {c}: "), F.col(c).cast("string"))) for c in columns])
+    return holding(df, found.isNull(), found)
+
+
+def require_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Strict cast to double; see ``numeric_text``."""
+    return numeric_text(df, columns).withColumns({c: F.col(c).try_cast("double") for c in columns})
+
+
+def _with_count(df: DataFrame, counted: DataFrame, condition: Column, message: Column) -> DataFrame:
+    """The rows, where a count that the plan takes beside them holds the condition (on ``found``)."""
+    check = counted.agg(F.count(F.lit(1)).alias("found")).select(F.assert_true(condition, message).alias("ok"))
+    return df.filter(check.scalar().isNull())
 
 
 def require_row_count(df: DataFrame, expected: int) -> DataFrame:
-    found = df.count()
-    if found != expected:
-        raise ContractError(f"expected {expected} rows, found {found}")
-    return df
+    """The frame, which fails when it is run with another number of rows."""
+    message = F.concat(F.lit(f"expected {expected} rows, found "), F.col("found").cast("string"))
+    return _with_count(df, df, F.col("found") == expected, message)
+
+
+def require_unchanged_count(after: DataFrame, before: DataFrame) -> DataFrame:
+    """The frame, which fails when it is run if it has not as many rows as ``before``."""
+    earlier = before.agg(F.count(F.lit(1))).scalar()
+    message = F.concat(F.lit("expected "), earlier.cast("string"), F.lit(" rows as before, found "), F.col("found").cast("string"))
+    return _with_count(after, after, F.col("found") == earlier, message)
 
 
 SHEET_LIMIT = 1_048_576

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 SAMPLE = 256
 TREES = 100
-SPARE = 2.0
 EULER = 0.5772156649015329
 _NODES = "feature array<int>, threshold array<double>, left array<int>, right array<int>, depth array<double>"
 
@@ -65,12 +64,16 @@ def fit(
     trees: int = TREES,
     sample: int = SAMPLE,
     seed: int = 7,
+    oversample: float = 2.0,
 ) -> DataFrame:
-    """One row of node arrays per tree."""
+    """One row of node arrays per tree.
+
+    A tree draws rows by hash at the rate ``oversample * sample / rows`` and keeps the
+    ``sample`` lowest draws; fewer come only from tables with hardly more rows than that.
+    """
     features = list(features)
     total = df.agg(F.count(F.lit(1))).scalar()
-    # Every row draws a number per tree; enough of them fall below the rate.
-    rate = F.lit(sample * SPARE) / total
+    rate = F.lit(sample * oversample) / total
 
     def draw(tree: Column) -> Column:
         return F.pmod(F.xxhash64(F.col(key), tree, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
@@ -90,10 +93,13 @@ def fit(
     return rows.groupBy("tree").applyInPandas(grow, f"tree int, size int, {_NODES}")
 
 
-def score(df: DataFrame, trees: DataFrame, features: Sequence[str], name: str = "anomaly_score"):
+def score(
+    df: DataFrame, trees: DataFrame, features: Sequence[str], name: str = "anomaly_score", sample: int = SAMPLE
+) -> DataFrame:
     """Add the anomaly score 2 ** (-mean path / expected path), near 1 for outliers.
 
-    The trees travel as one constant (at most trees x 511 nodes).
+    The trees travel as one constant (at most trees x (2 * sample - 1) nodes); ``sample`` is the
+    one that they were fitted with.
     """
     forest = trees.agg(
         F.struct(
@@ -102,7 +108,7 @@ def score(df: DataFrame, trees: DataFrame, features: Sequence[str], name: str =
         )
     ).scalar()
     point = F.array(*[F.col(f).cast("double") for f in features])
-    depth = math.ceil(math.log2(SAMPLE)) + 1
+    depth = math.ceil(math.log2(sample)) + 1
 
     def path(tree: Column) -> Column:
         def step(node: Column, _: Column) -> Column:

@@ -25,9 +25,15 @@ RANK_BINS = 256
 ROBUST_Z_FACTOR = 0.6745
 
 
+FINITE = "abs(value) < double('inf')"
+
+
 def _bin(value, low, high, bins):
+    """Bin of a value between the finite ends; infinities and NaN have bins of their own at the ends."""
     position = F.floor(F.try_divide(value - low, high - low) * bins)
-    return F.coalesce(F.least(position, F.lit(bins - 1)), F.lit(0)).cast("long")
+    inner = F.coalesce(F.least(position, F.lit(bins - 1)), F.lit(0)).cast("long")
+    endless = F.lit(float("inf"))
+    return F.when(F.isnan(value), bins + 1).when(value == endless, bins).when(value == -endless, -1).otherwise(inner)
 
 
 def _largest(rows: DataFrame, keys: list[str]) -> int:
@@ -51,7 +57,8 @@ def _select_medians(values: DataFrame, keys: list[str], bins: int, most: int) ->
         "before", F.lit(0).cast("bigint")
     )
     while _largest(rows, keys) > most:
-        span = rows.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+        finite = F.when(F.expr(FINITE), F.col("value"))
+        span = rows.groupBy(*keys).agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"))
         binned = null_safe_join(rows, span, keys).withColumn(
             "bin", _bin(F.col("value"), F.col("lo"), F.col("hi"), bins)
         )

@@ -18,8 +18,8 @@ from payerlens.functions.dates import parse_raw_date
 from payerlens.operators.contracts import (
     normalize_headers,
     require_columns,
+    numeric_text,
     require_exact_columns,
-    require_numeric,
     require_row_count,
 )
 from payerlens.operators.keyed import first_per_key
@@ -98,7 +98,7 @@ def prescriber_drug(raw: DataFrame) -> DataFrame:
     """The fixed 22 columns, trimmed, with numbers cast strictly; ids stay text."""
     df = require_exact_columns(raw, PRESCRIBER_DRUG_COLUMNS)
     df = df.select(*[F.nullif(trim_text(c), F.lit("")).alias(c) for c in df.columns])
-    require_numeric(df, list(PRESCRIBER_DRUG_TYPES))
+    df = numeric_text(df, list(PRESCRIBER_DRUG_TYPES))
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in PRESCRIBER_DRUG_TYPES.items()})
 
 

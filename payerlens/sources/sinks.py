@@ -8,9 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
-
-
 def replace_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
@@ -37,26 +34,25 @@ def merge_runs(old: DataFrame, new: DataFrame, obsolete: tuple[str, ...] = ()) -
     return old.drop(*obsolete).unionByName(new.drop(*obsolete), allowMissingColumns=True)
 
 
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
 def sample_evidence(
     evidence: DataFrame, keys: list[str], order: list[str], limit: int | None
 ) -> DataFrame:
     """At most ``limit`` example rows per rule, the first ones in the given order; all with None.
 
-    Ranked in two steps so a rule that fails on most rows is cut down per salt
-    before its examples meet in one task (at most SALTS * limit rows).
+    A rank against a limit lets Spark cut each rule to ``limit`` rows in every task before
+    the shuffle (window group limit), so a rule that fails on most rows sends few of
+    them; the session's threshold for that is raised where it is lower.
     """
     if limit is None:
         return evidence
-    salted = evidence.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
-    first = Window.partitionBy(*keys, "__salt").orderBy(*order)
-    second = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        salted.withColumn("__rank", F.row_number().over(first))
-        .filter(F.col("__rank") <= limit)
-        .withColumn("__rank", F.row_number().over(second))
-        .filter(F.col("__rank") <= limit)
-        .drop("__salt", "__rank")
-    )
+    spark = evidence.sparkSession
+    if int(spark.conf.get(GROUP_LIMIT)) < limit:
+        spark.conf.set(GROUP_LIMIT, str(limit))
+    first = Window.partitionBy(*keys).orderBy(*order)
+    return evidence.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= limit).drop("__rank")
 
 
 def write_evidence(

@@ -19,6 +19,7 @@ from payerlens.operators.contracts import (
     require_exact_columns,
     require_numeric,
     require_row_count,
+    require_unchanged_count,
     resolve_columns,
     safe_identifiers,
 )
@@ -158,10 +159,15 @@ def test_contracts(spark):
             require_exact_columns(df, bad)
     with pytest.raises(ContractError):
         require_columns(df, ["z"])
-    with pytest.raises(ContractError, match="x"):
-        require_numeric(df, ["a", "c"])
-    with pytest.raises(ContractError):
-        require_row_count(df, 474)
+    with pytest.raises(Exception, match="not numeric: c: x"):
+        require_numeric(df, ["a", "c"]).collect()
+    assert require_numeric(df, ["a", "b"]).first()["a"] == 1.0
+    with pytest.raises(Exception, match="expected 474 rows, found 1"):
+        require_row_count(df, 474).collect()
+    assert require_row_count(df, 1).collect() == df.collect()
+    with pytest.raises(Exception, match="expected 2 rows as before, found 1"):
+        require_unchanged_count(df, df.union(df)).collect()
+    assert require_unchanged_count(df, df).count() == 1
     assert drop_empty_columns(df).columns == ["a", "c"]
     assert resolve_columns(df.toDF("Drug_name", "x", "y"), ["Drug Name"]).columns[0] == "Drug Name"
     assert normalize_headers(df.toDF("Calendar Year", "Total (Age 65+)", "k"), {"k": "z"}).columns == ["calendar_year", "total_age65plus", "z"]
@@ -187,3 +193,25 @@ def test_forest_ranks_planted_outlier(spark):
     assert best["k"] == 17
     low, high = scored.agg(F.min("anomaly_score"), F.max("anomaly_score")).first()
     assert 0 < low < high < 1
+
+
+def test_checks_run_no_job_when_built(spark, tmp_path):
+    spark.createDataFrame([("1", "x")], "a string, b string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("checks", "checks")
+    try:
+        built = require_row_count(require_numeric(df, ["a", "b"]), 5)
+        assert tracker.getJobIdsForGroup("checks") == []
+        with pytest.raises(Exception, match="not numeric|expected 5 rows"):
+            built.collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("odd", [[float("nan")], [float("-inf"), float("inf")], [float("nan")] * 3 + [float("-inf")] * 5])
+def test_medians_with_endless_values(spark, odd):
+    values = [float(v) for v in range(-40, 400, 3)] + odd
+    df = spark.createDataFrame([(1, v) for v in values], "k int, v double")
+    hot = exact_median(df, ["k"], ["v"], hot_rows=10, bins=4, most=5).first()[1]
+    assert hot == exact_median(df, ["k"], ["v"]).first()[1]

@@ -11,9 +11,9 @@ from payerlens.plans import drug_anomaly as DA
 from payerlens.plans import pharmacy_quality as P
 from payerlens.plans import pharmacy_volume as PV
 from payerlens.plans import risk as R
-from payerlens.plans import sla
+from payerlens.plans import reports, sla
 from payerlens.plans import volume as V
-from payerlens.sources import readers, sinks
+from payerlens.sources import readers, sinks, store
 
 
 def months(n, start=2020):
@@ -251,3 +251,59 @@ def test_evidence_limit(spark, tmp_path):
     assert len(got) == 14
     sinks.write_evidence(df, df.groupBy("rule").count(), str(tmp_path / "e"), ["k"], limit=7)
     assert spark.read.json(str(tmp_path / "e" / "summary")).count() == 2
+
+
+def test_evidence_is_cut_before_the_shuffle(spark, tmp_path):
+    spark.range(4000).select(F.when(F.col("id") % 10 == 0, "small").otherwise("big").alias("rule"), F.col("id").alias("k")).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    sampled = sinks.sample_evidence(rows, ["rule"], ["k"], limit=1500)
+    plan = sampled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # one of them below the exchange
+    assert sampled.groupBy("rule").count().collect().__len__() == 2
+    assert {r["rule"]: r["count"] for r in sampled.groupBy("rule").count().collect()} == {"big": 1500, "small": 400}
+
+
+def test_result_store(spark, tmp_path, rows):
+    results = store.ResultStore(spark, str(tmp_path / "store"))
+    assert results.latest_run("t") is None
+    with pytest.raises(LookupError):
+        results.latest("t")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    first = results.run("kind", {"t": lambda read: df, "u": lambda read: read("t").filter("k = 1")}, datetime(2024, 1, 1))
+    assert rows(results.latest("u"), "k", "v") == [(1, "a")]
+
+    def broken(read):
+        raise RuntimeError("half way")
+
+    with pytest.raises(RuntimeError):
+        results.run("kind", {"t": lambda read: df.limit(1), "u": broken}, datetime(2024, 1, 2))
+    assert results.latest_run("t") == first and results.latest("t").count() == 2
+    second = results.run("kind", {"t": lambda read: df.withColumn("w", F.lit(3)).drop("v")}, datetime(2024, 1, 3), version=2)
+    assert results.latest("t").columns == ["k", "w"] and results.latest_run("u") == first
+    results.run("kind", {"t": lambda read: df.limit(1).withColumn("w", F.lit(4)).drop("v")}, datetime(2024, 1, 3), version=2)
+    assert results.latest_run("t") == second and results.latest("t").count() == 1  # the repeated run replaced its part
+    merged = results.history("t", renamed={"v": "name"}, obsolete=["gone"])
+    assert sorted(map(str, rows(merged, "k", "w", "name"))) == ["(1, 4, None)", "(1, None, 'a')", "(2, None, 'b')"]
+    audit = spark.read.parquet(results.path("_audit"))
+    assert audit.filter("status = 'FAILED'").count() == 1
+    assert store.run_id("kind", datetime(2024, 1, 1), ["b", "a"]) == store.run_id("kind", datetime(2024, 1, 1), ["a", "b"])
+
+
+def test_pages_go_on_behind_the_last_row(spark):
+    data = [(k, None if k % 7 == 0 else float(k % 5), f"n{k % 3}") for k in range(60)]
+    df = spark.createDataFrame(data, "k int, score double, name string")
+    for order in ([("score", True), ("k", False)], [("score", False), ("name", True), ("k", True)]):
+        whole = reports.page_after(df, order, None, 1000).collect()
+        seen, last = [], None
+        while part := reports.page_after(df, order, last, 7).collect():
+            seen += part
+            last = [part[-1][c] for c, _ in order]
+        assert seen == whole and len(seen) == 60
+
+
+def test_delimited_files(spark, tmp_path, rows):
+    for name, text in (("a", "x|y\n1|2\n|\n3\n"), ("b", "x|y\n4|5|6\n7|8\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    good, bad = readers.read_delimited(spark, {n: str(tmp_path / f"{n}.csv") for n in "ab"}, ["x", "y"])
+    assert rows(good) == [("a", "", ""), ("a", "1", "2"), ("b", "7", "8")]
+    assert rows(bad) == [("a", "3"), ("b", "4|5|6")]
