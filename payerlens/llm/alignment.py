@@ -28,7 +28,7 @@ FAN = 3
 #: Tokens of a block of documents, whose counts are summed before they leave the task.
 BLOCK_TOKENS = 1_000_000
 #: Pieces that a worker remembers for each tokenizer.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Groups with more links than this are counted by their distinct ids.
 WIDE = 65_536
 
@@ -178,14 +178,27 @@ class Aligner:
         self.starts = [np.concatenate([[0], np.cumsum(s)[:-1]]) for s in self.sizes]
         self.data = [np.frombuffer(b"".join(t), np.uint8) for t in tables]
         self.limit = limit
-        self._forget()
-
-    def _forget(self) -> None:
         self.slot = Slots()
         self.ids, self.groups = ([_Pool(np.uint16), _Pool(np.uint16)] for _ in range(2))
-        self.sound = np.zeros(1024, bool)
+        self.sound, self.uses = np.zeros(1024, bool), np.zeros(0, np.int64)
         self.names: list[bytes] = []
 
+    def _forget(self) -> None:
+        """Keeps the pieces that came up often, at most half the limit."""
+        least = 2
+        while (self.uses >= least).sum() > self.limit // 2:
+            least *= 2
+        kept = np.flatnonzero(self.uses >= least)
+        names, numbers = list(self.slot), kept.tolist()
+        self.slot = Slots()
+        self.slot.update((names[i], k) for k, i in enumerate(numbers))
+        self.names = [self.names[i] for i in numbers]
+        self.sound, self.uses = self.sound[kept], np.zeros(len(kept), np.int64)
+        for pools in (self.ids, self.groups):
+            for k, old in enumerate(pools):
+                pools[k] = _Pool(old.data.dtype)
+                pools[k].keep(0, old.size[kept], old.of(kept)[0])
+
     def _learn(self) -> None:
         pieces, self.slot.waiting = self.slot.waiting, []
         known = len(self.slot) - len(pieces)
@@ -241,6 +254,9 @@ class Aligner:
         at = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
         if self.slot.waiting:
             self._learn()
+        uses = np.bincount(at, minlength=len(self.slot))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         whole = [pool.of(at) for pool in (*self.ids, *self.groups)]
         upto = [np.concatenate([[0], ends])[edges] for _, ends in whole]
         numbers, sound = at.tolist(), self.sound[at]
@@ -264,21 +280,46 @@ def aligner(byte_file: str, piece_file: str, limit: int) -> Aligner:
     return Aligner(byte_file, piece_file, limit)
 
 
-#: A fragment as a row; ids and sizes are little-endian uint32.
-_FRAGMENT = "ids_a binary, ids_b binary, sizes_a binary, sizes_b binary, sound boolean"
+#: A fragment as a row: ids as little-endian uint16, sizes of its parts packed.
+_FRAGMENT = "ids_a binary, ids_b binary, sizes binary, sound boolean"
+
+
+def packed_sizes(sizes_a: np.ndarray, sizes_b: np.ndarray) -> bytes:
+    """Sizes of groups, a byte for both where they are below 16 and not both 0.
+
+    Others are a zero byte here and two little-endian uint32 each behind all the bytes.
+    """
+    small = (sizes_a < 16) & (sizes_b < 16) & (sizes_a + sizes_b > 0)
+    heads = np.where(small, sizes_a * 16 + sizes_b, 0).astype(np.uint8)
+    rest = np.stack([sizes_a[~small], sizes_b[~small]], axis=1).astype("<u4")
+    return np.uint32(len(heads)).tobytes() + heads.tobytes() + rest.tobytes()
+
+
+def unpacked_sizes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    heads = np.frombuffer(data, np.uint8, n, 4)
+    sizes_a, sizes_b = (heads >> 4).astype(np.int64), (heads & 15).astype(np.int64)
+    large = np.flatnonzero(heads == 0)
+    if len(large):
+        rest = np.frombuffer(data, "<u4", 2 * len(large), 4 + n).reshape(-1, 2)
+        sizes_a[large], sizes_b[large] = rest[:, 0], rest[:, 1]
+    return sizes_a, sizes_b
+
+
+def _ids(x: np.ndarray) -> bytes:
+    return x.astype("<u2").tobytes()
 
 
 def _row(x: Fragment) -> list:
-    return [*(part.astype("<u4").tobytes() for part in (x.a, x.b, x.sizes_a, x.sizes_b)), x.sound]
+    return [_ids(x.a), _ids(x.b), packed_sizes(x.sizes_a, x.sizes_b), x.sound]
 
 
-def _fragment(a: bytes, b: bytes, sizes_a: bytes, sizes_b: bytes, sound: bool = True) -> Fragment:
-    parts = (np.frombuffer(x, "<u4") for x in (a, b))
-    return Fragment(*parts, *(np.frombuffer(x, "<u4").astype(np.int64) for x in (sizes_a, sizes_b)), sound)
+def _fragment(a: bytes, b: bytes, sizes: bytes, sound: bool = True) -> Fragment:
+    return Fragment(np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2"), *unpacked_sizes(sizes), sound)
 
 
 #: A document's groups: ids and sizes of the closed groups, and the same spelled out.
-_ALIGNED = "block bigint, ids_a binary, ids_b binary, sizes_a binary, sizes_b binary, groups string"
+_ALIGNED = "block bigint, ids_a binary, ids_b binary, sizes binary, groups string"
 
 
 class _Blocks:
@@ -296,7 +337,7 @@ class _Blocks:
         sizes = x.groups()
         if text is None:
             text = spelled(x.a, x.b, *sizes)
-        return [self.number, *(part.astype("<u4").tobytes() for part in (x.a, x.b, *sizes)), text.decode()]
+        return [self.number, _ids(x.a), _ids(x.b), packed_sizes(*sizes), text.decode()]
 
 
 def _columns(rows: list[list]) -> list[list]:
@@ -334,10 +375,10 @@ def aligned(
     remembered: int = REMEMBERED,
     block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
-    """(doc_id, n_bytes, block, ids_a, ids_b, sizes_a, sizes_b, groups) of every document.
+    """(doc_id, n_bytes, block, ids_a, ids_b, sizes, groups) of every document.
 
     ``groups`` spells the ids of each group (``a1,a2|b1;a3|b2,b3``); the binary columns
-    hold them as little-endian uint32, the number of ids of each group in sizes_;
+    hold them as little-endian uint16, the number of ids of each group in ``sizes``;
     ``block`` numbers runs of documents for ``linked``.
     Null and empty texts, and those whose tokens do not join to a blank and the text,
     have no tokens. Repeated rows and rows with a null doc_id are rows of their own; an
@@ -402,7 +443,7 @@ def aligned(
         blocks = _Blocks(1, block_tokens)
         for batch in batches:
             for i in range(batch.num_rows):
-                parts = [batch.column(k)[i].as_py() for k in range(2, 7)]
+                parts = [batch.column(k)[i].as_py() for k in range(2, 6)]
                 yield [[batch.column(0)[i].as_py()], [batch.column(1)[i].as_py()], *_columns([blocks.row(_fragment(*parts))])]
 
     composed = found.drop("place", "at")
@@ -416,7 +457,7 @@ def _composed(found: DataFrame, width: int, keys: str) -> DataFrame:
         rows = sorted(table.drop_columns(["node"]).to_pylist(), key=lambda r: r["at"])
         total = None
         for r in rows:
-            x = _fragment(r["ids_a"], r["ids_b"], r["sizes_a"], r["sizes_b"], r["sound"])
+            x = _fragment(r["ids_a"], r["ids_b"], r["sizes"], r["sound"])
             total = x if total is None else total + x
         first = [rows[0][k] for k in ("doc_id", "place", "n_bytes", "at")]
         return pa.Table.from_arrays(
@@ -437,7 +478,7 @@ def linked(aligned_docs: DataFrame) -> DataFrame:
     documents sums its counts before they are shuffled and fetches those of its pairs
     once, so a pair that every document has is one row a block.
     """
-    names = ["block", "ids_a", "ids_b", "sizes_a", "sizes_b"]
+    names = ["block", "ids_a", "ids_b", "sizes"]
 
     def counted(batches):
         block, held = None, []
@@ -447,7 +488,7 @@ def linked(aligned_docs: DataFrame) -> DataFrame:
             return [np.full(len(pairs), block, np.int64), pairs, n]
 
         for batch in batches:
-            for own, *parts in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for own, *parts in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if held and own != block:
                     yield close()
                     held = []
@@ -475,11 +516,11 @@ def linked(aligned_docs: DataFrame) -> DataFrame:
         best = known["best"].to_numpy(zero_copy_only=False)[order]
         rows = []
         for parts in zip(*(docs[name].to_pylist() for name in names[1:])):
-            own, times = _links(*parts)
+            x = _fragment(*parts)
+            own, times = links(x.a, x.b, x.sizes_a, x.sizes_b)
             at = np.searchsorted(pair, own)
-            rows.append(
-                [*(len(x) // 4 for x in parts[:3]), int(times.sum()), int(times[best[at]].sum()), int((times * n[at]).sum())]
-            )
+            sizes = len(x.a), len(x.b), len(x.sizes_a)
+            rows.append([*sizes, int(times.sum()), int(times[best[at]].sum()), int((times * n[at]).sum())])
         out = docs.select(others)
         for name, column in zip(sums, zip(*rows)):
             out = out.append_column(name, pa.array(column, pa.int64()))
@@ -489,6 +530,6 @@ def linked(aligned_docs: DataFrame) -> DataFrame:
     return kept.groupBy("block").cogroup(fetched.groupBy("block")).applyInArrow(scored, f"{fields}, {added}")
 
 
-def _links(a: bytes, b: bytes, sizes_a: bytes, sizes_b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    x = _fragment(a, b, sizes_a, sizes_b)
+def _links(a: bytes, b: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = _fragment(a, b, sizes)
     return links(x.a, x.b, x.sizes_a, x.sizes_b)

@@ -150,6 +150,14 @@ def test_fragments_compose(size_a, size_b, total, cuts, rng):
     assert sum(whole.sizes_a) == len(a) and whole.sizes_a[-1] == 0
 
 
+def test_packed_sizes():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 40):
+        a, b = rng.choice([0, 1, 2, 15, 16, 300, 70_000], n), rng.choice([0, 1, 2, 15, 16, 300], n)
+        back = alignment.unpacked_sizes(alignment.packed_sizes(a, b))
+        assert back[0].tolist() == a.tolist() and back[1].tolist() == b.tolist()
+
+
 def test_spelled_ids():
     rng = random.Random(3)
     groups = [([rng.randrange(50_257) for _ in range(rng.randint(1, 4))], [rng.choice([0, 9, 10, 99, 100, 31_999])]) for _ in range(50)]
