@@ -34,21 +34,20 @@ def read_delimited(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows: file and the columns as text, bad: file and record) of several files or folders in one scan.
 
-    A record with fewer or more fields than ``columns`` is kept apart as it stands; empty
-    fields are ''. ``files`` maps a name to its path, and no path may lie in another one.
+    A record is a line; one with fewer or more fields than ``columns`` is kept apart as it
+    stands, empty fields are '' and blank lines are skipped. With ``header``, lines that name the
+    columns are left out. ``files`` maps a name to its path; no path may lie in another one.
     """
     fields = ", ".join(f"`{c}` string" for c in [*columns, "_bad"])
-    # without pruning every record is split whole, so that its fields can be counted
-    raw = spark.read.schema(fields).options(
-        header=header, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", columnPruning=False
-    ).csv(list(files.values()))
+    lines = spark.read.text(list(files.values())).filter("value <> ''")
+    if header:
+        lines = lines.filter(F.col("value") != sep.join(columns))
     place = F.col("_metadata.file_path")
     file = F.coalesce(*[F.when(F.contains(place, F.lit(p.split("://")[-1].rstrip("/"))), F.lit(n)) for n, p in files.items()])
-    named = raw.select(file.alias("file"), *columns, "_bad")
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    named = lines.select(file.alias("file"), F.from_csv("value", fields, options).alias("r")).select("file", "r.*")
     rows = named.filter(F.col("_bad").isNull()).select("file", *[text_or_empty(c).alias(c) for c in columns])
-    # Spark reads the record only beside a field of its own
-    record = F.coalesce("_bad", columns[0])
-    return rows, named.filter(F.col("_bad").isNotNull()).select("file", record.alias("record"))
+    return rows, named.filter(F.col("_bad").isNotNull()).select("file", F.col("_bad").alias("record"))
 
 
 def all_text(df: DataFrame) -> DataFrame:
