@@ -8,6 +8,7 @@ tokenized and grouped as byte ranges in many tasks and composed up a tree.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -318,26 +319,70 @@ def _fragment(a: bytes, b: bytes, sizes: bytes, sound: bool = True) -> Fragment:
     return Fragment(np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2"), *unpacked_sizes(sizes), sound)
 
 
-#: A document's groups: ids and sizes of the closed groups, and the same spelled out.
-_ALIGNED = "block bigint, ids_a binary, ids_b binary, sizes binary, groups string"
+class _Groups:
+    """Rows of the documents' groups: their ids, sizes and spelling."""
+
+    schema = "ids_a binary, ids_b binary, sizes binary, groups string"
+
+    def add(self, doc, n_bytes: int, x: Fragment, text: bytes) -> list[list]:
+        sizes = x.groups()
+        return [[doc, n_bytes, _ids(x.a), _ids(x.b), packed_sizes(*sizes), text.decode()]]
+
+    def end(self) -> list[list]:
+        return []
 
 
 class _Blocks:
-    """Rows of a task's documents, numbered by blocks of about ``tokens`` tokens."""
+    """Rows of the documents' links, by blocks of about ``tokens`` A tokens of one task.
+
+    A block's distinct pairs are one row with the number of documents of each; a
+    document's row has the places of its pairs among them, ascending and as differences,
+    and how often it links each.
+    """
+
+    schema = (
+        "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, block bigint, "
+        "places binary, times binary, pairs array<bigint>, docs array<bigint>"
+    )
 
     def __init__(self, branch: int, tokens: int):
-        self.number, self.held, self.tokens = (branch << 62) + (partition_id() << 32), 0, tokens
+        self.number, self.tokens = (branch << 62) + (partition_id() << 32), tokens
+        self.held, self.rows, self.own = 0, [], []
 
-    def row(self, x: Fragment, text: bytes | None = None) -> list:
-        if not x.sound:
-            x = EMPTY
-        if self.held >= self.tokens:
-            self.number, self.held = self.number + 1, 0
-        self.held += len(x.a)
+    def add(self, doc, n_bytes: int, x: Fragment, text: bytes) -> list[list]:
         sizes = x.groups()
-        if text is None:
-            text = spelled(x.a, x.b, *sizes)
-        return [self.number, _ids(x.a), _ids(x.b), packed_sizes(*sizes), text.decode()]
+        pairs, times = links(x.a, x.b, *sizes)
+        digest = hashlib.sha256(text).hexdigest() if text else ""
+        self.rows.append([doc, n_bytes, len(x.a), len(x.b), len(sizes[0]), int(times.sum()), digest])
+        self.own.append((pairs, times))
+        self.held += len(x.a)
+        return self.end() if self.held >= self.tokens else []
+
+    def end(self) -> list[list]:
+        if not self.rows:
+            return []
+        known, docs = np.unique(np.concatenate([p for p, _ in self.own]), return_counts=True)
+        out = [[None] * 7 + [self.number, None, None, known.tolist(), docs.tolist()]]
+        for row, (pairs, times) in zip(self.rows, self.own):
+            step = np.diff(np.searchsorted(known, pairs), prepend=0)
+            out.append([*row, self.number, _short(step), _short(times), None, None])
+        self.number, self.held, self.rows, self.own = self.number + 1, 0, [], []
+        return out
+
+
+def _short(numbers: np.ndarray) -> bytes:
+    """Numbers below 255 as a byte, others as 255 here and a uint32 behind all the bytes."""
+    large = numbers >= 255
+    heads = np.where(large, 255, numbers).astype(np.uint8)
+    return np.uint32(len(heads)).tobytes() + heads.tobytes() + numbers[large].astype("<u4").tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    numbers = np.frombuffer(data, np.uint8, n, 4).astype(np.int64)
+    large = np.flatnonzero(numbers == 255)
+    numbers[large] = np.frombuffer(data, "<u4", len(large), 4 + n)
+    return numbers
 
 
 def _columns(rows: list[list]) -> list[list]:
@@ -368,39 +413,46 @@ def pieces_of(text: str, chunk: int) -> Iterator[tuple[int, str]]:
 
 
 def aligned(
-    docs: DataFrame,
-    byte_file: str,
-    piece_file: str,
-    chunk: int = CHUNK,
-    remembered: int = REMEMBERED,
-    block_tokens: int = BLOCK_TOKENS,
+    docs: DataFrame, byte_file: str, piece_file: str, chunk: int = CHUNK, remembered: int = REMEMBERED
 ) -> DataFrame:
-    """(doc_id, n_bytes, block, ids_a, ids_b, sizes, groups) of every document.
+    """(doc_id, n_bytes, ids_a, ids_b, sizes, groups) of every document.
 
     ``groups`` spells the ids of each group (``a1,a2|b1;a3|b2,b3``); the binary columns
-    hold them as little-endian uint16, the number of ids of each group in ``sizes``;
-    ``block`` numbers runs of documents for ``linked``.
-    Null and empty texts, and those whose tokens do not join to a blank and the text,
-    have no tokens. Repeated rows and rows with a null doc_id are rows of their own; an
-    empty table gives none. Other columns are not looked at. Texts of more than
-    ``chunk`` bytes are cut, spread over the tasks and composed; but for ``block`` the
-    result depends on none of the sizes.
+    hold them as little-endian uint16, the number of ids of each group in ``sizes`` (see
+    ``unpacked_sizes``). Null and empty texts, and those whose tokens do not join to a blank
+    and the text, have no tokens. Repeated rows and rows with a null doc_id are rows of
+    their own; an empty table gives none. Other columns are not looked at. Texts of more
+    than ``chunk`` bytes are cut, spread over the tasks and composed; the result does not
+    depend on ``chunk``.
     """
+    return _mapped(docs, byte_file, piece_file, chunk, remembered, _Groups.schema, lambda branch: _Groups())
+
+
+def _mapped(docs, byte_file, piece_file, chunk, remembered, columns: str, collector) -> DataFrame:
+    """Rows that collectors (one a task; 0 for short, 1 for composed texts) make of the documents' groups."""
     texts = docs.select(
         "doc_id", F.monotonically_increasing_id().alias("place"), whole_text(docs).alias("text")
     ).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
     short = texts.where(F.col("n_bytes") <= chunk).select("doc_id", "n_bytes", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
+    schema = f"doc_id {id_type}, n_bytes bigint, {columns}"
+
     def whole(batches):
-        blocks = _Blocks(0, block_tokens)
+        rows = collector(0)
         for batch in small_slices(batches):
-            own = batch.column(2).to_pylist()
-            found = aligner(byte_file, piece_file, remembered).fragments(own)
-            rows = [blocks.row(*(x if text else (EMPTY,))) for text, x in zip(own, found)]
-            yield [batch.column(0), batch.column(1), *_columns(rows)]
-
-    done = map_arrow(short, whole, f"doc_id {id_type}, n_bytes bigint, {_ALIGNED}")
+            own = [batch.column(k).to_pylist() for k in range(3)]
+            found = aligner(byte_file, piece_file, remembered).fragments(own[2])
+            out = []
+            for doc, n, text, (x, name) in zip(*own, found):
+                out += rows.add(doc, n, x, name) if text and x.sound else rows.add(doc, n, EMPTY, b"")
+            if out:
+                yield _columns(out)
+        out = rows.end()
+        if out:
+            yield _columns(out)
+
+    done = map_arrow(short, whole, schema)
 
     def cut(batches):
         for batch in small_slices(batches, "text"):
@@ -440,14 +492,20 @@ def aligned(
             break
 
     def finished(batches):
-        blocks = _Blocks(1, block_tokens)
+        rows = collector(1)
         for batch in batches:
             for i in range(batch.num_rows):
-                parts = [batch.column(k)[i].as_py() for k in range(2, 6)]
-                yield [[batch.column(0)[i].as_py()], [batch.column(1)[i].as_py()], *_columns([blocks.row(_fragment(*parts))])]
+                doc, n, *parts = (batch.column(k)[i].as_py() for k in range(6))
+                x = _fragment(*parts)
+                x = x if x.sound else EMPTY
+                out = rows.add(doc, n, x, spelled(x.a, x.b, *x.groups()))
+                if out:
+                    yield _columns(out)
+        out = rows.end()
+        if out:
+            yield _columns(out)
 
-    composed = found.drop("place", "at")
-    return done.union(map_arrow(composed, finished, f"doc_id {id_type}, n_bytes bigint, {_ALIGNED}"))
+    return done.union(map_arrow(found.drop("place", "at"), finished, schema))
 
 
 def _composed(found: DataFrame, width: int, keys: str) -> DataFrame:
@@ -469,67 +527,53 @@ def _composed(found: DataFrame, width: int, keys: str) -> DataFrame:
     return node.groupBy("place", "node").applyInArrow(join, f"{keys}, {_FRAGMENT}")
 
 
-def linked(aligned_docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_a, n_b, n_groups, n_links, n_best, count_sum, and other columns) of a settled ``aligned`` table.
+def linked(
+    docs: DataFrame,
+    byte_file: str,
+    piece_file: str,
+    chunk: int = CHUNK,
+    remembered: int = REMEMBERED,
+    block_tokens: int = BLOCK_TOKENS,
+) -> DataFrame:
+    """(doc_id, n_bytes, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every document.
 
     Links are the pairs of an A and a B token in one group. The count of a pair of ids is
     the number of documents with a link of it; n_best are the links whose pair has its
-    A id's highest count (ties too), count_sum adds the counts over the links. A block of
-    documents sums its counts before they are shuffled and fetches those of its pairs
-    once, so a pair that every document has is one row a block.
+    A id's highest count (ties too), count_sum adds the counts over the links.
+    groups_sha256 is of the groups as ``aligned`` spells them, '' without tokens. A
+    block of documents sums its counts before they are shuffled and fetches those of its
+    pairs once, so a pair that every document has is one row a block. For nulls,
+    repeated rows and other columns see ``aligned``.
     """
-    names = ["block", "ids_a", "ids_b", "sizes"]
-
-    def counted(batches):
-        block, held = None, []
-
-        def close():
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)
-            return [np.full(len(pairs), block, np.int64), pairs, n]
-
-        for batch in batches:
-            for own, *parts in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if held and own != block:
-                    yield close()
-                    held = []
-                block = own
-                held.append(_links(*parts)[0])
-        if held:
-            yield close()
-
-    per_block = settle(map_arrow(aligned_docs.select(names), counted, "block bigint, pair bigint, n bigint"))
-    counts = per_block.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32))
+    rows = settle(
+        _mapped(
+            docs, byte_file, piece_file, chunk, remembered, _Blocks.schema, lambda branch: _Blocks(branch, block_tokens)
+        )
+    )
+    pairs = rows.where("pairs IS NOT NULL").select("block", F.posexplode(F.arrays_zip("pairs", "docs")).alias("at", "p"))
+    pairs = pairs.select(F.col("block").alias("owner"), "at", F.col("p.pairs").alias("pair"), F.col("p.docs").alias("n"))
+    counts = pairs.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32))
     best = counts.groupBy("a").agg(F.max("n").alias("most"))
     counts = counts.join(best, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-    fetched = per_block.select("block", "pair").join(counts, "pair")
-
-    others = [c for c in aligned_docs.columns if c not in names]
-    kept = aligned_docs.select(*names, *others)
-    schema = kept.select(others).schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    sums = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-
-    def scored(docs: pa.Table, known: pa.Table) -> pa.Table:
-        pair = known["pair"].to_numpy()
-        order = np.argsort(pair)
-        pair, n = pair[order], known["n"].to_numpy()[order]
+    fetched = pairs.select("owner", "at", "pair").join(counts, "pair").select("owner", "at", "n", "best")
+
+    names = ("doc_id", "n_bytes", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
+    of = rows.where("pairs IS NULL").select("block", "places", "times", *names)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    fields = f"doc_id {id_type}, " + ", ".join(f"{c} bigint" for c in names[1:-1]) + ", groups_sha256 string"
+
+    def scored(own: pa.Table, known: pa.Table) -> pa.Table:
+        order = np.argsort(known["at"].to_numpy())
+        n = known["n"].to_numpy()[order]
         best = known["best"].to_numpy(zero_copy_only=False)[order]
-        rows = []
-        for parts in zip(*(docs[name].to_pylist() for name in names[1:])):
-            x = _fragment(*parts)
-            own, times = links(x.a, x.b, x.sizes_a, x.sizes_b)
-            at = np.searchsorted(pair, own)
-            sizes = len(x.a), len(x.b), len(x.sizes_a)
-            rows.append([*sizes, int(times.sum()), int(times[best[at]].sum()), int((times * n[at]).sum())])
-        out = docs.select(others)
-        for name, column in zip(sums, zip(*rows)):
+        sums = []
+        for places, times in zip(own["places"].to_pylist(), own["times"].to_pylist()):
+            at, times = np.cumsum(_long(places)), _long(times)
+            sums.append((int(times[best[at]].sum()), int((times * n[at]).sum())))
+        out = own.select(names)
+        for name, column in zip(("n_best", "count_sum"), zip(*sums)):
             out = out.append_column(name, pa.array(column, pa.int64()))
         return out
 
-    added = ", ".join(f"{name} bigint" for name in sums)
-    return kept.groupBy("block").cogroup(fetched.groupBy("block")).applyInArrow(scored, f"{fields}, {added}")
-
-
-def _links(a: bytes, b: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
-    x = _fragment(a, b, sizes)
-    return links(x.a, x.b, x.sizes_a, x.sizes_b)
+    both = of.groupBy("block").cogroup(fetched.groupBy("owner"))
+    return both.applyInArrow(scored, f"{fields}, n_best bigint, count_sum bigint")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payerlens.operators.stages import new_stage, settle
+from payerlens.operators.stages import new_stage
 
 from . import alignment, decision_list, html, jaccard, packing, pii, quality, repair, secrets, sharding, simhash, token_file, winnow
 from .common import join_small, table
@@ -117,17 +117,12 @@ def op11_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_fragment_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The groups' digest is taken before the table is settled, so that only ids are written."""
-    found = alignment.aligned(
+    found = alignment.linked(
         table(spark, sf_dir, "documents"),
         public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.path("piece_bpe_32k.model"),
     )
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    kept = settle(found.withColumn("groups_sha256", digest).drop("groups"))
-    return alignment.linked(kept).select(
-        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
-    )
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 def op13_repair_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from payerlens.llm import alignment
@@ -82,12 +81,8 @@ ODD = ["<|endoftext|> as text <s> </s> <unk> <0x41>", "a▁b", "  two  blanks  "
 
 
 def run(docs, chunk, block_tokens=alignment.BLOCK_TOKENS):
-    from payerlens.operators.stages import settle
-
-    found = alignment.aligned(docs, A, B, chunk=chunk, remembered=500, block_tokens=block_tokens)
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    kept = settle(found.withColumn("digest", digest).drop("groups"))
-    return [(r.doc_id, *(r[c] for c in SUMS), r.digest) for r in alignment.linked(kept).collect()]
+    found = alignment.linked(docs, A, B, chunk=chunk, remembered=500, block_tokens=block_tokens).collect()
+    return [(r.doc_id, *(r[c] for c in SUMS), r.groups_sha256) for r in found]
 
 
 @pytest.mark.parametrize("chunk", [40, 4096, alignment.CHUNK])
@@ -100,6 +95,15 @@ def test_against_the_libraries(spark, odd_docs, odd_rows, plain, chunk):
     assert sorted(map(repr, got)) == sorted(repr((i, *w)) for (i, _), w in zip(rows, want))
 
 
+def test_groups(spark, odd_docs, odd_rows, plain):
+    got = alignment.aligned(odd_docs, A, B, chunk=300, remembered=500).collect()
+    assert sorted((str(r.doc_id), r.groups) for r in got) == sorted((str(i), written(plain(t))) for i, t in odd_rows[0])
+    for r in got:
+        sizes = alignment.unpacked_sizes(r.sizes)
+        a, b = (np.frombuffer(x, "<u2") for x in (r.ids_a, r.ids_b))
+        assert alignment.spelled(a, b, *sizes).decode() == r.groups
+
+
 def test_small_blocks(spark, odd_docs):
     docs = odd_docs.where("length(text) < 2000")
     assert sorted(map(repr, run(docs, 4096, block_tokens=30))) == sorted(map(repr, run(docs, 4096)))
@@ -150,6 +154,12 @@ def test_fragments_compose(size_a, size_b, total, cuts, rng):
     assert sum(whole.sizes_a) == len(a) and whole.sizes_a[-1] == 0
 
 
+def test_short_numbers():
+    numbers = np.array([0, 1, 254, 255, 256, 70_000, 3])
+    assert alignment._long(alignment._short(numbers)).tolist() == numbers.tolist()
+    assert alignment._long(alignment._short(numbers[:0])).tolist() == []
+
+
 def test_packed_sizes():
     rng = np.random.default_rng(2)
     for n in (0, 1, 40):
