@@ -32,6 +32,20 @@ def test_ids_are_the_librarys(name):
         assert ids.tolist() == [i for w in want for i in w]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_pieces_by_size_are_pieces_by_mark(name):
+    rng, coder = random.Random(3), Encoder(public_tokenizers.path(name))
+    assert coder.spans is not None
+    odd = ["", " ", " begin", "a\n", "a \n", "\x01", "naïve", "e\u0301", "Σας", "漢字", "it's", "a.\nB", "\xa0x"]
+    for _ in range(50):
+        own = ["".join(rng.choices("abZé1.'\n", k=rng.randint(1, 6))) for _ in range(rng.randint(0, 30))]
+        own += rng.choices(odd, k=rng.randint(0, 6))
+        rng.shuffle(own)
+        if own:
+            (sizes, ids), (want_sizes, want) = coder.fresh(own), coder._marked(own)
+            assert sizes.tolist() == want_sizes.tolist() and ids.tolist() == want.tolist()
+
+
 @pytest.mark.parametrize("name", FILES)
 def test_special_strings_are_what_the_library_makes_of_them(name):
     literals = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
