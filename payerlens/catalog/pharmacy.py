@@ -245,7 +245,7 @@ def _(spark, sf):
     from payerlens.catalog.registry import table
 
     part = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
-    ranked = percent_ranks(part, ["p_partkey"], {"p_size": "size_rank", "p_retailprice": "price_rank"})
+    ranked = percent_ranks(part, {"p_size": "size_rank", "p_retailprice": "price_rank"})
     return rounded(ranked.select("p_partkey", "size_rank", "price_rank"), "size_rank", "price_rank")
 
 

@@ -21,7 +21,7 @@ from payerlens.operators.stages import settle
 HOT_ROWS = 2_000_000
 BINS = 1024
 SLICE = 50_000
-RANK_BINS = 256
+ROW = "__row"
 ROBUST_Z_FACTOR = 0.6745
 
 
@@ -212,68 +212,40 @@ def robust_z(
     return rows.drop(*drop)
 
 
-def percent_ranks(
-    df: DataFrame, keys: Sequence[str], measures: dict[str, str], bins: int = RANK_BINS
-) -> DataFrame:
+def percent_ranks(df: DataFrame, measures: dict[str, str]) -> DataFrame:
     """Average-tie percent rank (times 100) over the whole frame, per measure.
 
-    ``measures`` maps a column to the name of its rank column and ``keys``
-    identifies a row. The frame is settled first, as several steps read it. No
-    window spans the frame: values are counted, placed in two levels of bins, the bins (at most bins**2 per measure) carry running
-    totals, and only values sharing a fine bin are ordered together.
+    ``measures`` maps a column to the name of its rank column. A NULL has no rank, NaN ranks
+    above all numbers, repeated rows are ranked each, an empty frame stays empty. The frame is
+    settled first with a number for each row, and only these numbers travel with the values.
+    No window spans the frame: the distinct values with their counts are dealt by range, so a
+    value lies in one part however often it occurs; the parts' totals (a row per part and
+    measure) give where each begins, and a window runs inside a part.
     """
-    keys, df = list(keys), settle(df)
-    long = df.select(
-        *keys,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value"))
-                    for c in measures
-                ]
-            )
-        ).alias("m"),
-    ).select(*keys, "m.measure", "m.value")
-    counted = (
-        long.filter("value is not null")
-        .groupBy("measure", "value")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-    span = counted.groupBy("measure").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("cnt").alias("n")
-    )
-    coarse = counted.join(F.broadcast(span), "measure").withColumn(
-        "bin1", _bin(F.col("value"), F.col("lo"), F.col("hi"), bins)
-    )
-    span1 = coarse.groupBy("measure", "bin1").agg(
-        F.min("value").alias("lo1"), F.max("value").alias("hi1")
-    )
-    fine = coarse.join(F.broadcast(span1), ["measure", "bin1"]).withColumn(
-        "bin2", _bin(F.col("value"), F.col("lo1"), F.col("hi1"), bins)
-    )
-    per_bin = fine.groupBy("measure", "bin1", "bin2").agg(F.sum("cnt").alias("bin_cnt"))
-    run = Window.partitionBy("measure").orderBy("bin1", "bin2")
-    offsets = per_bin.select(
-        "measure", "bin1", "bin2", (F.sum("bin_cnt").over(run) - F.col("bin_cnt")).alias("start")
+    df = settle(df.withColumn(ROW, F.monotonically_increasing_id()))
+    entries = [
+        F.struct(F.lit(i).alias("measure"), F.col(c).cast("double").alias("value")) for i, c in enumerate(measures)
+    ]
+    long = df.select(ROW, F.inline(F.array(*entries))).filter("value is not null")
+    counted = long.groupBy("measure", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    parted = settle(
+        counted.repartitionByRange("measure", "value").withColumn("part", F.spark_partition_id())
     )
-    within = Window.partitionBy("measure", "bin1", "bin2").orderBy("value")
-    ranked = fine.join(F.broadcast(offsets), ["measure", "bin1", "bin2"]).select(
+    totals = parted.groupBy("measure", "part").agg(F.sum("cnt").alias("held"), F.min("value").alias("least"))
+    # A row per part of a measure reaches these windows.
+    ahead, whole = Window.partitionBy("measure").orderBy("least"), Window.partitionBy("measure")
+    places = totals.select(
         "measure",
-        "value",
-        (
-            (F.col("start") + F.sum("cnt").over(within) - F.col("cnt") + 1 + (F.col("cnt") - 1) / 2)
-            / F.col("n")
-            * 100.0
-        ).alias("pct"),
+        "part",
+        (F.sum("held").over(ahead) - F.col("held")).alias("start"),
+        F.sum("held").over(whole).alias("n"),
     )
-    wide = (
-        long.join(ranked, ["measure", "value"])
-        .groupBy(*keys)
-        .agg(
-            *[
-                F.max(F.when(F.col("measure") == c, F.col("pct"))).alias(name)
-                for c, name in measures.items()
-            ]
-        )
+    within = Window.partitionBy("measure", "part").orderBy("value")
+    upto = parted.withColumn("upto", F.sum("cnt").over(within))
+    middle = F.col("start") + F.col("upto") - F.col("cnt") + 1 + (F.col("cnt") - 1) / 2
+    ranked = upto.join(places, ["measure", "part"]).select(
+        "measure", "value", (middle / F.col("n") * 100.0).alias("pct")
     )
-    return null_safe_join(df, wide, keys, "left")
+    picked = [F.max(F.when(F.col("measure") == i, F.col("pct"))).alias(name) for i, name in enumerate(measures.values())]
+    wide = long.join(ranked, ["measure", "value"]).groupBy(ROW).agg(*picked)
+    return df.join(wide, ROW, "left").drop(ROW)

@@ -208,7 +208,7 @@ def drug_rollup(rows: DataFrame) -> DataFrame:
 def provider_peer_risk(rows: DataFrame) -> DataFrame:
     """Provider volume and flagged-drug use against all providers."""
     shares = {f"{f}_claim_share_pct": f"__{f}_rank" for f in FLAGS}
-    ranked = percent_ranks(provider_rollup(rows), PROVIDER_KEYS, PERCENTILES | shares)
+    ranked = percent_ranks(provider_rollup(rows), PERCENTILES | shares)
     ranked = ranked.withColumns(
         {f"{n}_volume_risk": PERCENTILE_RISK(f"{n}_percentile") for n in PEER_WEIGHTS}
     )
@@ -232,7 +232,7 @@ def provider_peer_risk(rows: DataFrame) -> DataFrame:
 
 def drug_peer_risk(rows: DataFrame) -> DataFrame:
     """Drug volume against all drugs, on raw percentiles."""
-    ranked = percent_ranks(drug_rollup(rows), DRUG_KEYS, PERCENTILES)
+    ranked = percent_ranks(drug_rollup(rows), PERCENTILES)
     flag_count = sum((F.col(f"{f}_flag") for f in FLAGS[1:]), F.col(f"{FLAGS[0]}_flag"))
     scored = ranked.withColumns(
         {

@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -71,12 +72,27 @@ def test_percent_ranks_match_pandas(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"k": range(400), "a": rng.integers(0, 30, 400).astype(float), "b": rng.lognormal(0, 3, 400)})
     df = spark.createDataFrame(pdf)
-    got = percent_ranks(df, ["k"], {"a": "ra", "b": "rb"}, bins=8).toPandas().sort_values("k")
+    got = percent_ranks(df, {"a": "ra", "b": "rb"}).toPandas().sort_values("k")
     assert np.allclose(got.ra, pdf.a.rank(pct=True) * 100)
     assert np.allclose(got.rb, pdf.b.rank(pct=True) * 100)
     assert len(got) == 400
 
 
+def test_percent_ranks_of_ties_nulls_and_repeated_rows(spark):
+    values = [0.0] * 300 + [-0.0] * 5 + [None] * 7 + [math.inf, -math.inf, math.nan, math.nan] + [float(i % 90) for i in range(400)]
+    data = [("same" if i < 300 else None, v, None) for i, v in enumerate(values)]
+    df = spark.createDataFrame(data, "k string, x double, none double")
+    got = percent_ranks(df.repartition(5), {"x": "rx", "none": "rn"}).collect()
+    known = [(math.isnan(v), 0.0 if math.isnan(v) else v) for v in values if v is not None]
+    below = {v: sum(o < v for o in known) for v in set(known)}
+    ties = Counter(known)
+    want = [None] * 7 + [(below[v] + (ties[v] + 1) / 2) / len(known) * 100 for v in known]
+    assert sorted(r.rx or 0.0 for r in got) == pytest.approx(sorted(w or 0.0 for w in want))
+    assert all(r.rn is None for r in got) and len(got) == len(values)
+    assert all((r.x is None) == (r.rx is None) for r in got)
+    assert percent_ranks(df.limit(0), {"x": "rx"}).count() == 0
+
+
 def test_month_gaps_and_history(spark, rows):
     df = spark.createDataFrame(
         [("p", "2020-11", 4), ("p", "2021-02", 2), ("q", "2020-01", 1)], "n string, period string, v int"
