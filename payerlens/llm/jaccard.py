@@ -41,6 +41,8 @@ SEEN = 8
 #: The most frequent keys, so many at most, go last in the order.
 MOST_FREQUENT = 100_000
 LEAF = 32
+#: Every second byte, every second pair of bytes of a word.
+_BYTES, _PAIRS = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0000FFFF0000FFFF)
 #: Larger buckets are searched as pairs of chunks.
 CHUNK = 20_000
 #: Keys that one reducing block holds on average.
@@ -99,6 +101,21 @@ def points(packed: list[bytes], groups: int) -> np.ndarray:
     return np.stack([np.frombuffer(p, np.uint8 if len(p) == groups else np.uint32).astype(np.uint32) for p in packed])
 
 
+def overlap(point: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Sums of the coordinate minima of the points and ``q``, which is one point or as many."""
+    least = np.minimum(point, q)
+    if least.dtype != np.uint8 or least.shape[1] % 8 or least.shape[1] > 1024:
+        return least.sum(axis=1, dtype=np.int64)
+    # eight bytes at once: 16-bit lanes of a word hold the sums of up to 1024 bytes
+    words = least.view(np.uint64)
+    odd = (words >> np.uint64(8)) & _BYTES
+    words &= _BYTES
+    words += odd
+    lanes = words.sum(axis=1, dtype=np.uint64)
+    lanes = (lanes & _PAIRS) + ((lanes >> np.uint64(16)) & _PAIRS)
+    return ((lanes & np.uint64(0xFFFFFFFF)) + (lanes >> np.uint64(32))).astype(np.int64)
+
+
 def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n, node and point of every row; also rows (often, node) for the keys frequent in a partition."""
     none = np.zeros(0, np.uint64)
@@ -224,7 +241,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, groups: int, percent: int) -> Data
             if batch.num_rows:
                 na, nb = (batch.column(i).to_numpy() for i in (2, 3))
                 left, right = (points(batch.column(i).to_pylist(), groups) for i in (4, 5))
-                bound = np.minimum(left, right).sum(axis=1, dtype=np.int64)
+                bound = overlap(left, right)
                 kept = pa.array((100 + percent) * bound >= percent * (na + nb))
                 yield [batch.column(0).filter(kept), batch.column(1).filter(kept)]
 
@@ -273,22 +290,30 @@ class Tree:
             first, last = np.minimum.reduceat(first, cut), np.maximum.reduceat(last, cut)
             self.levels.append((top, least, first, last))
 
-    def search(self, q: np.ndarray, n: int, label: int, percent: int, start: int) -> np.ndarray:
-        """Places (in the tree's order) from ``start`` on of points that may be linked to the query."""
-
-        def passes(top, least, first, last):
-            bound = np.minimum(top, q).sum(axis=1, dtype=np.int64)
-            return ((100 + percent) * bound >= percent * (n + least)) & ~((first == label) & (last == label))
+    def search(self, q: np.ndarray, n: int, label: int, percent: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the tree's order from ``start`` on, overlap) of the points that may be linked to the query."""
 
         found = None
         for top, least, first, last in reversed(self.levels):
             found = np.arange(len(top)) if found is None else _below(found, len(top))
-            found = found[passes(top[found], least[found], first[found], last[found])]
+            found = found[(first[found] != label) | (last[found] != label)]
+            found = found[(100 + percent) * overlap(top[found], q) >= percent * (n + least[found])]
         found = _below(found, len(self.n))
         found = found[found >= start]
-        ok = passes(self.point[found], self.n[found], self.label[found], self.label[found])
-        ok &= (100 * self.n[found] >= percent * n) & (100 * n >= percent * self.n[found])
-        return found[ok]
+        sizes = self.n[found]
+        found = found[(self.label[found] != label) & (100 * sizes >= percent * n) & (100 * n >= percent * sizes)]
+        bound = self._overlap(found, q)
+        ok = (100 + percent) * bound >= percent * (n + self.n[found])
+        return found[ok], bound[ok]
+
+    def _overlap(self, found: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Overlaps of the points at these rising places, read as a run where they fill most of one."""
+        if not len(found):
+            return np.zeros(0, np.int64)
+        first, stop = int(found[0]), int(found[-1]) + 1
+        if 2 * len(found) < stop - first:
+            return overlap(self.point[found], q)
+        return overlap(self.point[first:stop], q)[found - first]
 
 
 def _below(boxes: np.ndarray, count: int) -> np.ndarray:
@@ -320,9 +345,8 @@ def survivors(
     else:
         queries = zip(names, tree.point, tree.n, tree.label)
     for i, (mark, q, size, own) in enumerate(queries):
-        found = tree.search(q, size, own, percent, 0 if across or nearest else i + 1)
+        found, bound = tree.search(q, size, own, percent, 0 if across or nearest else i + 1)
         if nearest and len(found):
-            bound = np.minimum(tree.point[found], q).sum(axis=1, dtype=np.int64)
             found = found[[int((bound / (tree.n[found] + size)).argmax())]]
         for j in found:
             yield mark, names[j]
@@ -356,7 +380,7 @@ def small_survivors(
     bound = np.zeros(len(i), np.int64)
     for at in range(0, len(i), 50_000):
         p, q = i[at : at + 50_000], j[at : at + 50_000]
-        bound[at : at + 50_000] = np.minimum(point[p], point[q]).sum(axis=1, dtype=np.int64)
+        bound[at : at + 50_000] = overlap(point[p], point[q])
     ok = (100 + percent) * bound >= percent * (n[i] + n[j])
     i, j, near = i[ok], j[ok], (bound[ok] / (n[i[ok]] + n[j[ok]]))
     if nearest and len(i):
