@@ -84,6 +84,22 @@ def ordered(df: DataFrame, *keys: str) -> DataFrame:
     return placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("__place")
 
 
+def text_key(docs: DataFrame) -> Column:
+    """64 bits of a row's text; null counts as empty."""
+    return F.xxhash64(whole_text(docs))
+
+
+def join_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join with ``rows`` (doc_id, key) by doc_id, null ones too, and the text.
+
+    So a row is decided by its own text under a null or a repeated doc_id as well, and
+    neither a frequent id nor a frequent text alone makes a hot key.
+    """
+    few = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    same = docs["doc_id"].cast("bigint").eqNullSafe(rows["doc_id"]) & (text_key(docs) == rows["key"])
+    return docs.join(F.broadcast(rows) if few else rows, same, how)
+
+
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join that broadcasts the small side only when a count shows at most BROADCAST_ROWS rows."""
     few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from payerlens.operators.stages import settle
 
-from .common import join_small, map_arrow, small_slices, whole_text
+from .common import join_rows, join_small, map_arrow, small_slices, text_key, whole_text
 from .components import components
 from .hashing import grams, scramble, words_of
 
@@ -117,14 +117,14 @@ def overlap(point: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, node and point of every row; also rows (often, node) for the keys frequent in a partition."""
+    """doc_id, key, n, node and point of every row (doc_id, key, text); also rows (often, node) for the keys frequent in a partition."""
     none = np.zeros(0, np.uint64)
 
     def work(batches):
         often: dict[int, int] = {}
         seen: set[int] = set()
         for batch in small_slices(batches):
-            found = sets_of(batch.column(1), size)
+            found = sets_of(batch.column(2), size)
             nodes = [name(s) if len(s) else None for s in found]
             new = [s for s, v in zip(found, nodes) if v is not None and v not in seen]
             seen.update(v for v in nodes if v is not None)
@@ -137,13 +137,15 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
             if len(seen) > 500_000:
                 seen = set()
             n = len(found)
-            yield [batch.column(0), [len(s) for s in found], nodes, [point(s, GROUPS) for s in found], [None] * n]
+            sizes, packed = [len(s) for s in found], [point(s, GROUPS) for s in found]
+            yield [batch.column(0), batch.column(1), sizes, nodes, packed, [None] * n]
         hot = {k: c for k, c in often.items() if c >= max(SEEN, FREQUENT * len(seen))}
         if hot:
             n = len(hot)
-            yield [[None] * n, [None] * n, list(hot), [None] * n, list(hot.values())]
+            yield [[None] * n, [None] * n, [None] * n, list(hot), [None] * n, list(hot.values())]
 
-    return map_arrow(docs, work, "doc_id bigint, n bigint, node bigint, point binary, often bigint")
+    schema = "doc_id bigint, key bigint, n bigint, node bigint, point binary, often bigint"
+    return map_arrow(docs.select("doc_id", "key", "text"), work, schema)
 
 
 def _buckets(docs: DataFrame, frequent: np.ndarray, blocks: int, size: int, percent: int) -> DataFrame:
@@ -206,7 +208,7 @@ def _buckets(docs: DataFrame, frequent: np.ndarray, blocks: int, size: int, perc
         if held[0]:
             yield close()
 
-    sent = map_arrow(docs, send, "block int, keys binary, nodes binary, sizes binary")
+    sent = map_arrow(docs.select("doc_id", "text"), send, "block int, keys binary, nodes binary, sizes binary")
     return map_arrow(sent.repartition("block").sortWithinPartitions("block"), meet, "key bigint, node bigint")
 
 
@@ -224,7 +226,8 @@ def _bags(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 [s.tobytes() for _, s in kept],
             ]
 
-    texts = join_small(docs, wanted.select(F.col("rep").alias("doc_id"), "node"), ["doc_id"])
+    of = F.coalesce("rep.doc_id", "rep.key").alias("at")
+    texts = join_small(docs.select("at", "text"), wanted.select(of, "node"), ["at"])
     schema = "node bigint, n bigint, point binary, hashes binary"
     return map_arrow(texts.select("node", "text"), work, schema).dropDuplicates(["node"])
 
@@ -471,20 +474,19 @@ def _across(buckets: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame
     )
 
 
-def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
-
-    component_id is the smallest doc_id that links reach. Null, empty and blank texts have
-    no n-grams and their own doc_id. Repeated rows give a row each. A null doc_id has its
-    text's component but names none; an empty table gives no rows.
-    """
-    texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), whole_text(docs).alias("text"))
+def _classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, key, n of every row and the first row (no_id, doc_id, key) of its component, null without n-grams."""
+    of = docs.select(
+        docs["doc_id"].cast("bigint").alias("doc_id"), whole_text(docs).alias("text"), text_key(docs).alias("key")
+    )
+    texts = of.withColumn("at", F.coalesce("doc_id", "key"))
     settled = settle(_sets(texts, size, percent))
     rows = settled.where("often IS NULL")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     nodes = settle(
-        rows.where("n > 0 AND doc_id IS NOT NULL")
+        rows.where("n > 0")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("point").alias("point"))
+        .agg(F.min(row).alias("rep"), F.max("n").alias("n"), F.max("point").alias("point"))
     )
     frequent = np.sort(
         settled.where("often IS NOT NULL")
@@ -526,24 +528,40 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             "node", "rep", F.coalesce("root", "node").alias("root")
         )
     )
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = named.join(smallest, "root").select("node", "component_id")
-    return rows.join(of, "node", "left").select(
+    smallest = named.groupBy("root").agg(F.min("rep").alias("first"))
+    first = named.join(smallest, "root").select("node", "first")
+    return rows.join(first, "node", "left").select("doc_id", "key", "n", "first")
+
+
+def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row.
+
+    component_id is the smallest doc_id that links reach. Null, empty and blank texts have
+    no n-grams and their own doc_id. Repeated rows give a row each. A row with a null
+    doc_id links like others but names no component, so one of such rows alone has a null
+    component_id; an empty table gives no rows.
+    """
+    return _classified(docs, size, percent).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
     )
 
 
 def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of the smallest doc_id of every component, all columns kept.
+    """One row of every component, that of the smallest doc_id, all columns kept.
 
-    Of repeated rows of one doc_id one stays. Rows with a null doc_id name no document
-    and pass. Different texts under one doc_id stay or go together.
+    Rows with a null doc_id come last in a component, and of different texts under one
+    doc_id that are near copies one stays. Texts without n-grams are linked with nothing. Rows
+    alike in doc_id and text, a null one counting as empty, are one row: any of them stays.
     """
-    found = settle(classes(docs, size, percent).where("doc_id IS NOT NULL"))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = join_small(docs, gone, ["doc_id"], "left_anti")
-    once = join_small(kept, again, ["doc_id"], "left_anti")
-    return once.unionByName(join_small(kept, again, ["doc_id"], "left_semi").dropDuplicates(["doc_id"]))
+    found = settle(_classified(docs, size, percent))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    gone = settle(found.where((F.col("n") > 0) & ~is_first).select("doc_id", "key").distinct())
+    again = settle(found.groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"))
+    kept = join_rows(docs, gone, "left_anti")
+    if again.isEmpty():
+        return kept
+    place = next(c for c in map("text_key_{}".format, range(len(docs.columns) + 1)) if c not in docs.columns)
+    several = join_rows(kept, again, "left_semi").withColumn(place, text_key(kept))
+    return join_rows(kept, again, "left_anti").unionByName(several.dropDuplicates(["doc_id", place]).drop(place))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from payerlens.operators.stages import settle
 
-from .common import join_small, map_arrow, small_slices, whole_text
+from .common import join_rows, map_arrow, small_slices, text_key, whole_text
 from .hashing import grams, words_of
 
 SPAN = 10
@@ -94,6 +94,7 @@ def _places(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> Dat
                         found[d].append((int(h[i].astype(np.int64)), m, low - int(begins[d]), around))
             yield [
                 batch.column(0),
+                batch.column(2),
                 np.diff(words.upto),
                 [
                     [{"fingerprint": f, "size": m, "first": s, "around": a} for f, m, s, a in own]
@@ -102,10 +103,12 @@ def _places(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> Dat
             ]
 
     schema = (
-        "doc_id bigint, n_words bigint, "
+        "doc_id bigint, key bigint, n_words bigint, "
         "found array<struct<fingerprint: bigint, size: int, first: int, around: string>>"
     )
-    source = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), whole_text(docs).alias("text"))
+    source = docs.select(
+        docs["doc_id"].cast("bigint").alias("doc_id"), whole_text(docs).alias("text"), text_key(docs).alias("key")
+    )
     return map_arrow(source, work, schema)
 
 
@@ -115,9 +118,9 @@ def hits(
     span: int = SPAN,
     most_fingerprints: int = BROADCAST_FINGERPRINTS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents: place, doc_id, n_words; occurrences: place, at, size, window; owners: window, item_id).
+    """(documents: place, doc_id, key, n_words; occurrences: place, at, size, window; owners: window, item_id).
 
-    ``place`` tells rows apart, also repeated ones. Null text has no words.
+    ``place`` tells rows apart, also repeated ones; ``key`` stands for the text. Null text has no words.
     """
     windows = settle(benchmark_windows(benchmark, span).distinct())
     sizes = [r[0] for r in windows.select("size").distinct().collect()]  # at most ``span`` numbers
@@ -149,7 +152,7 @@ def hits(
     ).select("place", "size", "w.at", "w.window")
     known = windows.select("window").distinct()
     occurrences = settle(around.distinct().join(known, "window", "left_semi"))
-    return rows.select("place", "doc_id", "n_words"), occurrences, windows.select("window", "item_id")
+    return rows.select("place", "doc_id", "key", "n_words"), occurrences, windows.select("window", "item_id")
 
 
 def contamination(
@@ -198,7 +201,11 @@ def contamination(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
-    """The rows of documents without a hit, all columns kept; rows with a null doc_id pass."""
+    """The rows without a hit in their own text, all columns kept.
+
+    A null or repeated doc_id changes nothing. Null, empty and repeated texts are rows like
+    others; an empty benchmark keeps all rows, an empty table gives none.
+    """
     rows, occurrences, _ = hits(docs, benchmark, span)
     hit = rows.join(occurrences.select("place").distinct(), "place", "left_semi")
-    return join_small(docs, hit.select("doc_id").distinct(), ["doc_id"], "left_anti")
+    return join_rows(docs, settle(hit.select("doc_id", "key").distinct()), "left_anti")

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -242,6 +243,11 @@ def plain_hits(docs, items):
     return sorted(out)
 
 
+def plain_clean(rows, items):
+    """The rows without a hit."""
+    return [row for row in rows if not plain_hits([row], items)[0][2]]
+
+
 def test_contamination(spark, odd_docs, odd_rows, no_docs):
     rows, passage = odd_rows
     items = [(1, passage), (2, passage.replace(" ", "--").upper()), (3, "a b, c d"), (4, "one"), (5, ""), (6, None)]
@@ -255,8 +261,13 @@ def test_contamination(spark, odd_docs, odd_rows, no_docs):
     assert {r.n_hit for r in winnow.contamination(odd_docs, benchmark.where("false")).collect()} == {0}
     kept = winnow.clean(odd_docs, benchmark)
     assert kept.columns == odd_docs.columns
-    hit = {d for d, _, n, _ in want if n and d >= 0}
-    assert {r.doc_id for r in kept.select("doc_id").collect()} == {d for d, _ in rows} - hit
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(plain_clean(rows, items))
+    # a hit text under the id of a clean one, and under no id
+    more = [(7, f"x {passage}"), (None, f"{passage} y"), (None, f"{passage} y"), (None, "clean"), (7, "clean too")]
+    docs = spark.createDataFrame(more, "doc_id bigint, text string")
+    assert Counter(map(tuple, winnow.clean(docs, benchmark).collect())) == Counter(more[3:])
+    assert winnow.clean(docs, benchmark.where("false")).count() == len(more)
+    assert winnow.clean(no_docs, benchmark).count() == 0
 
 
 # ---- secrets
@@ -328,7 +339,8 @@ def test_tree_moves_only_inside(spark):
 # ---- near copies
 
 
-def plain_classes(rows):
+def plain_groups(rows):
+    """(doc, n-grams, number of the group of links) of every row."""
     sets = []
     for doc, text in rows:
         words = [w for w in re.split("[\x20\t-\r]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
@@ -344,11 +356,29 @@ def plain_classes(rows):
         for j, (_, b) in enumerate(sets[:i]):
             if a and b and 100 * len(a & b) >= 80 * len(a | b):
                 parent[root(i)] = root(j)
-    best = {}
-    for i, (doc, _) in enumerate(sets):
+    return [(doc, s, root(i)) for i, (doc, s) in enumerate(sets)]
+
+
+def plain_classes(rows):
+    groups, best = plain_groups(rows), {}
+    for doc, _, group in groups:
         if doc is not None:
-            best[root(i)] = min(doc, best.get(root(i), doc))
-    return sorted((doc, len(s), best[root(i)]) for i, (doc, s) in enumerate(sets) if doc is not None)
+            best[group] = min(doc, best.get(group, doc))
+    return sorted((doc, len(s), best[group]) for doc, s, group in groups if doc is not None)
+
+
+def is_first_of_each(kept, rows):
+    """Whether kept has one row of the smallest doc_id (null last) of every group, and the rows without n-grams."""
+    kept = Counter((doc, text or "") for doc, text in kept)
+    single = sorted({(doc, text or "") for doc, text in rows}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    groups = defaultdict(list)
+    for row, (_, found, group) in zip(single, plain_groups(single)):
+        groups[group if found else (group, "alone")].append(row)
+    for own in groups.values():
+        first = [row for row in own if row[0] == own[0][0]]
+        if sum(kept.pop(row, 0) for row in first) != 1:
+            return False
+    return not kept
 
 
 def near_rows(seed):
@@ -387,6 +417,29 @@ def test_first_of_each(odd_docs, odd_rows):
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == odd_docs.columns
     assert sorted(i for i in ids if i is not None) == sorted(want)
+    assert is_first_of_each([(r.doc_id, r.text) for r in kept.collect()], odd_rows[0])
+
+
+def test_first_of_each_decides_by_row(spark, no_docs):
+    rng = random.Random(6)
+    rows = [(None if i % 4 == 0 else i % 30, text) for i, text in near_rows(3)]
+    alone, near = sentence(rng, 40), sentence(rng, 60)
+    rows += [(None, alone), (None, alone), (5, near), (5, near + " end"), (None, near), (6, ""), (6, None), (None, " ")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, key int, first string")
+    kept = jaccard.first_of_each(docs.repartition(3))
+    assert kept.columns == docs.columns
+    assert is_first_of_each([(r.doc_id, r.text) for r in kept.collect()], rows)
+    assert jaccard.first_of_each(no_docs).count() == 0
+
+
+def test_overlap():
+    rng = np.random.default_rng(4)
+    for groups, top in ((jaccard.GROUPS, 9), (jaccard.FINE, 256), (jaccard.FINE, 70_000), (12, 256)):
+        a, b = (rng.integers(0, top, (40, groups)).astype(np.uint8 if top < 257 else np.uint32) for _ in range(2))
+        for q in (b, b[0]):
+            assert (jaccard.overlap(a, q) == np.minimum(a, q).astype(np.int64).sum(axis=1)).all()
+    full = np.full((2, jaccard.FINE), 255, np.uint8)
+    assert jaccard.overlap(full, full).tolist() == [255 * jaccard.FINE] * 2
 
 
 def test_tree_search_loses_nothing():
@@ -412,6 +465,8 @@ def test_tree_search_loses_nothing():
         assert {tuple(sorted(p, reverse=True)) for p in near} <= want and len(near) <= 300
     assert {i for p in jaccard.survivors(*whole[1:], whole[0], 80, True) for i in p} == {i for p in want for i in p}
     # as two chunks
+    as_bytes = jaccard.survivors(node, label, n, point.astype(np.uint8), np.zeros(300, np.int64), 80)
+    assert {tuple(sorted(p, reverse=True)) for p in as_bytes} == want
     half = rng.integers(0, 2, 300).astype(bool)
     across = {tuple(sorted(p, reverse=True)) for p in jaccard.survivors(node, label, n, point, np.where(half, 1, -1), 80)}
     assert across == {(i, j) for i, j in want if half[i] != half[j]}
