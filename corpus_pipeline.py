@@ -1,7 +1,10 @@
 """Training corpus from raw documents: quality, near duplicates, benchmark passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives a frame that is written as Parquet and
-read again as the next stage's docs. All but the last keep the columns of documents.
+read again as the next stage's docs. All but the last keep the columns of documents,
+extra ones too, and decide each row by its own text: a null doc_id or one that rows share
+changes nothing. Null and empty texts are kept by stages 2 to 4 and packed as their end
+id; an empty table gives an empty one. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -17,17 +20,17 @@ from payerlens.operators.stages import settle
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; all, where no good document is labelled."""
     return quality.good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies."""
+    """One row of every group of near copies, that of the smallest id, null ones last; repeated rows are one."""
     return jaccard.first_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; repeated rows go or stay together."""
     return winnow.clean(docs, table(spark, sf_dir, "benchmark"))
 
 

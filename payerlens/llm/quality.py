@@ -185,7 +185,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 
 
 def good(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows whose score is at least 0.5, all columns kept; without a model all rows."""
+    """The rows whose score is at least 0.5, all columns kept; without a model all rows.
+
+    Null text counts as empty. Repeated rows are scored each; an empty table gives no rows.
+    """
     text = docs.columns.index("text")
 
     def run(batches):
