@@ -4,9 +4,9 @@ The base patterns find plain e-mail addresses, IP addresses, card numbers and ph
 numbers. The network adds spans of the same kinds that the patterns miss: numbers
 that stand next to others and merge with them, phone numbers without a country code,
 spelled-out addresses. It is trained in numpy from labelled spans, which a seeded
-generator writes. It reads overlapping windows around every place that could hold
-personal data (digits in a row, an at sign, a spelled-out one). The tag scores of
-adjoining windows are joined, each place by the window in whose centre it is, and a run
+generator writes. It reads overlapping windows of the whole text but those in which no
+span could pass the checks that follow (no digits in a row, no phone number with a plus
+sign, no at with a host behind it). The tag scores of adjoining windows are joined, each place by the window in whose centre it is, and a run
 of such windows is decoded once by Viterbi, so that a span may be longer than a window.
 The spans of a text are then reconciled: base spans stay, of overlapping others the one
 with the highest score does.
@@ -365,37 +365,61 @@ def viterbi(e: np.ndarray, moves: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 # ---- windows, reconciliation
 
-#: Places that can hold personal data: four digits with little between them, at signs, spelled-out addresses.
-_PLACE = re.compile(
-    r"@|[0-9](?:[\x20().-]{0,3}[0-9]){3,}|[(\[]\s?at\s?[)\]]"
-    r"|\bat\b(?=\s{1,3}[A-Za-z0-9-]{1,63}\.[A-Za-z]{2,}|[^@]{1,60}\bdot\b)",
-    re.I,
-)
-#: The rest of a host name, plain or spelled out, after the at.
-_HOST = re.compile(r"\s{0,3}[)\]]?\s{0,3}[A-Za-z0-9-]+(?:(?:\.|\s{0,3}[(\[]\s?dot\s?[)\]]\s{0,3}|\s{1,3}dot\s{1,3})[A-Za-z0-9-]+)*", re.I)
+#: Every card number, address of four parts and phone number without a plus sign has such digits in a row.
+_NUMBER = re.compile(r"[0-9](?:[\x20().-]{0,3}[0-9]){3,}")
+#: Every phone number with a plus sign begins such a run, however far its digits lie apart.
+_PLUS = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_AT = re.compile(r"@|\bat\b", re.I)
+#: A host with a dot, plain or spelled out, behind an at.
+_DOT = r"(?:\.|\s*+(?:[(\[]\s*+)?+\bdot\b\s*+(?:[)\]]\s*+)?+)"
+_HOST = re.compile(rf"\s*+(?:[)\]]\s*+)?+[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
 _NAME = frozenset(string.ascii_letters + string.digits + "._%+-")
 
 
-def _reach(text: str, a: int, b: int) -> tuple[int, int]:
-    """The place and, around an at, the name before it and the host after it."""
-    if text[a] in string.digits:
-        return a, b
-    while a and text[a - 1] in " \n([":
+def _skipped(text: str, a: int, stop: int, brackets: str) -> int:
+    """Where the white space and brackets before ``a`` begin."""
+    while a > stop and (text[a - 1].isspace() or text[a - 1] in brackets):
         a -= 1
-    while a and text[a - 1] in _NAME:
-        a -= 1
-    host = _HOST.match(text, b)
-    return a, host.end() if host else b
+    return a
+
+
+def _name_start(text: str, a: int, stop: int) -> int:
+    """Where the name before an at begins, spelled-out dots included."""
+    a = _skipped(text, a, stop, "([")
+    while True:
+        while a > stop and text[a - 1] in _NAME:
+            a -= 1
+        b = _skipped(text, a, stop, ")]")
+        if b == a or b - 3 < stop or text[b - 3 : b].lower() != "dot":
+            return a
+        a = _skipped(text, b - 3, stop, "([")
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the stretches in one of which every span lies that ``plausible`` lets pass."""
+    found = [m.span() for m in _NUMBER.finditer(text)]
+    if "+" in text:
+        found += [m.span() for m in _PLUS.finditer(text)]
+    ats = [m.span() for m in _AT.finditer(text)]
+    # an address has one at, so it neither begins before the last one nor goes on behind the next one
+    ends = [0, *(b for _, b in ats)]
+    starts = [*(a for a, _ in ats[1:]), len(text)]
+    for (a, b), stop, upto in zip(ats, ends, starts):
+        host = _HOST.match(text, b, upto)
+        if host or text[a] == "@":
+            found.append((_name_start(text, a, stop), host.end() if host else b))
+    return found
 
 
 def window_starts(text: str) -> list[int]:
-    """Starts of the windows (on a grid of STRIDE) that touch a place, in order."""
+    """Starts of the windows (on a grid of STRIDE) that touch a place, in order.
+
+    A window is scored by itself, and each position of a place has all windows of the grid
+    that hold it, so its scores are those of looking at every window of the text. In the
+    windows left out no span could pass ``plausible``.
+    """
     starts: set[int] = set()
-    reached = 0
-    for m in _PLACE.finditer(text):
-        # a place inside an address is in its windows already
-        a, b = _reach(text, m.start(), m.end()) if m.start() >= reached else m.span()
-        reached = max(reached, b)
+    for a, b in places(text):
         starts.update(range(max(0, (a - WINDOW) // STRIDE + 1), (b - 1) // STRIDE + 1))
     return sorted(STRIDE * k for k in starts)
 
