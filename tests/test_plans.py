@@ -307,3 +307,51 @@ def test_delimited_files(spark, tmp_path, rows):
     good, bad = readers.read_delimited(spark, {n: str(tmp_path / f"{n}.csv") for n in "ab"}, ["x", "y"])
     assert rows(good) == [("a", "", ""), ("a", "1", "2"), ("b", "7", "8")]
     assert rows(bad) == [("a", "3"), ("b", "4|5|6")]
+
+
+LINE_SCHEMA = (
+    "claim_type string, claim string, line string, provider string, month string, bene string, payment double, charge double, allowed double, "
+    "units double, utilization_days double, visits double, los_days int, specialty string, state string, mismatch int, bad_icd int, bad_hcpcs int, bad_dates int"
+)
+
+
+def odd_lines(spark):
+    """Repeated, tied and null claims, lines, providers, persons and amounts."""
+    data = []
+    for i in range(600):
+        kind = ("dme", "hha", "inpatient")[i % 3]
+        claim = None if i % 37 == 0 else f"c{i // 5 % 60}"
+        line = None if i % 41 == 0 else str(i % 4)
+        provider = None if i % 29 == 0 else f"p{i // 7 % 4}"
+        bene = None if i % 31 == 0 else f"b{i // 11 % 9}"
+        amount = None if i % 17 == 0 else float(i % 13)
+        data.append((kind, claim, line, provider, f"2020-0{i // 50 % 3 + 1}", bene, amount, float(i % 5), amount, float(i % 3), float(i % 7), float(i % 6),
+                     i % 8, f"S{i % 2}", None if i % 3 else "01", i % 2, i % 3 % 2, i % 5 % 2, i % 7 % 2))
+    return spark.createDataFrame(data + data[:90], LINE_SCHEMA)
+
+
+def test_provider_months_equal_those_of_claims_and_lines_apart(spark):
+    lines = odd_lines(spark)
+    apart = CA.claim_behavior(CA.claim_level(lines)).join(CA.line_behavior(lines), CA.PROVIDER_MONTH, "left")
+    together = CA.provider_months(lines)
+    assert set(together.columns) == set(apart.columns)
+
+    def plain(df):
+        return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*sorted(apart.columns)).collect()), key=repr)
+
+    assert plain(together) == plain(apart) and together.count() > 20
+
+
+def test_provider_months_shuffle_lines_by_claim_once_to_their_months(spark):
+    lines = odd_lines(spark).repartition(4, "claim")
+    plan = CA.provider_months(lines)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # the one by claim asked for here, and one by provider month
+
+
+def test_robust_z_and_drift_join_rows_without_shuffling_them(spark):
+    month = F.format_string("2020-%02d", F.col("id") % 12 + 1)
+    rows = spark.range(5000).select(
+        F.lit("dme").alias("claim_type"), month.alias("month"), (F.col("id") * 7 % 101).cast("double").alias("x"), F.repeat(F.lit("w"), 40).alias("wide")
+    )
+    scored = CA.robust_z(rows, ["claim_type", "month"], ["x"])
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
