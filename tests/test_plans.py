@@ -355,3 +355,19 @@ def test_robust_z_and_drift_join_rows_without_shuffling_them(spark):
     )
     scored = CA.robust_z(rows, ["claim_type", "month"], ["x"])
     assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+
+
+def test_drug_scores_make_their_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def kind(i):
+        made.add(1)
+        return f"Specialty{i % 3}"
+
+    told = F.udf(kind, "string").asNondeterministic()
+    rows = spark.range(0, 300, 1, 3).select(
+        F.format_string("p%d", F.col("id") % 40).alias("Prscrbr_NPI"), told("id").alias("Prscrbr_Type"), F.format_string("S%d", F.col("id") % 5).alias("Prscrbr_State_Abrvtn"),
+        F.format_string("g%d", F.col("id") % 4).alias("Gnrc_Name"), *[(F.col("id") * 7 % 101).cast("double").alias(f) for f in DA.FEATURES],
+    )
+    assert DA.scored(rows).count() == 300
+    assert made.value == 300
