@@ -371,3 +371,11 @@ def test_drug_scores_make_their_rows_once(spark):
     )
     assert DA.scored(rows).count() == 300
     assert made.value == 300
+
+
+def test_rule_masks_are_compiled(spark, rows):
+    rules = [Rule("d", f"r{i}", "quarantine", F.col("id") % (i + 2) == 0) for i in range(65)]
+    found = failing_records(spark.range(200), rules, ["id"])
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = [(n, sum((n % (i + 2) == 0) << i for i in range(60)), sum((n % (i + 62) == 0) << i for i in range(5))) for n in range(200)]
+    assert rows(found) == sorted((w for w in want if w[1] or w[2]), key=repr)
