@@ -101,3 +101,23 @@ def test_text_helpers(spark):
     assert one(spark, fixed(F.lit(62.125), 2)) == "62.12"
     assert one(spark, fixed(F.lit(None).cast("double"), 2)) is None
     assert one(spark, first_match(F.lit("Missing_NPI"), [("npi", "n"), ("missing", "m")], F.lit("?"))) == "n"
+
+
+def test_padded_numbers_are_those_of_formatting(spark):
+    from payerlens.catalog.standins import coded, numbered
+
+    df = spark.createDataFrame([(x,) for x in (0, 7, 999, 1000, 123456789, 1234567890123, -5, -123456, None)], "k long")
+    got = df.select(
+        "k", numbered("1", F.col("k"), 9).alias("a"), numbered("Q", F.col("k"), 3).alias("b"), coded("A", F.col("k") % 12, 12, 2).alias("c"), coded("City", F.col("k") % 13, 13).alias("d"),
+        F.format_string("1%09d", "k").alias("wa"), F.format_string("Q%03d", "k").alias("wb"), F.format_string("A%02d", F.col("k") % 12).alias("wc"), F.format_string("City%d", F.col("k") % 13).alias("wd"),
+    ).collect()
+    assert all((r["a"], r["b"], r["c"], r["d"]) == (r["wa"], r["wb"], r["wc"], r["wd"]) for r in got)
+
+
+def test_trimmed_ids_take_no_regular_expression(spark):
+    texts = ["", " ", "12.0", "\t1.0.0 \n", "\x0b\f\r7\x0c", "a b", ".0", " .0 ", "1.00", "é.0", " x ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = F.regexp_replace("t", r"^\s+|\s+$", "")
+    got = df.select(C.trim_text("t").alias("a"), C.npi("t").alias("b"), old.alias("wa"), F.regexp_replace(old, r"\.0$", "").alias("wb"))
+    assert all((r["a"], r["b"]) == (r["wa"], r["wb"]) for r in got.collect())
+    assert "regexp" not in df.select(C.npi("t"))._jdf.queryExecution().executedPlan().toString()

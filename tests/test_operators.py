@@ -231,3 +231,16 @@ def test_medians_with_endless_values(spark, odd):
     df = spark.createDataFrame([(1, v) for v in values], "k int, v double")
     hot = exact_median(df, ["k"], ["v"], hot_rows=10, bins=4, most=5).first()[1]
     assert hot == exact_median(df, ["k"], ["v"]).first()[1]
+
+
+def test_hot_medians_keep_values_where_they_are(spark, monkeypatch):
+    from payerlens.operators import quantiles
+
+    rng = np.random.default_rng(5)
+    values = {"a": rng.lognormal(2, 3, 6000), "b": rng.integers(0, 3, 3000).astype(float), "c": np.full(2000, 4.0)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs], "g string, x double")
+    settled = []
+    monkeypatch.setattr(quantiles, "settle", lambda frame, to=quantiles.settle: settled.append(to(frame)) or settled[-1])
+    got = {r["g"]: r["x_median"] for r in exact_median(df, ["g"], ["x"], hot_rows=10, bins=32, most=50).collect()}
+    assert got == pytest.approx({g: float(np.median(vs)) for g, vs in values.items()})
+    assert len(settled) > 2 and all(s.count() <= len(values) for s in settled)  # a range a group, no values

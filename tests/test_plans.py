@@ -379,3 +379,51 @@ def test_rule_masks_are_compiled(spark, rows):
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
     want = [(n, sum((n % (i + 2) == 0) << i for i in range(60)), sum((n % (i + 62) == 0) << i for i in range(5))) for n in range(200)]
     assert rows(found) == sorted((w for w in want if w[1] or w[2]), key=repr)
+
+
+def test_claims_signals_are_counted_as_listed(spark):
+    lines = odd_lines(spark)
+    scored = CA.peer_scores(CA.provider_months(lines))
+    scored = scored.withColumns(
+        {"avg_los_z": F.when(F.crc32("provider") % 2 == 0, 9.0), "specialty_behavior_z": F.lit(-4.0), "claims_per_beneficiary_z": F.lit(5.0)}
+    ).withColumn("claim_type", F.when(F.col("month") != "2020-02", F.col("claim_type")))
+    drift = spark.createDataFrame(
+        [("dme", "2020-01", CA.DIAGNOSIS_DRIFT, 0.5, "2019-12"), ("hha", "2020-01", "Specialty distribution drift", 0.3, "2019-12")],
+        "claim_type string, month string, field string, psi_score double, baseline_periods string",
+    )
+    found = CA.signals(scored, drift).select("signal_count", *[F.size(f"{k}_items").alias(k) for k in ("robust", "rule", "psi")]).collect()
+    assert all(r["signal_count"] == r["robust"] + r["rule"] + r["psi"] for r in found)
+    assert {r["signal_count"] for r in found} > {1, 4} and any(r["psi"] for r in found)
+
+
+def test_provider_months_add_up_lines_without_sorting_them_for_texts(spark):
+    lines = odd_lines(spark).repartition(4, "claim")
+    plan = CA.provider_months(lines)._jdf.queryExecution().executedPlan().toString()
+    # by specialty and state lines are hashed; only their few sums are sorted for the least texts
+    assert plan.count("SortAggregate(") == 2 and plan.count("HashAggregate(") == 2
+
+
+def test_provider_completeness_reads_its_claims_once(spark, rows):
+    df = Q.prepare(spark.createDataFrame(
+        [(None if i % 7 == 0 else f"b{i % 5}", f"c{i % 11}", str(i % 2), "" if i % 13 == 0 else f"1{i % 3:09d}", "" if i % 9 == 0 else "2020-01-01") for i in range(200)],
+        "BENE_ID string, CLM_ID string, LINE_NUM string, PRF_PHYSN_NPI string, CLM_FROM_DT string",
+    ))
+    found = Q.provider_completeness(df, "PRF_PHYSN_NPI", "carrier")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    want = {}
+    for r in df.collect():
+        if r["PRF_PHYSN_NPI"]:
+            want.setdefault(r["PRF_PHYSN_NPI"], []).append(r)
+    for npi, of in want.items():
+        for field in ("BENE_ID", "CLM_FROM_DT", "CLM_ID"):
+            missing = {(r["BENE_ID"], r["CLM_ID"], r["LINE_NUM"]) for r in of if not r[field]}
+            got = found.filter((F.col("npi") == npi) & (F.col("field_name") == field)).first()
+            assert (got["npi_affected_rows"], got["npi_total_rows"]) == (len(missing), len(of))
+
+
+def test_drug_texts_are_made_of_rows_with_signals_only(spark, monkeypatch):
+    rows = prescriptions(spark).withColumn("Tot_Drug_Cst", F.when(F.col("Brnd_Name") == "b7", 5000.0).otherwise(50.0 + F.crc32("Brnd_Name") % 7))
+    marked, settled = DA.with_signals(DA.scored(DA.measured(rows))), []
+    monkeypatch.setattr(DA, "settle", lambda df, to=DA.settle: settled.append(to(df)) or settled[-1])
+    found = DA.drug_anomaly_rows(marked)
+    assert "reason" not in marked.columns and settled[0].count() == found.count() < rows.count()
